@@ -96,3 +96,26 @@ def held_out(modulus: int, residue: int) -> Column:
 
 def flat(lists: list[list]) -> list:
     return list(itertools.chain.from_iterable(lists))
+
+
+def best_cut(logit: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The cut between two logits with the highest F1 of label 1, were ``share`` of all rows of that label; 0 without both labels."""
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    order = np.argsort(-logit, kind="stable")
+    z, hits = logit[order], np.cumsum(y[order]) * (share / y.mean())
+    other = np.cumsum(1 - y[order]) * ((1 - share) / (1 - y.mean()))
+    f1 = 2 * hits / (hits + other + hits[-1])
+    f1[:-1][z[:-1] == z[1:]] = -1
+    k = int(np.argmax(f1))
+    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
+
+
+def label_share(labels: DataFrame, label: str) -> float:
+    """How much of all labelled rows has label 1, within 1 and 99 %."""
+    mean = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return min(max(0.5 if mean is None else mean, 0.01), 0.99)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op9_chat_formatting
 from .mixing import op7_mixing
+from .packing import op2_packing
+from .rules import op1_quality_rules
 from .sharding import op4_sharding
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op7_mixing, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op7_mixing, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
