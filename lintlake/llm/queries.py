@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op9_chat_formatting
+from .lines import op8_quality_classifier
+from .media import op10_media_columns
 from .mixing import op7_mixing
 from .packing import op2_packing
 from .rules import op1_quality_rules
@@ -15,7 +17,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op7_mixing, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
