@@ -150,7 +150,7 @@ def train(sample: list[tuple[bytes, int]], share: float = 0.5, steps: int = 200,
         m += 0.1 * (grad - m)
         s += 0.01 * (grad**2 - s)
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
-    rest = np.flatnonzero(aside) if 0 < y[aside].sum() < aside.sum() else np.arange(len(y))
+    rest = np.flatnonzero(aside) if min(y[aside].sum(), (1 - y[aside]).sum()) >= 20 else np.arange(len(y))
     # Bad documents are the rarer kind: the cut is the best one for finding them.
     field.shift = -best_cut(-field.quality([texts[i] for i in rest]), 1 - y[rest], 1 - share)
     return field

@@ -146,10 +146,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def taken_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that the mix takes, a row for each time it takes them, with the columns of ``docs``."""
-    key = F.xxhash64("doc_id", "source", "text")
-    drawn = mix(docs, **parameters).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("mix_copies"), F.min("copies").alias("mix_least"), F.sum("copies").alias("mix_sum"), F.count("*").alias("mix_rows"))
-    renamed = drawn.withColumnRenamed("doc_id", "mix_id").withColumnRenamed("row_hash", "mix_hash")
-    joined = docs.withColumn("mix_key", key).join(renamed, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_key") == F.col("mix_hash")))
-    twin = F.row_number().over(Window.partitionBy("doc_id", "mix_key").orderBy("mix_rows"))
-    times = F.when(F.col("mix_rows") > 1, F.col("mix_least") + (twin <= F.col("mix_sum") - F.col("mix_rows") * F.col("mix_least")).cast("int")).otherwise(F.col("mix_copies"))
-    return joined.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_each", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    drawn = mix(docs, **parameters).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("copies").alias("sum"), F.count("*").alias("rows"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "source", "text").alias("hash"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    joined = rows.join(drawn, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("row_hash")))
+    single = joined.where("rows = 1").withColumn("times", F.col("most"))
+    # Rows that are equal in doc_id, source and text share their draws: the first ones get one more where they differ.
+    twin = F.row_number().over(Window.partitionBy("id", "hash").orderBy("rows"))
+    twins = joined.where("rows > 1").withColumn("times", F.col("least") + (twin <= F.col("sum") - F.col("rows") * F.col("least")).cast("int"))
+    return single.unionByName(twins).where("times > 0").withColumn("each", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -12,13 +12,14 @@ from .media import op10_media_columns
 from .mixing import op7_mixing
 from .neardup import op6_minhash_near_dedup
 from .packing import op2_packing
+from .repeats import op5_suffix_array_dedup
 from .rules import op1_quality_rules
 from .sharding import op4_sharding
 from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op6_minhash_near_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,8 +154,8 @@ class Network:
         return grad
 
 
-def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5, batch: int = 16, rate: float = 0.02, vocabulary: int = 20_000, seed: int = 3) -> Network:
-    """Adam over the sample; one document in six is left out and sets the place of the cut."""
+def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5, batch: int = 16, rate: float = 0.02, least_steps: int = 600, vocabulary: int = 20_000, seed: int = 3) -> Network:
+    """Adam over the sample, ``epochs`` times or for ``least_steps`` steps; one document in six is left out and sets the place of the cut."""
     texts, y = [words_of(t) for t, _ in sample], np.array([v for _, v in sample], np.float32)
     seen = Counter(w.strip(EDGES) or w for t in texts for w in set(t))
     frequent = sorted((w for w, n in seen.items() if n >= 5), key=lambda w: (-seen[w], w))[:vocabulary]
@@ -165,6 +165,7 @@ def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5,
     rng = np.random.default_rng(seed)
     m, s = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
+    epochs = max(epochs, -(-least_steps // max(1, len(fit) // batch)))
     if len(fit) and 0 < y[fit].sum() < len(fit):
         for epoch in range(epochs):
             order = rng.permutation(fit)
@@ -174,8 +175,8 @@ def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5,
                 for k, value in net.p.items():
                     m[k] += 0.1 * (grad[k] - m[k])
                     s[k] += 0.01 * (grad[k] ** 2 - s[k])
-                    value -= rate * 0.6**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
-    rest = np.flatnonzero(aside) if 0 < y[aside].sum() < aside.sum() else np.arange(len(y))
+                    value -= rate * 0.08 ** (epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+    rest = np.flatnonzero(aside) if min(y[aside].sum(), (1 - y[aside]).sum()) >= 20 else np.arange(len(y))
     if len(rest):
         net.shift = best_cut(net.logits([texts[i] for i in rest]), y[rest], share)
     return net
