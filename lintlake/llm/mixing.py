@@ -73,31 +73,42 @@ def permutation(n: int, seed: int) -> tuple[int, int]:
     return a, int(rng.integers(0, n))
 
 
-def fill_gap(pdfs: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's boundary block: documents in hashed order while they fit, again and again with the smaller ones."""
+def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
+    """Indices of the sizes whose sum comes nearest to ``wanted``; sums are sets of bits, in units of some millionths of what is wanted."""
+    unit = max(1, wanted // 200_000)
+    steps = [1]
+    for size in sizes:
+        steps.append(steps[-1] | steps[-1] << (size // unit))
+    goal = wanted // unit
+    below = (steps[-1] & (1 << goal + 1) - 1).bit_length() - 1
+    above = steps[-1] >> goal
+    at = goal + (above & -above).bit_length() - 1 if above else below
+    at = at if at - goal < goal - below else below
+    chosen = []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not steps[i] >> at & 1:
+            chosen.append(i)
+            at -= sizes[i] // unit
+    return chosen
+
+
+def fill_gap(pdfs: pd.DataFrame, pool: int = 12) -> pd.DataFrame:
+    """Of one source's boundary block: documents in hashed order, and of those around the end the subset that comes nearest to the target."""
     pdf = pdfs.sort_values(["order_hash", "doc_id", "size"], kind="stable").reset_index(drop=True)
-    left, sizes = int(pdf["gap"].iloc[0]), pdf["size"].to_numpy()
-    taken = sizes == 0
-    while True:
-        fits = np.flatnonzero(~taken & (sizes <= left))
-        fits = fits[np.cumsum(sizes[fits]) <= left] if len(fits) else fits
-        if not len(fits):
-            break
-        taken[fits] = True
-        left -= int(sizes[fits].sum())
-    rest = np.flatnonzero(~taken)
-    if len(rest):  # one more document where that comes nearer
-        nearest = rest[np.argmin(np.abs(sizes[rest] - left))]
-        taken[nearest] = abs(int(sizes[nearest]) - left) < left
-    return pd.DataFrame({"row_id": pdf["row_id"][taken]})
+    wanted, upto = int(pdf["gap"].iloc[0]), np.cumsum(pdf["size"].to_numpy())
+    first = max(0, int(np.searchsorted(upto, wanted, side="right")) - pool)
+    held = int(upto[first - 1]) if first else 0
+    around = pdf["size"].iloc[first : first + 2 * pool].tolist()
+    chosen = [*range(first), *(first + i for i in nearest_subset(around, wanted - held))]
+    return pd.DataFrame({"row_id": pdf["row_id"].iloc[chosen]})
 
 
 def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, shards (of each copy), order_hash.
 
-    Whole documents are taken, up to ``ceil(most)`` times each; a source's taken words differ from
-    its target by less than its smallest documents that are left.  Null text has no words; a document without
-    words takes part in whole passes like others.  Sources in order of code points, a null source
+    Whole documents are taken, up to ``ceil(most)`` times each; a source's taken words come as near its
+    target as a subset of two dozen of its documents can bring them.  Null text has no words; a document
+    without words takes part in whole passes like others.  Sources in order of code points, a null source
     last, take the weights in turn.  There must be some thousands of sources at most (one row each
     on the driver; more raises); blocks are 4096 a source at most, so one source may hold any
     part of all rows.  Rows that repeat a doc_id share a block and are drawn on their own.
