@@ -92,9 +92,9 @@ def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
     return chosen
 
 
-def fill_gap(pdfs: pd.DataFrame, pool: int = 12) -> pd.DataFrame:
+def fill_gap(block: pd.DataFrame, pool: int = 12) -> pd.DataFrame:
     """Of one source's boundary block: documents in hashed order, and of those around the end the subset that comes nearest to the target."""
-    pdf = pdfs.sort_values(["order_hash", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    pdf = block.sort_values(["order_hash", "doc_id", "size"], kind="stable").reset_index(drop=True)
     wanted, upto = int(pdf["gap"].iloc[0]), np.cumsum(pdf["size"].to_numpy())
     first = max(0, int(np.searchsorted(upto, wanted, side="right")) - pool)
     held = int(upto[first - 1]) if first else 0
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[f
     placed = blocked.join(F.broadcast(edges), "source_no", "left").join(F.broadcast(shard_ends), "source_no")
     placed = placed.withColumn("extra", F.when(F.col("part") <= 0, 0).when(F.col("edge").isNull() | (F.col("place") < F.col("edge")), 1).otherwise(0).cast("long"))
     inside = placed.where((F.col("part") > 0) & (F.col("place") == F.col("edge"))).select("row_id", "doc_id", F.col("source_no").alias("source"), "size", "order_hash", "gap")
-    more = inside.groupBy("source").applyInPandas(fill_gap, "row_id long").withColumn("more", F.lit(1))
+    more = inside.groupBy("source").applyInPandas(lambda pdf: fill_gap(pdf), "row_id long").withColumn("more", F.lit(1))
     joined = placed.join(more, "row_id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
     copies = (F.col("passes") + F.col("extra") + F.col("more")).cast("int")
     draw = lambda i: F.when(i * F.col("n_blocks") + F.col("place") < F.element_at("ends", -1), F.size(F.filter("ends", lambda e: e <= i * F.col("n_blocks") + F.col("place")))).otherwise(F.pmod("order_hash", F.lit(shards)).cast("int"))
