@@ -33,6 +33,8 @@ SPAN = LENGTH - GRAM + 1
 WIDEST = LENGTH + SPAN - 1
 #: Occurrences beyond which a hash is split into its windows.
 HOT = 2000
+#: Of the strings on their way to buckets: a cell's strings have no order that the shuffle's own compression could use.
+CODEC = "zstd"
 U = np.uint64
 
 
@@ -214,7 +216,7 @@ def _send_strings(buckets: int):
             chunk = docs["chunk"][0].as_py()
             meta = (s.n | s.several.astype(np.int64) << 5 | s.hot.astype(np.int64) << 6).astype(np.uint8)
             for b, i in _cells((where >> U(32)).astype(np.int64) % buckets, buckets):
-                out.append((b, chunk, s.key[i].tobytes(), meta[i].tobytes(), s.first[i].tobytes(), _pick(segments.data, s.at[i], s.n[i] + LENGTH - 1)))
+                out.append((b, chunk, s.key[i].tobytes(), meta[i].tobytes(), s.first[i].tobytes(), pa.compress(_pick(segments.data, s.at[i], s.n[i] + LENGTH - 1), CODEC, asbytes=True)))
         return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     return run
@@ -223,10 +225,12 @@ def _send_strings(buckets: int):
 def _answer_strings(rows: pa.Table) -> pa.Table:
     """To each chunk its strings with windows that a smaller document has, or that several of its own documents have; a bit a window."""
     key, meta, first = (np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()]) for c, kind in (("hashes", U), ("meta", np.uint8), ("firsts", np.int64)))
-    data = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
+    sizes = [len(x) for x in rows["meta"].to_pylist()]
     n, several, hot = (meta & 31).astype(np.int64), (meta & 32) > 0, (meta & 64) > 0
     length = n + LENGTH - 1
     start = np.cumsum(length) - length
+    raw = np.add.reduceat(length, np.cumsum(sizes) - sizes).tolist()
+    data = np.frombuffer(b"".join(pa.decompress(x, r, CODEC, asbytes=True) for x, r in zip(rows["data"].to_pylist(), raw, strict=True)), np.uint8)
     hashes = string_hash(data, start, length)
     distinct, index, of = np.unique(hashes, return_index=True, return_inverse=True)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -243,7 +247,6 @@ def _answer_strings(rows: pa.Table) -> pa.Table:
     goes = (known[of] < first[:, None]) & (np.arange(SPAN) < n[:, None])
     told = goes.any(axis=1) | several
     bits = np.packbits(np.pad(goes, ((0, 0), (0, 32 - SPAN))), axis=1)
-    sizes = [len(x) for x in rows["meta"].to_pylist()]
     out, at = [], 0
     for chunk, size in zip(rows["chunk"].to_pylist(), sizes, strict=True):
         mine = np.flatnonzero(told[at : at + size]) + at
