@@ -1,7 +1,7 @@
 """Removal of byte strings that an earlier document holds, by threshold-bounded interval expansion.
 
-Every window of 50 bytes belongs to the smallest hash among its 24-byte substrings.  Neighbouring
-windows with the same smallest hash make a segment of at most 76 bytes, and equal windows, wherever
+Every window of 50 bytes belongs to the smallest hash among its 20-byte substrings.  Neighbouring
+windows with the same smallest hash make a segment of at most 80 bytes, and equal windows, wherever
 they are, lie in segments with equal hashes.  So:
 
 1. Chunks of documents send the hashes of their segments to buckets, sorted and packed; a bucket
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, text_bytes
 from .suffix import shared_windows
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 WIDEST = LENGTH + SPAN - 1
 #: Occurrences beyond which a hash is split into its windows.
@@ -216,7 +216,7 @@ def _send_strings(buckets: int):
             chunk = docs["chunk"][0].as_py()
             meta = (s.n | s.several.astype(np.int64) << 5 | s.hot.astype(np.int64) << 6).astype(np.uint8)
             for b, i in _cells((where >> U(32)).astype(np.int64) % buckets, buckets):
-                out.append((b, chunk, s.key[i].tobytes(), meta[i].tobytes(), s.first[i].tobytes(), pa.compress(_pick(segments.data, s.at[i], s.n[i] + LENGTH - 1), CODEC, asbytes=True)))
+                out.append((b, chunk, s.key[i].tobytes(), meta[i].tobytes(), pa.compress(s.first[i].tobytes(), CODEC, asbytes=True), pa.compress(_pick(segments.data, s.at[i], s.n[i] + LENGTH - 1), CODEC, asbytes=True)))
         return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     return run
@@ -224,8 +224,9 @@ def _send_strings(buckets: int):
 
 def _answer_strings(rows: pa.Table) -> pa.Table:
     """To each chunk its strings with windows that a smaller document has, or that several of its own documents have; a bit a window."""
-    key, meta, first = (np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()]) for c, kind in (("hashes", U), ("meta", np.uint8), ("firsts", np.int64)))
+    key, meta = (np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()]) for c, kind in (("hashes", U), ("meta", np.uint8)))
     sizes = [len(x) for x in rows["meta"].to_pylist()]
+    first = np.frombuffer(b"".join(pa.decompress(x, 8 * n, CODEC, asbytes=True) for x, n in zip(rows["firsts"].to_pylist(), sizes, strict=True)), np.int64)
     n, several, hot = (meta & 31).astype(np.int64), (meta & 32) > 0, (meta & 64) > 0
     length = n + LENGTH - 1
     start = np.cumsum(length) - length
@@ -312,7 +313,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.  A null
     text is empty.  A document with a null doc_id neither loses bytes nor takes others'.  Rows that repeat a
     doc_id are no smaller than each other, so they keep what only they share.  Equal strings are told by
-    64-bit hashes and a common smallest 24-byte hash.  Empty tables give no rows; other columns are ignored.
+    64-bit hashes and a common smallest 20-byte hash.  Empty tables give no rows; other columns are ignored.
     """
     dealt, answers = _plan(docs.select("doc_id", "text"))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
