@@ -1,7 +1,9 @@
 """MinHash near-duplicates: universal-hash minima, banding, signature verification, exact confirmation, components.
 
 Rows with the same shingle set are one class from the start.  Class representatives that share a band
-are tied to the smallest of the bucket; ties whose signatures agree enough make families.  Within a
+are tied to the smallest of the bucket; those that agree so well with it that all their partners must be
+tied to it as well are settled, the others of a bucket are compared with each other.  Agreement here is that
+of one byte of each minimum: equal minima have equal bytes, so it is never too low.  Ties make families.  Within a
 family all pairs are compared, by signature and then on full sets, in tiles of bounded size, and a tile
 gives back a spanning forest of its links: never the pairs of a group.
 """
@@ -23,6 +25,8 @@ from .shingles import BANDS, HASHES, WORDS, shingle_sets, signatures
 TILE_DOCS, TILE_SHINGLES = 512, 400_000
 #: Ties whose signatures agree less than this far below the threshold are chance.
 FAMILY_SLACK = 0.4
+#: Rounds of ties to the smallest, while more than a tile of a bucket is unsettled; all that is left then is compared in tiles.
+ROUNDS = 4
 
 
 def _signed(words: int):
@@ -40,18 +44,48 @@ def _signed(words: int):
     return run
 
 
-def _agree(least: float):
-    """Pairs of signatures that agree in at least this share of their minima."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lowest byte of each minimum."""
+    for batch in batches:
+        low = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "s"])
+
+
+def _agree(least: float, settled: float):
+    """Pairs of sketches that agree in at least this share of their bytes, and whether they do so in the larger share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sx", "sy"))
-            mask = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sx", "sy"))
+            share = (x == y).mean(axis=1)
+            mask = pa.array(share >= least)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask), pa.array(share >= settled).filter(mask)], ["a", "b", "settled"])
 
     return run
 
 
+def kin(ids: list[int], side: np.ndarray, sketch: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Ties that join what the pairs of agreeing sketches join.  side: as in forest()."""
+    root = np.arange(len(ids))
+    out = []
+    for i in range(len(ids) - 1):
+        rest = np.flatnonzero((root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))) + i + 1
+        for j in rest[(sketch[rest] == sketch[i]).mean(axis=1) >= least]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _kin(least: float):
+    def ties(rows: list[tuple]) -> pa.RecordBatch:
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, HASHES)
+        found = kin([r[3] for r in rows], _sides(rows), sketch, least)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_tile(("bucket", "i", "j", "doc_id", "s", "tile"), ties)
+
+
 def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, slack: float) -> list[tuple[int, int]]:
     """Links that join what the links between the sets join.  side: 0 and 1 are compared across only, 2 with all."""
     n = len(ids)
@@ -77,17 +111,17 @@ def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: in
     return out
 
 
-def _tiles(words: int, percent: int, slack: float):
-    def links(rows: list[tuple]) -> pa.RecordBatch:
-        sets = shingle_sets([(r[4] or "").encode() for r in rows], words)
-        side = np.array([2 if r[1] == r[2] else int(r[5] == r[2]) for r in rows])
-        found = forest([r[3] for r in rows], side, sets, percent, slack)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _sides(rows: list[tuple]) -> np.ndarray:
+    return np.array([2 if r[1] == r[2] else int(r[5] == r[2]) for r in rows])
+
+
+def _by_tile(columns: tuple[str, ...], links):
+    """links() of the rows of each tile; the first three columns name the tile, and its rows come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("family", "i", "j", "doc_id", "text", "tile")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in columns), strict=True):
                 if held and held[-1][:3] != row[:3]:
                     yield links(held)
                     held = []
@@ -98,6 +132,46 @@ def _tiles(words: int, percent: int, slack: float):
     return run
 
 
+def _tiles(words: int, percent: int, slack: float):
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        sets = shingle_sets([(r[4] or "").encode() for r in rows], words)
+        found = forest([r[3] for r in rows], _sides(rows), sets, percent, slack)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _by_tile(("family", "i", "j", "doc_id", "text", "tile"), links)
+
+
+def _paired(tiled: DataFrame, *columns: str) -> DataFrame:
+    """Each row once for each pair (i, j) of tiles that its tile is in."""
+    other = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return other.select(*columns, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile")
+
+
+def _tied(keyed: DataFrame, sides: DataFrame, slack: float) -> DataFrame:
+    """(a, b): ties that join all documents of a bucket whose sketches agree in ``slack`` of their bytes.
+
+    Sketches keep the triangle inequality: if x agrees with the smallest in ``least`` + 1 - ``slack``, all that agree
+    with x in ``slack`` agree with the smallest in ``least`` and are tied to it, so x need not be compared again.
+    """
+    least = min(slack, FAMILY_SLACK)
+    found = None
+    for _ in range(ROUNDS):
+        buckets = keyed.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        ties = written(keyed.join(buckets, "bucket").where("doc_id != b").select("bucket", F.col("doc_id").alias("a"), "b"), "ties")
+        sx, sy = (sides.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{v}")) for k, v in (("a", "x"), ("b", "y")))
+        judged = written(ties.select("a", "b").distinct().join(sx, "a").join(sy, "b").select("a", "b", "sx", "sy").mapInArrow(_agree(least, least + 1 - slack), "a long, b long, settled boolean"), "judged")
+        agreed = judged.select("a", "b")
+        found = found.union(agreed) if found else agreed
+        keyed = written(ties.join(judged.where("settled").select("a", "b"), ["a", "b"], "left_anti").select("bucket", F.col("a").alias("doc_id")).distinct(), "unsettled")
+        sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= TILE_DOCS:
+            break
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / TILE_DOCS).cast("int").alias("tiles"))
+    tiled = keyed.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    pairs = _paired(tiled.join(sides, "doc_id"), "bucket", "doc_id", "s")
+    return found.union(pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id").mapInArrow(_kin(slack), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -120,18 +194,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     band = 4 * HASHES // BANDS
     keyed = reps.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("signature", k * band + 1, F.lit(band)))).alias("band", "minima"))
     keyed = keyed.select("doc_id", F.xxhash64("band", "minima").alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = keyed.join(buckets, "bucket").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    sides = written(reps.groupBy("doc_id").agg(F.first("signature").alias("s")), "sides")
-    sx, sy = (sides.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{v}")) for k, v in (("a", "x"), ("b", "y")))
-    agreed = ties.join(sx, "a").join(sy, "b").select("a", "b", "sx", "sy").mapInArrow(_agree(min(slack, FAMILY_SLACK)), "a long, b long")
-    family = components(agreed).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    sides = written(reps.select("doc_id", "signature").mapInArrow(_sketches, "doc_id long, s binary").groupBy("doc_id").agg(F.first("s").alias("s")), "sides")
+    family = components(_tied(keyed, sides, slack)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
     members = written(reps.select("doc_id", "n_shingles").join(family, "doc_id"), "families")
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TILE_DOCS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
     tiled = members.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).select("family", "doc_id", "tile", "tiles").dropDuplicates(["doc_id"])
     # Hashed on the side without texts at every size: texts move once, and are neither sorted nor part of a hash table.
     with_text = docs.select("doc_id", "text").join(tiled.hint("shuffle_hash"), "doc_id")
-    pairs = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id", "text", "tile")
+    pairs = _paired(with_text, "family", "doc_id", "text")
     links = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(_tiles(words, percent, slack), "a long, b long")
     # Only representatives are in the graph: a document goes where its class goes.  A doc_id with several classes links them.
     twice = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("own"), F.max("rep").alias("last"), (F.count("rep") < F.count("*")).alias("gap")).where("own < last OR gap AND own IS NOT NULL").select("doc_id", "own")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.llm import chat, graph, lines, media, mixing, neardup, packing, repeats, rules, sharding, toxicity
+from lintlake.llm import chat, graph, lines, media, mixing, neardup, packing, repeats, rules, sharding, shingles, toxicity
 
 from .cases import docs, labels, texts, words
 from .test_pieces import plain_repeated, plain_shingles
@@ -180,6 +180,35 @@ def test_near_duplicates_in_many_tiles(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 1
 
 
+def test_near_duplicates_behind_chance_ties(spark, monkeypatch):
+    x = [f"u{k}" for k in range(100)]
+    y = x[:92] + [f"y{k}" for k in range(8)]
+    # In every band that x and y may share there is a smaller doc_id: the words with x's minima of this band, and no others.
+    a, b = shingles.universal()
+    h = np.array([shingles.shingle_sets([w.encode()], 1)[0][0] for w in x])
+    least = [x[int(np.argmin(h * a[k] + b[k]))] for k in range(shingles.HASHES)]
+    items = [(k, " ".join(least[4 * k : 4 * k + 4]), "a") for k in range(shingles.BANDS)] + [(900, " ".join(x), "a"), (901, " ".join(y), "a")]
+    # More than a tile in one bucket, none of them near another or near the smallest.
+    items += [(1000 + k, " ".join(least[:4] + [f"q{k}n{i}" for i in range(12)]), "a") for k in range(60)]
+    sets = [(i, plain_shingles(t, 1)) for i, t, _ in items]
+    want = plain_components(sets, lambda p, q: 100 * len(p & q) >= 80 * len(p | q))
+    assert want[901] == 900
+    for most, rounds in ((512, 4), (3, 2)):
+        monkeypatch.setattr(neardup, "TILE_DOCS", most)
+        monkeypatch.setattr(neardup, "ROUNDS", rounds, raising=False)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, items), 1).collect()} == want
+
+
+def test_near_duplicates_of_passages(spark):
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}w{i}" for i in range(9)) for k in range(24)]
+    items = [(i, " ".join(passages[k] for k in rng.permutation(24)[:10]), "a") for i in range(700)]
+    items += [(i, " ".join([*t.split()[:86], "tail", str(i)]), s) for i, (_, t, s) in zip(range(900, 960), items[640:], strict=True)]
+    sets = [(i, plain_shingles(t, 1)) for i, t, _ in items]
+    want = plain_components(sets, lambda p, q: 100 * len(p & q) >= 80 * len(p | q))
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, items), 1).collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3), (100, 102)]
     got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long"))))
