@@ -46,10 +46,18 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
+def outline(pictures: list[tuple[int, int, np.ndarray]]) -> tuple[int, int, int, str]:
+    """Of a file's pictures, one below the other: width, height, how many there are, thumbnail hash.  Narrower ones are stretched to the widest."""
+    width = max(w for w, _, _ in pictures)
+    most = max(thumb.shape[1] for _, _, thumb in pictures)
+    thumbs = [t if t.shape[1] == most else t[:, np.arange(most) * t.shape[1] // most] for _, _, t in pictures]
+    return width, sum(h for _, h, _ in pictures), len(pictures), thumbnail_hash(np.concatenate(thumbs) if len(thumbs) > 1 else thumbs[0])
+
+
 def describe(pictures: list[tuple[int, int, np.ndarray]]) -> str:
-    """Dimensions of the first picture, how many there are, and the first one's thumbnail hash."""
-    width, height, thumb = pictures[0]
-    return f"{width}x{height}x{len(pictures)}:{thumbnail_hash(thumb)}"
+    """Dimensions of all pictures of a file together, how many there are, and the hash of all their thumbnails."""
+    width, height, n, digest = outline(pictures)
+    return f"{width}x{height}x{n}:{digest}"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +112,7 @@ def picture_info(media: DataFrame) -> DataFrame:
             rows = []
             for file in batch["media"].to_pylist():
                 try:
-                    pictures = read([file])[0]
-                    rows.append((*pictures[0][:2], len(pictures), thumbnail_hash(pictures[0][2])))
+                    rows.append(outline(read([file])[0]))
                 except (ValueError, IndexError, KeyError, TypeError):
                     rows.append((None,) * 4)
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]

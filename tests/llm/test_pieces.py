@@ -137,6 +137,19 @@ def test_jpeg_of_several_pictures():
     assert len(pictures) == 2 and b"".join(t.tobytes() for _, _, t in pictures) == media.padded(big)
 
 
+def test_features_are_of_all_pictures(monkeypatch):
+    monkeypatch.setattr(media, "MOST_ROWS", 16)
+    head = b"head of a long text " * 200
+    ends = [head + tail * 3000 for tail in (b" ~", b"~ ", b"AZ")]
+    files = jpeg.read(media.to_media(ends))
+    assert {len(p) for p in files} == {4}
+    found = [media.describe(p) for p in files]
+    assert all(f.startswith(f"1536x{sum(p[1] for p in pictures)}x4:") for f, pictures in zip(found, files, strict=True))
+    whole = [np.concatenate([t for _, _, t in p]) for p in files]
+    assert [f.split(":")[1] for f in found] == [media.thumbnail_hash(w) for w in whole] and len(set(found)) > 1
+    assert media.describe(files[0][:1]).split(":")[1] == media.thumbnail_hash(files[0][0][2])
+
+
 def by_hand(levels, ac, restart):
     """A one-component picture of one row of blocks, written bit by bit; with AC coefficients where ac says so."""
     dc = {v: (c, n) for v, c, n in jpeg.codes(jpeg.DC_BITS, jpeg.DC_VALUES)}
