@@ -78,7 +78,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     """
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     if residue:
-        wanted = wanted.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % residue[0] != residue[1])
+        wanted = wanted.where(~held_out(*residue))
     parts = [wanted.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(rows // 2) for y in (0, 1)]
     ids = written(parts[0].unionByName(parts[1]), "sample").select("doc_id", "y")
     return docs.select("doc_id", "text").where(text_bytes() <= most_bytes).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
@@ -111,8 +111,10 @@ def best_cut(logit: np.ndarray, y: np.ndarray, share: float) -> float:
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
-def label_share(labels: DataFrame, label: str) -> float:
-    """How much of all labelled rows has label 1, within 1 and 99 %."""
+def label_share(labels: DataFrame, label: str, residue: tuple[int, int] | None = None) -> float:
+    """How much of the labelled rows has label 1, within 1 and 99 %; residue leaves out the rows that labelled_sample leaves out."""
+    if residue:
+        labels = labels.where(~held_out(*residue))
     mean = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
     return min(max(0.5 if mean is None else mean, 0.01), 0.99)
 

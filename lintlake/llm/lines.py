@@ -158,7 +158,7 @@ def train(sample: list[tuple[bytes, int]], share: float = 0.5, steps: int = 200,
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_bytes: int = 65_536) -> Field:
     """Trained on at most ``rows`` labelled documents of at most ``most_bytes`` bytes, none of them held out (crc32 of doc_id mod 5 = 0)."""
-    return train(collected(labelled_sample(docs, labels, "quality", rows, most_bytes, (5, 0))), label_share(labels, "quality"))
+    return train(collected(labelled_sample(docs, labels, "quality", rows, most_bytes, (5, 0))), label_share(labels, "quality", (5, 0)))
 
 
 def _score(field: Field, threshold: float):

@@ -196,7 +196,7 @@ def _score(net: Network, threshold: float):
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = 3200, most_bytes: int = 16_384) -> Network:
     """Trained on at most ``rows`` labelled documents of at most ``most_bytes`` bytes, none of them held out (crc32 of doc_id mod 3 = 1)."""
-    return train(collected(labelled_sample(docs, labels, "toxic", rows, most_bytes, (3, 1))), label_share(labels, "toxic"))
+    return train(collected(labelled_sample(docs, labels, "toxic", rows, most_bytes, (3, 1))), label_share(labels, "toxic", (3, 1)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, net: Network | None = None) -> DataFrame:

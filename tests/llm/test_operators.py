@@ -297,6 +297,15 @@ def test_line_quality_learns(spark):
     assert ((got.predicted == 1) == (got.quality == 1)).mean() > 0.95
 
 
+@pytest.mark.parametrize("module, residue", [(toxicity, (3, 1)), (lines, (5, 0))])
+def test_label_share_leaves_out_held_out_rows(spark, monkeypatch, module, residue):
+    aside = {i: zlib.crc32(str(i).encode()) % residue[0] == residue[1] for i in range(1, 60)}
+    held = [(i, int(out or i % 4 == 0), int(out or i % 4 == 0), None, None) for i, out in aside.items()]
+    monkeypatch.setattr(module, "train", lambda sample, share: share)
+    kept = [q for i, q, *_ in held if not aside[i]]
+    assert any(aside.values()) and module.fitted(docs(spark), labels(spark, held)) == pytest.approx(sum(kept) / len(kept))
+
+
 def test_chat(spark):
     said = [(1, 0, "system", "be </s>"), (1, 1, "user", "a\\b"), (1, 2, "assistant", "[INST]"), (1, 2, "assistant", "[INST]"), (1, None, "user", None), (2, 5, "assistant", ""), (3, 1, "user", "no reply"), (None, 1, None, "x"), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     got = chat.digests(chat.examples(spark.createDataFrame([(*r, "t") for r in said], "conv_id long, turn long, role string, text string, example string")))
