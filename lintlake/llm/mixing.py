@@ -1,11 +1,13 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A source's documents fall into blocks by a hash; a fixed bijection permutes the blocks.  The mix
-draws an exact number of blocks from each source: whole passes over the source, and a part of one
-more pass.  A binary tree over the output shards splits these quotas: at each node the left half
-gets a multivariate-hypergeometric share of what the node holds, so that all shards' quotas add up
-exactly.  A shard's quota of a source is a run of the source's permuted blocks, disjoint from all
-other shards' runs, and its documents are put in a hashed order inside the shard.
+A source's documents fall into blocks by a hash; a fixed bijection permutes the blocks.  The mix takes whole
+passes over a source and a part of one more: the block in which that part ends is cut in two, where
+the words come nearest to the target, so that the part is a whole number of blocks too.  These block quotas are
+split exactly among the output shards by a binary tree: at each node the left half gets a
+multivariate-hypergeometric share of what the node holds.  The tree runs over 1024 groups of sources, and within
+each group over its sources, which is the same draw.  A shard's quota of a source is a run of the source's
+permuted blocks, disjoint from all other shards' runs; what a document is taken for is what the
+shards draw of it, and a shard's documents are shuffled locally, by hash.
 """
 
 from __future__ import annotations
@@ -20,43 +22,52 @@ from .common import WORD, table, written
 WEIGHTS = (5, 2, 1)
 BLOCK_DOCS = 64
 MOST_BLOCKS = 4096
+#: Groups of sources; the driver sees one number for each.
+GROUPS = 1024
+#: The draw takes less than 10**9 blocks in all.
+ALL_BLOCKS = 250_000_000
+#: Sources (a row of some 300 bytes each) up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
+#: Into so many parts a shard is cut for its local shuffle.
+SLOTS = 4096
 
 
 def n_words() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the excess is shared anew until none is above."""
-    target, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = min(total, most * sum(sizes))
-    while open_:
-        level = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if level * weights[i] >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = level * weights[i]
-            break
-        for i in full:
-            target[i] = float(most * sizes[i])
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return target
-
-
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, sources): how many blocks of each source a shard gets.  Rows differ in their sums by one at most."""
+def water_filled(totals: DataFrame, total: float, most: float, weights: tuple[float, ...]) -> DataFrame:
+    """Adds source_no and target to (source, words): shares of ``total`` times all words by weight, none above ``most`` times its own words.
+
+    Sources go by code point, a null one last.  In the order of words per weight, the sources that are full come
+    first; of the others none is above the level that is left for it.  One row a source, whatever the data.
+    """
+    everything, by_fill = Window.partitionBy(), Window.partitionBy().orderBy("ratio", "source_no")
+    numbered = totals.withColumn("source_no", F.row_number().over(Window.partitionBy().orderBy(F.asc_nulls_last("source"))) - 1)
+    weighed = numbered.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.col("source_no") % len(weights)))
+    filled = weighed.withColumn("full", F.col("words") * float(most)).withColumn("ratio", F.col("full") / F.col("weight"))
+    before = F.coalesce(F.sum("full").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))
+    level = (F.least(F.lit(float(total)), F.lit(float(most))) * F.sum("words").over(everything) - before) / left
+    levelled = filled.withColumn("level", level).withColumn("level", F.when(F.col("ratio") > F.col("level"), F.col("level")))
+    target = F.when(F.col("level").isNull(), F.col("full")).otherwise(F.max("level").over(everything) * F.col("weight"))
+    return levelled.withColumn("target", target).drop("weight", "full", "ratio", "level")
+
+
+def split_quotas(quotas: np.ndarray, shards: int, seed: list[int], sums: np.ndarray | None = None) -> np.ndarray:
+    """(shards, len(quotas)): how much of each quota a shard gets.  The rows' sums are ``sums``, or differ by one at most."""
     out = np.zeros((shards, len(quotas)), np.int64)
+    total = int(quotas.sum())
+    if sums is None:
+        sums = np.array([total // shards + (i < total % shards) for i in range(shards)], np.int64)
 
     def node(held: np.ndarray, lo: int, hi: int) -> None:
         if hi - lo == 1:
             out[lo] = held
             return
         mid = (lo + hi) // 2
-        total = int(held.sum())
-        left = sum(total // (hi - lo) + (i < total % (hi - lo)) for i in range(mid - lo))
-        rng = np.random.default_rng([seed, lo, hi])
-        share = rng.multivariate_hypergeometric(held, left, method="marginals") if total else held
+        rng = np.random.default_rng([*seed, lo, hi])
+        share = rng.multivariate_hypergeometric(held, int(sums[lo:mid].sum()), method="marginals") if held.any() else held
         node(share, lo, mid)
         node(held - share, mid, hi)
 
@@ -64,13 +75,15 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permutation(n: int, seed: int) -> tuple[int, int]:
-    """(a, c) so that b -> (a * b + c) mod n is a bijection of range(n)."""
-    rng = np.random.default_rng([seed, n])
-    a = int(rng.integers(1, max(2, n)))
-    while np.gcd(a, n) != 1:
-        a = a % n + 1
-    return a, int(rng.integers(0, n))
+def _split_group(shards: int, seed: int):
+    """Of the sources of one group: where each shard's run of blocks ends."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source_no")
+        drawn = split_quotas(pdf["quota"].to_numpy(), shards, [seed, int(pdf["grp"].iloc[0])], np.array(pdf["sums"].iloc[0]))
+        return pd.DataFrame({"source_no": pdf["source_no"], "ends": list(np.cumsum(drawn, axis=0).T)})
+
+    return run
 
 
 def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
@@ -93,7 +106,7 @@ def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
 
 
 def fill_gap(block: pd.DataFrame, pool: int = 12) -> pd.DataFrame:
-    """Of one source's boundary block: documents in hashed order, and of those around the end the subset that comes nearest to the target."""
+    """Of one source's last piece of a block: documents in hashed order, and of those around the end the subset that comes nearest to the target."""
     pdf = block.sort_values(["order_hash", "doc_id", "size"], kind="stable").reset_index(drop=True)
     wanted, upto = int(pdf["gap"].iloc[0]), np.cumsum(pdf["size"].to_numpy())
     first = max(0, int(np.searchsorted(upto, wanted, side="right")) - pool)
@@ -103,65 +116,97 @@ def fill_gap(block: pd.DataFrame, pool: int = 12) -> pd.DataFrame:
     return pd.DataFrame({"row_id": pdf["row_id"].iloc[chosen]})
 
 
-def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, shards (of each copy), order_hash.
+def power_of_two(n: Column, most: int) -> Column:
+    """The largest power of two within n and ``most``; 1 at least."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.least(n.cast("double"), F.lit(float(most))), F.lit(1.0))))).cast("long")
+
+
+def _cut(sized: DataFrame, place: str, wanted: str) -> DataFrame:
+    """source_no, edge, gap, held: the place in which the words of a source, summed by place, come to exceed ``wanted``, how many words before that, and its documents."""
+    sums = sized.groupBy("source_no", place).agg(F.sum("size").alias("words"), F.count("*").alias("held"), F.first(wanted).alias("wanted"))
+    upto = sums.withColumn("end", F.sum("words").over(Window.partitionBy("source_no").orderBy(place)))  # MOST_BLOCKS rows a source at most
+    edge = F.min(F.struct(F.col(place).alias("edge"), (F.col("wanted") - F.col("end") + F.col("words")).alias("gap"), "held"))
+    return upto.where(F.col("end") > F.col("wanted")).groupBy("source_no").agg(edge.alias("e")).select("source_no", "e.*")
+
+
+def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = 7, rows: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, shards (of each copy), order_hash, row_id; with ``rows`` the document itself as ``row``.
 
     Whole documents are taken, up to ``ceil(most)`` times each; a source's taken words come as near its
     target as a subset of two dozen of its documents can bring them.  Null text has no words; a document
-    without words takes part in whole passes like others.  Sources in order of code points, a null source
-    last, take the weights in turn.  There must be some thousands of sources at most (one row each
-    on the driver; more raises); blocks are 4096 a source at most, so one source may hold any
-    part of all rows.  Rows that repeat a doc_id share a block and are drawn on their own.
+    without words takes part in passes like others.  Sources in order of code points, a null source
+    last, take the weights in turn.  There may be any number of sources, and one of them may hold any part
+    of all rows: beyond BROADCAST_SOURCES their table is joined by a shuffle whose large partitions can be split.
+    Rows that repeat a doc_id with another text are placed on their own, and so are all rows with a null doc_id.
     An empty table gives no rows.  Extra columns are ignored.  Reruns agree.
     """
     spark = docs.sparkSession
-    base = written(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("order_hash"), F.xxhash64("doc_id", "source", "text").alias("row_hash"), F.monotonically_increasing_id().alias("row_id")), "mix")
-    totals = base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(100_001).collect()
-    if len(totals) > 100_000:
-        raise ValueError("more than 100000 sources: give coarser ones")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    sizes = [r.words for r in totals]
-    target = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total * sum(sizes), most)
-    n_blocks = [max(1, min(MOST_BLOCKS, r.n // BLOCK_DOCS)) for r in totals]
-    passes = [int(t // s) if s else 0 for t, s in zip(target, sizes, strict=True)]
-    part = [round(t - p * s) for t, p, s in zip(target, passes, sizes, strict=True)]
-    steps = [permutation(n, seed + i) for i, n in enumerate(n_blocks)]
-    plan = spark.createDataFrame(
-        [(r.source, i, s, t, n, p, q, a, c) for i, (r, s, t, n, p, q, (a, c)) in enumerate(zip(totals, sizes, target, n_blocks, passes, part, steps, strict=True))],
-        "source string, source_no int, source_size long, target double, n_blocks long, passes long, part long, a long, c long",
-    )  # one row a source
-    blocked = base.withColumnRenamed("source", "own_source").join(F.broadcast(plan), F.col("own_source").eqNullSafe(F.col("source"))).drop("own_source")
-    blocked = blocked.withColumn("place", F.pmod(F.col("a") * F.pmod(F.col("order_hash"), F.col("n_blocks")) + F.col("c"), F.col("n_blocks")))
-    # Words up to each permuted block, 4096 rows a source at most; the block in which the part of a pass ends is the boundary.
-    sums = blocked.groupBy("source_no", "place", "part").agg(F.sum("size").alias("words"))
-    upto = sums.withColumn("end", F.sum("words").over(Window.partitionBy("source_no").orderBy("place")))
-    edge = upto.where(F.col("end") > F.col("part")).groupBy("source_no").agg(F.min(F.struct("place", (F.col("part") - F.col("end") + F.col("words")).alias("gap"))).alias("e"))
-    edges = written(edge.select("source_no", F.col("e.place").alias("edge"), F.col("e.gap").alias("gap")), "edges")  # one row a source
-    whole = {r.source_no: r.edge for r in edges.collect()}
-    quotas = np.array([p * n + (whole.get(i, n) if q else 0) for i, (p, n, q) in enumerate(zip(passes, n_blocks, part, strict=True))], np.int64)
-    ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0).T if len(quotas) else np.zeros((0, shards), np.int64)
-    shard_ends = spark.createDataFrame([(i, [int(x) for x in e]) for i, e in enumerate(ends)], "source_no int, ends array<long>")
-    placed = blocked.join(F.broadcast(edges), "source_no", "left").join(F.broadcast(shard_ends), "source_no")
-    placed = placed.withColumn("extra", F.when(F.col("part") <= 0, 0).when(F.col("edge").isNull() | (F.col("place") < F.col("edge")), 1).otherwise(0).cast("long"))
-    inside = placed.where((F.col("part") > 0) & (F.col("place") == F.col("edge"))).select("row_id", "doc_id", F.col("source_no").alias("source"), "size", "order_hash", "gap")
-    more = inside.groupBy("source").applyInPandas(lambda pdf: fill_gap(pdf), "row_id long").withColumn("more", F.lit(1))
-    joined = placed.join(more, "row_id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    copies = (F.col("passes") + F.col("extra") + F.col("more")).cast("int")
-    draw = lambda i: F.when(i * F.col("n_blocks") + F.col("place") < F.element_at("ends", -1), F.size(F.filter("ends", lambda e: e <= i * F.col("n_blocks") + F.col("place")))).otherwise(F.pmod("order_hash", F.lit(shards)).cast("int"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.when(copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1), draw)).otherwise(F.array().cast("array<int>")).alias("shards"), "order_hash", "row_hash")
+    order = F.xxhash64("doc_id", "source", "text", F.lit(seed), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    kept = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if rows else []
+    base = written(docs.select("doc_id", F.col("source").alias("own_source"), n_words().alias("size"), order.alias("order_hash"), F.monotonically_increasing_id().alias("row_id"), *kept), "mix")
+    totals = written(base.groupBy(F.col("own_source").alias("source")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "sources")
+    sources = totals.count()
+    beside = F.broadcast if sources <= BROADCAST_SOURCES else lambda df: df
+    most_blocks = int(min(MOST_BLOCKS, 2 ** np.floor(np.log2(max(1, ALL_BLOCKS // max(1, sources))))))
+    blocks = power_of_two(F.col("n") / BLOCK_DOCS, most_blocks)
+    passes = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0).cast("long")
+    plan = water_filled(totals, total, most, weights).withColumns({"passes": passes, "blocks": blocks})
+    plan = plan.withColumns({"part": F.round(F.col("target") - F.col("passes") * F.col("words")).cast("long"), "odd": 2 * F.pmod(F.xxhash64("source_no", F.lit(seed)), F.lit(2048)) + 1, "shift": F.pmod(F.xxhash64(F.lit(seed), "source_no"), F.lit(MOST_BLOCKS))})
+    plan = written(plan.select("source", "source_no", F.col("words").alias("source_size"), "target", "passes", "part", "blocks", "odd", "shift"), "plan")
+
+    placed = base.join(beside(plan), F.col("own_source").eqNullSafe(F.col("source"))).drop("own_source")
+    placed = placed.withColumn("place", F.pmod(F.col("odd") * F.pmod("order_hash", "blocks") + F.col("shift"), F.col("blocks")))  # an odd multiplier permutes a power of two
+    last = written(_cut(placed.where("part > 0"), "place", "part").withColumn("pieces", power_of_two(F.col("held") / BLOCK_DOCS, MOST_BLOCKS)).drop("held"), "edges")
+    # The block in which the part ends, in pieces of some 64 documents; the piece in which it ends goes to one group.
+    inside = placed.join(beside(last), "source_no").where(F.col("place") == F.col("edge")).withColumn("piece", F.pmod(F.shiftright("order_hash", 13), F.col("pieces")))
+    cut = written(_cut(inside, "piece", "gap").select("source_no", F.col("edge").alias("last_piece"), F.col("gap").alias("last_gap")), "edges")
+    piece = inside.drop("gap").join(beside(cut), "source_no").where(F.col("piece") == F.col("last_piece")).select("source_no", "row_id", "doc_id", "size", "order_hash", F.col("last_gap").alias("gap"))
+    chosen = written(piece.groupBy("source_no").applyInPandas(lambda pdf: fill_gap(pdf), "row_id long").withColumn("chosen", F.lit(True)), "chosen")
+
+    edges = plan.select("source_no", "passes", "part", "blocks").join(last.drop("gap"), "source_no", "left").join(cut.drop("last_gap"), "source_no", "left")
+    part = F.when(F.col("part") > 0, F.coalesce(F.col("edge") + 1, F.col("blocks") + 1)).otherwise(0)
+    quotas = written(edges.select("source_no", "edge", "pieces", "last_piece", (F.col("passes") * (F.col("blocks") + 1) + part).alias("quota"), F.pmod(F.xxhash64("source_no"), F.lit(GROUPS)).alias("grp")), "quotas")
+    held = np.zeros(GROUPS, np.int64)
+    for r in quotas.groupBy("grp").agg(F.sum("quota").alias("q")).collect():  # a number a group
+        held[r.grp] = r.q
+    per_group = spark.createDataFrame(list(enumerate(split_quotas(held, shards, [seed]).T.tolist())), "grp long, sums array<long>")
+    ends = quotas.join(F.broadcast(per_group), "grp").select("grp", "source_no", "quota", "sums").groupBy("grp").applyInPandas(_split_group(shards, seed), "source_no long, ends array<long>")
+    runs = written(quotas.drop("grp").join(ends, "source_no"), "runs")
+
+    near = placed.join(beside(runs), "source_no")
+    if sources <= BROADCAST_SOURCES:  # two dozen documents a source
+        chosen = F.broadcast(chosen)
+    drawn = near.join(chosen, "row_id", "left").withColumn("piece", F.pmod(F.shiftright("order_hash", 13), F.col("pieces")))
+    head = (F.col("piece") < F.col("last_piece")) | F.coalesce("chosen", F.lit(False))
+    at = F.when(F.col("edge").isNull() | (F.col("place") < F.col("edge")), F.col("place")).when((F.col("place") == F.col("edge")) & head, F.col("edge")).otherwise(F.col("place") + 1)
+    drawn = drawn.withColumn("at", at)
+    index = lambda i: i * (F.col("blocks") + 1) + F.col("at")
+    taken = F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda i: index(i) < F.col("quota"))
+    drawn = drawn.withColumn("shards", F.transform(taken, lambda i: F.size(F.filter("ends", lambda e: e <= index(i)))))
+    copies = F.size("shards")
+    return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "shards", "order_hash", "row_id", *(["row"] if rows else []))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
+def shuffled(docs: DataFrame, seed: int = 7, **parameters) -> DataFrame:
+    """One row for each time the mix takes a document: ``row``, shard, and position (gapless from 0 in the shard, in hashed order).
+
+    Ranks are counted within SLOTS parts of a shard, so that no task holds a whole shard.  Nulls, repeated rows and empty tables as in mix().
+    """
+    each = mix(docs, seed=seed, rows=True, **parameters).select("row", "order_hash", "row_id", F.posexplode("shards").alias("copy", "shard"))
+    each = each.withColumn("key", F.xxhash64("order_hash", "row_id", "copy", F.lit(seed))).withColumn("part", F.pmod(F.col("key"), F.lit(SLOTS)))
+    counts = each.groupBy("shard", "part").agg(F.count("*").alias("n"))  # SLOTS rows a shard at most
+    starts = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "row_id", "copy"))
+    return each.withColumn("rank", rank).join(F.broadcast(starts), ["shard", "part"]).select("row", "shard", (F.col("start") + F.col("rank") - 1).alias("position"))
+
+
 def taken_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that the mix takes, a row for each time it takes them, with the columns of ``docs``."""
-    drawn = mix(docs, **parameters).groupBy("doc_id", "row_hash").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("copies").alias("sum"), F.count("*").alias("rows"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "source", "text").alias("hash"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    joined = rows.join(drawn, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("row_hash")))
-    single = joined.where("rows = 1").withColumn("times", F.col("most"))
-    # Rows that are equal in doc_id, source and text share their draws: the first ones get one more where they differ.
-    twin = F.row_number().over(Window.partitionBy("id", "hash").orderBy("rows"))
-    twins = joined.where("rows > 1").withColumn("times", F.col("least") + (twin <= F.col("sum") - F.col("rows") * F.col("least")).cast("int"))
-    return single.unionByName(twins).where("times > 0").withColumn("each", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    """The documents that the mix takes, a row for each time it takes them, with the columns of ``docs``, shard by shard in shuffled order.
+
+    Null texts have no words but stay documents; rows that repeat are drawn each; an empty table gives no rows.
+    """
+    return shuffled(docs, **parameters).select("row.*")
