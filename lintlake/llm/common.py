@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,14 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a temporary one in local mode; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.gettempdir()}/lintlake-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or f"file://{tempfile.gettempdir()}/lintlake-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -40,12 +39,25 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=partition_by or [])
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that a worker holds some MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def stable_hash(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word, the same in every process."""
+    ids: dict[bytes, int] = {}
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+    digest = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in ids), np.uint64)
+    return digest[flat] if len(flat) else np.zeros(0, np.uint64)
 
 
 def text_bytes() -> Column:
@@ -98,8 +110,8 @@ def flat(lists: list[list]) -> list:
     return list(itertools.chain.from_iterable(lists))
 
 
-def best_cut(logit: np.ndarray, y: np.ndarray, share: float) -> float:
-    """The cut between two logits with the highest F1 of label 1, were ``share`` of all rows of that label; 0 without both labels."""
+def best_cut(logit: np.ndarray, y: np.ndarray, share: float, slack: float = 0.01) -> float:
+    """The middle of the cuts around the one with the highest F1 of label 1 that come near it, were ``share`` of all rows of that label; 0 without both labels."""
     if not 0 < y.sum() < len(y):
         return 0.0
     order = np.argsort(-logit, kind="stable")
@@ -107,8 +119,9 @@ def best_cut(logit: np.ndarray, y: np.ndarray, share: float) -> float:
     other = np.cumsum(1 - y[order]) * ((1 - share) / (1 - y.mean()))
     f1 = 2 * hits / (hits + other + hits[-1])
     f1[:-1][z[:-1] == z[1:]] = -1
-    k = int(np.argmax(f1))
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
+    near = np.flatnonzero(f1 >= f1.max() - slack)
+    below = z[near[-1] + 1] if near[-1] + 1 < len(z) else z[-1] - 2
+    return float((z[near[0]] + below) / 2)
 
 
 def label_share(labels: DataFrame, label: str, residue: tuple[int, int] | None = None) -> float:

@@ -1,8 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is its embedding (frequent words of the training sample) beside the mean embedding of
-its character trigrams.  The network reads windows of 16 words that overlap by half; a document's
-logit is the log-sum-exp over all of its windows, so that one bad passage in a long text counts.
+its character trigrams.  The network reads windows of 16 words that overlap by half (one starts at every
+8th word, and the last one ends with the text); a document's logit is the log-sum-exp over all of its
+windows less half the logarithm of their number, so that one bad passage in a long text counts and length
+alone does not.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import best_cut, blocks, collected, encoded, held_out, label_share, labelled_sample, sigmoid, small_batches, table
+from .common import best_cut, blocks, collected, encoded, held_out, label_share, labelled_sample, sigmoid, table
 
 WINDOW, STRIDE = 16, 8
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 8, 8, 4096
+#: How much of the logarithm of the number of windows comes off a document's logit.
+LENGTH_WEIGHT = 0.5
 EDGES = bytes(c for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123))
 
 
@@ -27,9 +31,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def window_starts(n: int) -> list[int]:
+def window_starts(n: int, stride: int = STRIDE) -> list[int]:
     """All windows of a text of n words; the last ends with the text, a shorter text is one window."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    return [0] if n <= WINDOW else [*range(0, n - WINDOW, stride), n - WINDOW]
 
 
 def inputs(words: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +49,36 @@ def inputs(words: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray
     return rows, tri[inner[:-2]], count
 
 
+class Lexicon:
+    """The distinct words of some texts (number 0: the empty word) with their inputs, and the texts as numbers of words."""
+
+    def __init__(self, texts: list[list[bytes]], vocabulary: dict[bytes, int], least: int = 1):
+        ids: dict[bytes, int] = {b"": 0}
+        self.texts = [np.array([ids.setdefault(w, len(ids)) for w in t] + [0] * (least - len(t)), np.int64) for t in texts]
+        self.rows, self.tri, self.count = inputs(list(ids), vocabulary)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def inputs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = self.count[words]
+        at = np.arange(int(count.sum())) + np.repeat(self.begin[words] - np.cumsum(count) + count, count)
+        return self.rows[words], self.tri[at], count
+
+
+def windows(sizes: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts one after the other: where their windows start, and how many each has."""
+    begin, starts = np.cumsum(sizes) - sizes, [window_starts(n, stride) for n in sizes.tolist()]
+    return np.concatenate([b + np.array(s) for b, s in zip(begin, starts, strict=True)]), np.array([len(s) for s in starts])
+
+
+def pooled(z: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A logit for each document from those of its windows, and each window's share in it."""
+    first, doc = np.cumsum(per) - per, np.repeat(np.arange(len(per)), per)
+    top = np.maximum.reduceat(z, first)
+    share = np.exp(z - top[doc])
+    total = np.add.reduceat(share, first)
+    return top + np.log(total) - LENGTH_WEIGHT * np.log(per), share / total[doc]
+
+
 class Network:
     def __init__(self, vocabulary: dict[bytes, int], seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -57,12 +91,11 @@ class Network:
         }
         self.p["word"][0] = 0
 
-    def gates(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """What distinct words add to the gates of both directions, once for all windows they are in."""
-        rows, tri, count = inputs(words, self.vocabulary)
+    def gates(self, rows: np.ndarray, tri: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What distinct words add to the gates of both directions, once for all windows they are in; and their inputs."""
         chars = np.add.reduceat(self.p["char"][tri], np.cumsum(count) - count, axis=0) / count[:, None].astype(np.float32)
         x = np.concatenate([self.p["word"][rows], chars], axis=1)
-        return x @ self.p["wx"] + self.p["b"], (rows, tri, count, x)
+        return x @ self.p["wx"] + self.p["b"], x
 
     def run(self, g: np.ndarray, ids: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """g: gate inputs by row, ids: (windows, steps) rows.  Attention weights, outputs (both steps x windows) and window logits."""
@@ -90,46 +123,40 @@ class Network:
 
     def logits(self, texts: list[list[bytes]]) -> np.ndarray:
         """A logit for each document, from all of its windows."""
-        ids: dict[bytes, int] = {b"": 0}
-        flat = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t or (b"",)), np.int64)
-        names = list(ids)
-        g = self.gates(names)[0][flat]
-        size = np.array([max(len(t), 1) for t in texts])
-        begin = np.cumsum(size) - size
-        starts = np.concatenate([b + np.array(window_starts(n)) for b, n in zip(begin, size, strict=True)])
-        per = np.array([len(window_starts(n)) for n in size])
-        doc = np.repeat(np.arange(len(texts)), per)
-        length = np.minimum(size, WINDOW)[doc]
+        lexicon = Lexicon(texts, self.vocabulary)
+        g = self.gates(lexicon.rows, lexicon.tri, lexicon.count)[0][np.concatenate(lexicon.texts)]
+        size = np.array([len(t) for t in lexicon.texts])
+        starts, per = windows(size)
+        length = np.repeat(np.minimum(size, WINDOW), per)
         z = np.empty(len(starts), np.float32)
         for steps in np.unique(length):
             of = np.flatnonzero(length == steps)
             for part in np.array_split(of, max(1, len(of) // 4096)):
                 z[part] = self.run(g, starts[part][:, None] + np.arange(steps))[2]
-        first = np.cumsum(per) - per
-        top = np.maximum.reduceat(z, first)
-        return top + np.log(np.add.reduceat(np.exp(z - top[doc]), first))
+        return pooled(z, per)[0]
 
-    def gradient(self, texts: list[list[bytes]], y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over documents of WINDOW words at least (shorter ones are filled up with empty words)."""
+    def gradient(self, lexicon: Lexicon, some: list[int], y: np.ndarray, stride: int = STRIDE, least: float = 0.0) -> dict[str, np.ndarray]:
+        """Of the mean log loss over some of the lexicon's documents, each of WINDOW words at least; windows in which the loss is flatter than ``least`` are left out."""
         p, h = self.p, HIDDEN
-        texts = [t + [b""] * max(0, WINDOW - len(t)) for t in texts]
-        ids: dict[bytes, int] = {}
-        flat = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t), np.int64)
-        g, (rows, tri, count, x) = self.gates(list(ids))
-        size = np.array([len(t) for t in texts])
-        begin, per = np.cumsum(size) - size, np.array([len(window_starts(n)) for n in size])
-        starts = np.concatenate([b + np.array(window_starts(n)) for b, n in zip(begin, size, strict=True)])
-        doc, first = np.repeat(np.arange(len(texts)), per), np.cumsum(per) - per
-        at = flat[starts[:, None] + np.arange(WINDOW)]
+        texts = [lexicon.texts[i] for i in some]
+        starts, per = windows(np.array([len(t) for t in texts]), stride)
+        doc = np.repeat(np.arange(len(texts)), per)
+        used, at = np.unique(np.concatenate(texts)[starts[:, None] + np.arange(WINDOW)], return_inverse=True)
+        at = at.reshape(-1, WINDOW)
+        logit, share = pooled(self.run(self.gates(*lexicon.inputs(used))[0], at)[2], per)
+        dz = ((sigmoid(logit) - y) / len(y))[doc] * share
+        steep = np.abs(dz) >= least
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        if not steep.any():
+            return grad
+        dz, (left, at) = dz[steep], np.unique(at[steep], return_inverse=True)
+        at = at.reshape(-1, WINDOW)
+        rows, tri, count = lexicon.inputs(used[left])
+        g, x = self.gates(rows, tri, count)
         keep: list = []
-        weight, out, z = self.run(g, at, keep)
-        top = np.maximum.reduceat(z, first)
-        share = np.exp(z - top[doc])
-        total = np.add.reduceat(share, first)
-        dz = ((sigmoid(top + np.log(total)) - y) / len(y))[doc] * share / total[doc]
+        weight, out, _ = self.run(g, at, keep)
         dweight = dz * out
         dscore, dout = weight * (dweight - (weight * dweight).sum(axis=0)), dz * weight
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
         grad["c"][0] = dz.sum()
         dg = np.zeros((WINDOW, len(at), 6 * h), np.float32)
         carry = [np.zeros((len(at), h), np.float32)] * 2
@@ -144,17 +171,21 @@ class Network:
             dg[t, :, 3 * h * d : 3 * h * (d + 1)] = np.concatenate([dzg, dr, dn], axis=1)
             grad["ub" if d else "uf"] += before.T @ da
             carry[d] = dh * zg + da @ u.T
-        order = np.argsort(at.T.ravel(), kind="stable")
-        sums = np.add.reduceat(dg.reshape(-1, 6 * h)[order], np.searchsorted(at.T.ravel()[order], np.arange(len(ids))), axis=0)
+        flat = at.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        sums = np.add.reduceat(dg.reshape(-1, 6 * h)[order], np.searchsorted(flat[order], np.arange(len(left))), axis=0)
         grad["wx"], grad["b"] = x.T @ sums, sums.sum(axis=0)
         dx = sums @ p["wx"].T
-        np.add.at(grad["word"], rows, dx[:, :WORD_DIM])
+        for k in range(WORD_DIM):
+            grad["word"][:, k] = np.bincount(rows, weights=dx[:, k], minlength=len(p["word"]))
         grad["word"][0] = 0
-        np.add.at(grad["char"], tri, np.repeat(dx[:, WORD_DIM:] / count[:, None], count, axis=0))
+        each = np.repeat(dx[:, WORD_DIM:] / count[:, None], count, axis=0)
+        for k in range(CHAR_DIM):
+            grad["char"][:, k] = np.bincount(tri, weights=each[:, k], minlength=CHAR_ROWS)
         return grad
 
 
-def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5, batch: int = 16, rate: float = 0.02, least_steps: int = 600, vocabulary: int = 20_000, seed: int = 3) -> Network:
+def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5, batch: int = 16, rate: float = 0.02, least_steps: int = 400, vocabulary: int = 20_000, seed: int = 3) -> Network:
     """Adam over the sample, ``epochs`` times or for ``least_steps`` steps; one document in six is left out and sets the place of the cut."""
     texts, y = [words_of(t) for t, _ in sample], np.array([v for _, v in sample], np.float32)
     seen = Counter(w.strip(EDGES) or w for t in texts for w in set(t))
@@ -162,16 +193,17 @@ def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5,
     net = Network({w: i for i, w in enumerate(frequent, 1)}, seed)
     aside = np.array([zlib.crc32(t) % 6 == 0 for t, _ in sample], bool)
     fit = np.flatnonzero(~aside)
+    lexicon = Lexicon([texts[i] for i in fit], net.vocabulary, WINDOW)
     rng = np.random.default_rng(seed)
     m, s = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
     epochs = max(epochs, -(-least_steps // max(1, len(fit) // batch)))
     if len(fit) and 0 < y[fit].sum() < len(fit):
         for epoch in range(epochs):
-            order = rng.permutation(fit)
+            order = rng.permutation(len(fit))
             for part in np.array_split(order, max(1, len(order) // batch)):
                 step += 1
-                grad = net.gradient([texts[i] for i in part], y[part])
+                grad = net.gradient(lexicon, part, y[fit[part]], WINDOW, 1e-3 / len(part))
                 for k, value in net.p.items():
                     m[k] += 0.1 * (grad[k] - m[k])
                     s[k] += 0.01 * (grad[k] ** 2 - s[k])
@@ -206,15 +238,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, net: Ne
     Rows that repeat a doc_id are scored each.  An empty table gives no rows; without labels of both
     kinds the network stays untrained.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     net = net or fitted(docs, labels)
     scored = docs.select("doc_id", "text").mapInArrow(_score(net, threshold), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below the threshold, with their columns; the text travels through the scoring, so no join is needed."""
-    small_batches(docs.sparkSession)
+    """The documents that score below the threshold, with their columns; the text travels through the scoring, so no join is needed.
+
+    Null and empty texts are scored as one empty word; rows that repeat are scored each; an empty table gives no
+    rows; without labels of both kinds the network is untrained, its cut is where a logit is 0, and what it keeps says nothing.
+    """
     net, columns = fitted(docs, labels), docs.columns
     kinds = dict(docs.dtypes)
 
