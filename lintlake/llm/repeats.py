@@ -8,11 +8,12 @@ they are, lie in segments with equal hashes.  So:
    tells the chunks which hashes occur in more than one document.
 2. Chunks send those segments' distinct strings, each once, to buckets by hash.  A hash with very many
    occurrences is split: its windows go one by one, by their own hashes.
-3. A bucket pools equal strings, and where strings that differ meet under one hash, a Burrows-Wheeler
-   transform of them is expanded backward level by level up to 50; what is left has a common
-   prefix of 50 bytes.  Each such group's smallest document decides which windows go.
+3. A bucket pools equal strings, with their smallest document, and expands a Burrows-Wheeler transform of all
+   its distinct strings backward, level by level up to 50; what is left has a common prefix of 50
+   bytes.  Each such group's smallest document decides which windows go.
 4. Chunks cover the bytes of those windows.
 
+Hashes only deal the work out and pool whole strings: which windows are the same is found by the expansion.
 Documents are dealt to chunks once; the three passes over the text read the same exchange.
 """
 
@@ -29,6 +30,8 @@ from .common import table, text_bytes
 from .suffix import shared_windows
 
 LENGTH, GRAM = 50, 20
+#: Bytes of text in a chunk, whatever the size of the table; and of strings that are expanded together.
+CHUNK, TOGETHER = 4 << 20, 1 << 19
 SPAN = LENGTH - GRAM + 1
 WIDEST = LENGTH + SPAN - 1
 #: Occurrences beyond which a hash is split into its windows.
@@ -236,15 +239,19 @@ def _answer_strings(rows: pa.Table) -> pa.Table:
     distinct, index, of = np.unique(hashes, return_index=True, return_inverse=True)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, of, first)
-    known = np.repeat(least[:, None], SPAN, axis=1)
+    known = np.full((len(distinct), SPAN), np.iinfo(np.int64).max)
     own = np.where(hot, hashes, key)[index]
-    _, group, count = np.unique(own, return_inverse=True, return_counts=True)
-    contested = np.flatnonzero(count[group] > 1)
-    if len(contested):  # strings that differ, yet may have windows in common
-        string, offset, same = shared_windows(data, start[index[contested]], length[index[contested]], LENGTH)
-        values = least[contested[string]]
+    order = np.argsort(own, kind="stable")  # strings with windows in common have this in common
+    upto = np.cumsum(length[index[order]])
+    ends = np.flatnonzero(np.append(own[order][1:] != own[order][:-1], True)) + 1
+    batch = (upto[ends - 1] - 1) // TOGETHER
+    stops = ends[np.flatnonzero(np.append(batch[1:] != batch[:-1], True))]
+    for lo, hi in zip(np.append(0, stops[:-1]), stops, strict=True):
+        some = order[lo:hi]
+        string, offset, same = shared_windows(data, start[index[some]], length[index[some]], LENGTH)
+        string = some[string]
         begin = np.flatnonzero(np.diff(same, prepend=same[:1] - 1))
-        known[contested[string], offset] = np.repeat(np.minimum.reduceat(values, begin), np.diff(np.append(begin, len(same))))
+        known[string, offset] = np.repeat(np.minimum.reduceat(least[string], begin), np.diff(np.append(begin, len(same))))
     goes = (known[of] < first[:, None]) & (np.arange(SPAN) < n[:, None])
     told = goes.any(axis=1) | several
     bits = np.packbits(np.pad(goes, ((0, 0), (0, 32 - SPAN))), axis=1)
@@ -298,9 +305,8 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents dealt to chunks, and the buckets' answers by chunk."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
-    size = 4 * 2**20 * min(16.0, max(1.0, (total / 1e11) ** 0.5))  # larger chunks for larger corpora keep the packed rows long
-    chunks = max(int(total / size) + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
+    chunks = max(total // CHUNK + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
     hashes = dealt.groupBy("chunk").applyInArrow(_send_hashes(chunks), "bucket int, chunk long, hashes binary, counts binary")
     answers = hashes.groupBy("bucket").applyInArrow(_answer_hashes, "chunk long, hashes binary, hot binary")
     strings = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_strings(chunks), "bucket int, chunk long, hashes binary, meta binary, firsts binary, data binary")
@@ -312,8 +318,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.  A null
     text is empty.  A document with a null doc_id neither loses bytes nor takes others'.  Rows that repeat a
-    doc_id are no smaller than each other, so they keep what only they share.  Equal strings are told by
-    64-bit hashes and a common smallest 20-byte hash.  Empty tables give no rows; other columns are ignored.
+    doc_id are no smaller than each other, so they keep what only they share; they are dealt by their texts,
+    so that many of them do not gather in one chunk unless they are equal as a whole.  Equal strings of up to 80
+    bytes are pooled by 64-bit hashes.  Empty tables give no rows; other columns are ignored.
     """
     dealt, answers = _plan(docs.select("doc_id", "text"))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -322,7 +329,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes, with their columns; n_chars follows the text, and documents of which nothing is left go.
 
-    What is left of a character that lost some of its bytes is dropped with them.
+    What is left of a character that lost some of its bytes is dropped with them.  A null or empty text
+    stays as it is; null and repeated doc_ids as in repeated_spans(); an empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*(docs[c] for c in others)).alias("rest") if others else F.lit(None).cast("string").alias("rest"))
