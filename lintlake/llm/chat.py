@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import table
 
 # The template's control strings.  A turn reads <s>[INST]role[/INST]text</s>.
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -74,14 +74,14 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         nonlocal current, turns, begun
         for batch in batches:
-            for conv, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            for *conv, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "own", "role", "text")), strict=True):
                 if begun and conv != current:
-                    yield from _examples(current, turns)
+                    yield from _examples(current[0], turns)
                     turns = []
                 current, begun = conv, True
                 turns.append((role or "", text or ""))
         if begun:
-            yield from _examples(current, turns)
+            yield from _examples(current[0], turns)
 
     for row in rows():
         out.append(row)
@@ -97,13 +97,14 @@ def examples(conversations: DataFrame) -> DataFrame:
     """One row per assistant turn (and a context-only one where turns follow the last reply): conv_id, example, n_turns, text, loss_start, loss_end, last.
 
     Turns go by ``turn`` (null first; ties by role, then text, nulls first).  A null text or role is
-    empty; rows with a null conv_id are one conversation.  An example repeats its context, as the
-    format asks; a worker holds the turns of one conversation and a few MB of examples.  Empty tables
-    give no rows; other columns are ignored.
+    empty; each row with a null conv_id is a conversation of its own, so that such rows do not gather in
+    one place.  An example repeats its context, as the format asks: a conversation's examples grow with the
+    square of its length, and a worker holds the turns of one conversation and a few MB of examples.  Empty
+    tables give no rows; other columns are ignored.
     """
-    small_batches(conversations.sparkSession)
-    dealt = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_expand, EXAMPLE)
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    dealt = conversations.select("conv_id", alone, "turn", "role", "text").repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", "turn", "role", "text")
+    return dealt.select("conv_id", "own", "role", "text").mapInArrow(_expand, EXAMPLE)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,13 @@ SLOTS = 4096
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot).  A null text is empty; a null doc_id hashes like a number of its own."""
+    """(doc_id, size, text_crc32, virtual_slot).  A null text is empty; rows without a doc_id are spread over all slots one by one."""
+    unknown = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     return docs.select(
         "doc_id",
         (text_bytes() + 16).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64("doc_id", F.col("text"), unknown), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -91,6 +92,13 @@ class SlotMap:
         rows = [(version, slot, shard) for slot, shard in enumerate(slot_to_shard)]
         self.spark.createDataFrame(rows, "version int, virtual_slot int, shard int").coalesce(1).write.parquet(f"{self.folder}/version={version}")
 
+    def latest(self) -> int:
+        """The highest version there is; 0 without any."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not files.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(files):
+            return 0
+        return self.spark.read.schema("virtual_slot int, shard int, version int").parquet(self.folder).agg(F.max("version")).first()[0] or 0
+
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.folder}/version={version}").select("virtual_slot", "shard")
 
@@ -98,23 +106,28 @@ class SlotMap:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps: SlotMap | None = None) -> DataFrame:
     """One row per record: doc_id, size, text_crc32, virtual_slot, shard, slot (its place in the shard, from 0), map_version.
 
-    The shards' bytes come out as near equal as whole slots allow.  Null and empty texts weigh
-    16 bytes; equal texts are placed by their own doc_id, so a large group of copies spreads over
-    all slots; rows that repeat a doc_id share its slot and get places of their own.  An empty
-    table gives no rows.  Extra columns of ``docs`` are ignored.
+    ``maps``: the latest version there is loaded and edited, and the edit is the next version; without any
+    version (as in a new folder, the default) even runs of slots are the first.  The shards' bytes come out as near
+    equal as whole slots allow.  Null and empty texts weigh 16 bytes; equal texts are placed by their own
+    doc_id, so a large group of copies spreads over all slots, and so do rows that have no doc_id or repeat one
+    with other texts; rows that repeat as a whole share a slot and get places of their own.  An empty table gives no
+    rows.  Extra columns of ``docs`` are ignored.
     """
     maps = maps or SlotMap(docs.sparkSession)
     kept = written(records(docs, slots), "records")
     sums = dict.fromkeys(range(slots), 0) | {r.virtual_slot: r.b for r in kept.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}  # one number a slot
-    before = first_map(shards, slots)
-    after = rebalanced(before, [sums[s] for s in range(slots)], shards)
-    maps.write(1, before)
-    maps.write(2, after)
+    version = maps.latest()
+    if not version:
+        maps.write(version := 1, first_map(shards, slots))
+    before = [r.shard for r in sorted(maps.read(version).collect())]  # one number a slot
+    after = rebalanced([min(s, shards - 1) for s in before], [sums[s] for s in range(slots)], shards)
+    if after != before:
+        maps.write(version := version + 1, after)
     counts = kept.groupBy("virtual_slot").agg(F.count("*").alias("n"))
-    placed = counts.join(F.broadcast(maps.read(2)), "virtual_slot")
+    placed = counts.join(F.broadcast(maps.read(version)), "virtual_slot")
     starts = placed.select("virtual_slot", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("n")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return kept.withColumn("rank", rank).join(F.broadcast(starts), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(2).alias("map_version"))
+    return kept.withColumn("rank", rank).join(F.broadcast(starts), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(version).alias("map_version"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
