@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, best_cut, blocks, collected, encoded, held_out, label_share, labelled_sample, sigmoid, small_batches, table
+from .common import SPACES, best_cut, blocks, collected, encoded, held_out, label_share, labelled_sample, sigmoid, stable_hash, table
 
 #: Character classes whose share of a line's characters is a feature.
 CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "shout": b"!", "bar": b"|", "stop": b".,;", "symbol": b"#*$%&<>@^~_=+{}[]\\", "quote": b"\"'`", "high": range(128, 256), "space": SPACES}
@@ -57,7 +57,7 @@ def _again(lines: list[list[bytes]]) -> np.ndarray:
     n = int(size.sum())
     if n <= WINDOW:
         return np.zeros(len(lines))
-    h = np.fromiter((hash(w) for x in lines for w in x), np.int64, n).view(np.uint64)
+    h = stable_hash([w for x in lines for w in x])
     run = np.zeros(n - WINDOW + 1, np.uint64)
     for i in range(WINDOW):
         run = run * np.uint64(0x9E3779B97F4A7C15) + h[i : n - WINDOW + 1 + i]
@@ -180,7 +180,6 @@ def line_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fie
     a doc_id are scored each.  An empty table gives no rows; without labels of both kinds all
     lines are even.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     field = field or fitted(docs, labels)
     scored = docs.select("doc_id", "text").mapInArrow(_score(field, threshold), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

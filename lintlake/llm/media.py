@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, encoded, small_batches, table
+from .common import blocks, encoded, table
 from .jpeg import MOST_ROWS, WIDTH, read, write
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -85,13 +85,14 @@ def media_features(docs: DataFrame) -> DataFrame:
     A null or empty text is 192 spaces.  Equal texts have equal files and hashes.  Rows that repeat
     a doc_id are kept each.  An empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_features, FEATURES)
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """The documents with a ``media`` column of their files instead of the text."""
-    small_batches(docs.sparkSession)
+    """The documents with a ``media`` column of their files instead of the text and of any ``media`` column they had.
+
+    Other columns stay as they are; a null or empty text is a picture of 192 spaces, and an empty table gives no rows.
+    """
     kinds = [f"`{c}` {k}" for c, k in docs.dtypes if c not in ("text", "media")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +105,10 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def picture_info(media: DataFrame) -> DataFrame:
-    """doc_id, width, height, pictures, thumbnail_hash of any table with baseline JPEG files in ``media``; all null for a null or a broken file."""
-    small_batches(media.sparkSession, 100)
+    """doc_id, width, height, pictures, thumbnail_hash of any table with baseline JPEG files in ``media``; all null for a null or a broken file.
+
+    Rows that repeat a doc_id are read each; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, encoded, small_batches, table, written
+from .common import blocks, encoded, table, written
 from .graph import components
 from .shingles import BANDS, HASHES, WORDS, shingle_sets, signatures
 
@@ -179,12 +179,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     (null, empty, blank) have no shingles and no links.  Rows that repeat a doc_id stand for one
     document of all their links.  A null doc_id has no links and is kept.  Ties do not arise: the
     smallest doc_id of a component is kept.  Empty tables give no rows; other columns are ignored.
-    With 32 bands of 4 minima a pair at similarity 0.8 shares a band but for 5 in 100 million.
+    With 32 bands of 4 minima a pair at similarity 0.8 shares a band but for 5 in 100 million.  Pairs whose signatures
+    agree far less than they should are not compared further: at similarity 0.8 that is 1 pair in 50,000 among those
+    that only the tiles of one bucket tie (4.5 standard deviations), and 1 in 1,000 million in a family's tiles (6).
+    A doc_id with several texts is tied by the bands of all of them, and judged by the signature of one.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     threshold = percent / 100
-    slack = threshold - 4.5 * (threshold * (1 - threshold) / HASHES) ** 0.5
+    deviation = (threshold * (1 - threshold) / HASHES) ** 0.5
+    slack, surely = threshold - 4.5 * deviation, threshold - 6 * deviation
     signed = written(docs.select("doc_id", "text").mapInArrow(_signed(words), "doc_id long, n_shingles long, set_digest binary, signature binary"), "signatures")
     # A written table on one side and a plain scan on the other: an exchange that holds one large class can be split.
     classes = written(signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "classes")
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     # Hashed on the side without texts at every size: texts move once, and are neither sorted nor part of a hash table.
     with_text = docs.select("doc_id", "text").join(tiled.hint("shuffle_hash"), "doc_id")
     pairs = _paired(with_text, "family", "doc_id", "text")
-    links = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(_tiles(words, percent, slack), "a long, b long")
+    links = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(_tiles(words, percent, surely), "a long, b long")
     # Only representatives are in the graph: a document goes where its class goes.  A doc_id with several classes links them.
     twice = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("own"), F.max("rep").alias("last"), (F.count("rep") < F.count("*")).alias("gap")).where("own < last OR gap AND own IS NOT NULL").select("doc_id", "own")
     same = known.join(twice, "doc_id").where("rep != own").select(F.col("rep").alias("a"), F.col("own").alias("b"))
@@ -217,6 +219,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with its columns; rows that repeat a kept doc_id all stay."""
+    """One document of each group of near-duplicates, with its columns.
+
+    Rows that repeat a kept doc_id all stay, and so do rows without a doc_id and texts without words (null, empty,
+    blank); of a group the smallest doc_id stays.  An empty table gives no rows.
+    """
     kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

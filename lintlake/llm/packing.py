@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, table, written
+from .common import blocks, table, written
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k"
@@ -209,7 +209,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, capacity), PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)

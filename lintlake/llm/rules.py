@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .boosting import Trees, fit
-from .common import SPACES, blocks, encoded, labelled_sample, small_batches, table
+from .common import SPACES, blocks, encoded, labelled_sample, table
 
 WINDOW = 8
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "not_ascii", "distinct", "longest", "line_words", "bars", "shouts", "short_lines", "top_word", "entropy", "quotes")
@@ -56,7 +57,7 @@ def statistics(text: bytes) -> tuple[tuple[int, ...], list[float]]:
     upper, lower, digits = (int(bytes_[a:b].sum()) for a, b in ((65, 91), (97, 123), (48, 58)))
     ascii_ = int(bytes_[33:127].sum())
     some, all_ = max(n, 1), max(points, 1)
-    counts = np.unique(np.fromiter(map(hash, words), np.int64, n), return_counts=True)[1] if n else np.zeros(1, np.int64)
+    counts = np.array(list(Counter(words).values())) if n else np.zeros(1, np.int64)
     share = bytes_[bytes_ > 0] / max(len(text), 1)
     features = [
         np.log1p(n), (points - spaces) / some, symbols / some, dup / max(len(lines), 1), again / some, upper / max(upper + lower, 1), digits / all_,
@@ -103,7 +104,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, tr
     A null or empty text has no words, so it fails.  Rows that repeat a doc_id are judged each on its
     own text.  An empty table gives no rows.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     trees = trees or fitted(docs, labels)
     return docs.select("doc_id", "text").mapInArrow(_rules(trees, threshold), STATS + ", base_failed boolean, kept boolean, score double")
 

@@ -89,6 +89,47 @@ def test_slot_map_versions(spark):
     assert rows(maps.read(1)) == [(0, 0), (1, 0), (2, 1)] and rows(maps.read(2)) == [(0, 0), (1, 1), (2, 1)]
 
 
+def test_sharding_edits_the_latest_map(spark):
+    maps = sharding.SlotMap(spark)
+    assert maps.latest() == 0
+    table = docs(spark, [(i, "x" * (i % 900), "a") for i in range(4000)])
+    first = {r.virtual_slot: (r.shard, r.map_version) for r in sharding.shard_by_bytes(table, 4, 64, maps).collect()}
+    latest = maps.latest()
+    assert latest == 2 and {v for _, v in first.values()} == {2}
+    grown = sharding.shard_by_bytes(table, 5, 64, maps).collect()
+    assert maps.latest() == 3 and {r.map_version for r in grown} == {3} and {r.shard for r in grown} == set(range(5))
+    moved = {r.virtual_slot for r in grown if first[r.virtual_slot][0] != r.shard}
+    assert len(moved) < 32
+    again = sharding.shard_by_bytes(table, 5, 64, maps).collect()
+    assert rows(spark.createDataFrame(again)) == rows(spark.createDataFrame(grown)) and maps.latest() == 3
+
+
+def test_sharding_spreads_rows_without_an_id(spark):
+    got = sharding.shard_by_bytes(docs(spark, [(None, "same", "a")] * 900 + [(5, f"t{i}", "a") for i in range(900)]), 8).collect()
+    assert np.ptp(list(Counter(r.shard for r in got).values())) < 20 and len({r.virtual_slot for r in got}) > 400
+
+
+def plain_targets(sizes, weights, total, most):
+    """Where all sources take what the level times their weight gives them, and ``most`` times their size at most: the level by bisection."""
+    goal = min(total, most) * sum(sizes)
+    lo, hi = 0.0, most * sum(sizes) + 1.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * s, mid * w) for s, w in zip(sizes, weights, strict=True)) < goal else (lo, mid)
+    return [min(most * s, hi * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_water_filled(spark):
+    rng = np.random.default_rng(8)
+    for sizes in ([100, 1000, 10], [0, 0], [5], [], rng.integers(0, 4000, 60).tolist()):
+        names = [f"s{i:03d}" for i in range(len(sizes))]
+        names[-1:] = [None] if names else []
+        got = mixing.water_filled(spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, words long"), 1.5, 2.0, (5, 2, 1)).collect()
+        got.sort(key=lambda r: r.source_no)
+        assert [r.source for r in got] == names
+        assert np.allclose([r.target for r in got], plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5, 2.0))
+
+
 def test_mixing(spark):
     table = docs(spark)
     got = mixing.mix(table).collect()
@@ -97,7 +138,7 @@ def test_mixing(spark):
         sizes[s] += len(words(t))
     assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(words(t))) for i, t, s in texts())
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
-    target = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2), strict=True))
+    target = dict(zip(names, plain_targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2.0), strict=True))
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
         assert r.taken == r.copies * r.size <= 2 * r.size and len(r.shards) == r.copies
@@ -111,6 +152,32 @@ def test_mixing(spark):
     assert Counter(r.doc_id for r in taken.collect()) == Counter(i for r in got for i in [r.doc_id] * r.copies)
 
 
+def test_mixing_shards_and_positions(spark):
+    table = docs(spark)
+    got = mixing.mix(table, shards=4).collect()
+    placed = mixing.shuffled(table, shards=4).select("row.doc_id", "row.text", "shard", "position").collect()
+    assert Counter((r.doc_id, s) for r in got for s in r.shards) == Counter((r.doc_id, r.shard) for r in placed)
+    by = defaultdict(list)
+    for r in placed:
+        by[r.shard].append(r.position)
+    assert all(sorted(p) == list(range(len(p))) for p in by.values())
+    assert mixing.shuffled(docs(spark, [])).count() == 0 and mixing.taken_documents(docs(spark, [])).count() == 0
+
+
+def test_mixing_is_the_same_with_many_sources(spark, monkeypatch):
+    table = docs(spark, [(i, "w " * (i % 7), f"s{i % 400}") for i in range(3000)])
+    want = rows(mixing.mix(table).select("doc_id", "taken", "shards"))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert rows(mixing.mix(table).select("doc_id", "taken", "shards")) == want
+
+
+def test_mixing_of_a_hot_source_and_null_ids(spark):
+    items = [(None if i % 3 == 0 else i, f"a b {i} " * (1 + i % 5), "big" if i % 4 else f"s{i % 11}") for i in range(9000)]
+    got = mixing.mix(docs(spark, items)).toPandas()
+    per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((per.taken - per.target).abs() <= 2).all() and len(got) == 9000
+
+
 def test_nearest_subset():
     rng = np.random.default_rng(5)
     for _ in range(50):
@@ -159,6 +226,7 @@ def test_near_duplicates(spark):
         got = neardup.near_duplicates(docs(spark), k).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(s), by_id.get(i)) for i, s in sets)
         assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+    assert neardup.without_near_duplicates(docs(spark, [])).count() == 0
     kept = neardup.without_near_duplicates(docs(spark))
     assert kept.columns == docs(spark).columns
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
@@ -209,6 +277,33 @@ def test_near_duplicates_of_passages(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, items), 1).collect()} == want
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_lose_no_link_of_a_whole_table(spark, k):
+    """All pairs of the table by an index from shingles to documents."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: plain_shingles(r.text, k) for r in d.collect()}
+    held = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            held[x].append(i)
+    common = Counter()
+    for own in held.values():
+        common.update((a, b) for n, b in enumerate(own) for a in own[:n])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, k).collect()}
+    assert len(links) > 100 and got == {i: find(i) for i in sets}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3), (100, 102)]
     got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long"))))
@@ -255,6 +350,7 @@ def test_without_repeats(spark):
     got = repeats.without_repeats(docs(spark, items))
     assert got.columns == docs(spark, []).columns
     assert all(r.n_chars == len(r.text or "") and r.chunk == "c" for r in got.collect())
+    assert repeats.without_repeats(docs(spark, [])).count() == 0
     left = Counter(i for i, n, gone, _, _ in plain_removed([x[:2] for x in items]) if n == 0 or gone < n)
     assert Counter(r.doc_id for r in got.collect()) == left
 
@@ -282,6 +378,7 @@ def test_toxicity_learns(spark):
     table = docs(spark, made[:30])
     kept = toxicity.without_toxic(table, labels(spark, marks))
     assert kept.columns == table.columns and kept.count() < 30
+    assert toxicity.without_toxic(docs(spark, []), labels(spark)).count() == 0
 
 
 def test_line_quality(spark):
@@ -307,13 +404,13 @@ def test_label_share_leaves_out_held_out_rows(spark, monkeypatch, module, residu
 
 
 def test_chat(spark):
-    said = [(1, 0, "system", "be </s>"), (1, 1, "user", "a\\b"), (1, 2, "assistant", "[INST]"), (1, 2, "assistant", "[INST]"), (1, None, "user", None), (2, 5, "assistant", ""), (3, 1, "user", "no reply"), (None, 1, None, "x"), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    said = [(1, 0, "system", "be </s>"), (1, 1, "user", "a\\b"), (1, 2, "assistant", "[INST]"), (1, 2, "assistant", "[INST]"), (1, None, "user", None), (2, 5, "assistant", ""), (3, 1, "user", "no reply"), (None, 1, None, "x"), (None, 2, "assistant", "y"), (None, 1, None, "x"), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     got = chat.digests(chat.examples(spark.createDataFrame([(*r, "t") for r in said], "conv_id long, turn long, role string, text string, example string")))
     by = defaultdict(list)
-    for c, n, r, t in said:
-        by[c].append((n is not None, n or 0, r or "", t or ""))
+    for k, (c, n, r, t) in enumerate(said):
+        by[(c, k if c is None else 0)].append((n is not None, n or 0, r or "", t or ""))
     want = []
-    for c, turns in by.items():
+    for (c, _), turns in by.items():
         turns.sort()
         spoken = "".join(t for _, _, r, t in turns if r == "assistant")
         want.append((c, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest(), len(spoken), hashlib.sha256(spoken.encode()).hexdigest()))
@@ -336,6 +433,7 @@ def test_media(spark):
     kept = media.media_column(docs(spark))
     info = media.picture_info(kept).collect()
     assert len(info) == len(texts()) and all(r.width == 1536 and re.fullmatch("[0-9a-f]{32}", r.thumbnail_hash) for r in info)
+    assert media.media_column(docs(spark, [])).count() == 0 and media.picture_info(media.media_column(docs(spark, []))).count() == 0
     broken = spark.createDataFrame([(1, b"not a picture"), (2, None)], "doc_id long, media binary")
     assert all(r.width is None for r in media.picture_info(broken).collect())
 
@@ -351,3 +449,26 @@ def test_pipeline_stages_keep_the_columns(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, d, SMALL)
     assert packed.where("piece = 0").count() == d.count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(d, l).where("held_out").join(l, "doc_id").toPandas()
+    found = got[got.predicted == 1].toxic
+    assert found.sum() >= 0.82 * got.toxic.sum() and found.mean() >= 0.95
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark).select("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark).select("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("offset < 0").count() == 0

@@ -58,6 +58,37 @@ def test_trees_keep_monotone_order():
         assert (sign * np.diff(logit, axis=1) >= -1e-9).all()
 
 
+def test_flat_trees_against_a_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4))
+    t = boosting.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), np.array([0, 0, 1, -1]), trees=12)
+
+    def walk(row, node):
+        while t.left[node] != node:
+            node = t.left[node] if row[t.feature[node]] <= t.threshold[node] else t.right[node]
+        return t.value[node]
+
+    assert np.allclose(t.logit(x), [t.base + sum(walk(row, r) for r in t.roots) for row in x])
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 20, (120, 3)).astype(float)
+    y = ((x[:, 1] > 11) ^ (rng.random(120) < 0.1)).astype(float)
+    t = boosting.fit(x, y, np.zeros(3), trees=1, depth=1)
+    p = y.mean()
+    best = (-np.inf, 0, 0.0)
+    for f in range(3):
+        for cut in np.unique(x[:, f])[:-1]:
+            goes = x[:, f] <= cut
+            if 5 <= goes.sum() <= len(y) - 5:
+                gain = sum((y[s] - p).sum() ** 2 / (s.sum() * p * (1 - p) + 1) for s in (goes, ~goes))
+                best = max(best, (gain, f, cut))
+    root = t.roots[0]
+    chosen = x[:, t.feature[root]] <= t.threshold[root]
+    assert t.feature[root] == best[1] and (chosen == (x[:, best[1]] <= best[2])).all()
+
+
 def test_trees_without_both_labels_are_constant():
     assert not len(boosting.fit(np.zeros((0, 3)), np.zeros(0), np.zeros(3)).roots)
 
@@ -117,6 +148,25 @@ def test_encoder_gives_the_tokenizers_ids():
         assert encode(text or "").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_gives_the_tokenizers_ids_for_every_code_point():
+    """All code points beside letters, digits, spaces, quotes and each other, runs of white space and of marks, broken contractions."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder("byte_bpe_50k")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    made = []
+    for at in range(0, len(points), 128):
+        own = [chr(c) for c in points[at : at + 128]]
+        made.append("".join(own) + " " + "".join(f"a{c}1 {c}{c}  {c}'s{c}" for c in own[:: 1 if at < 0x3400 else 16]))
+    spaces = [chr(c) for c in points if chr(c).isspace() or c in (0x180E, 0x200B, 0x2060, 0xFEFF)]
+    rng = np.random.default_rng(3)
+    parts = [*spaces, "\u0301", "\u20e3", "x", "9", "\u0660", "'", "'ll", "'RE", "\u00aa", "\u2160", "!", "\U0001f468\u200d\U0001f469", "\U000e0100", "\ufffe"]
+    made += ["".join(rng.choice(parts, 60)) for _ in range(2000)] + [s * n for s in spaces for n in (2, 3, 70)] + ["a" * 5000, "\u0301" * 900, "'" * 900, " \n" * 900]
+    for text, want in zip(made, plain.encode_batch(made, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids
+
+
 def test_only_the_first_piece_is_short():
     assert packing.cut_points(1, 8) == [0, 1] and packing.cut_points(8, 8) == [0, 8]
     assert packing.cut_points(20, 8) == [0, 4, 12, 20] and packing.cut_points(24, 8) == [0, 8, 16, 24]
@@ -205,20 +255,20 @@ def test_examples_read_back(turns):
     assert [chat.unescape(m[3][m[4] : m[5]]) for m in made if m[5] > m[4] or True][: sum(r == "assistant" for r, _ in turns)] == [t for r, t in turns if r == "assistant"]
 
 
-def test_water_fill():
-    got = mixing.water_fill([100, 1000, 10], [5, 2, 1], 1665, 2)
-    assert got[0] == 200 and got[2] == 20 and abs(sum(got) - 1665) < 1e-9
-    assert mixing.water_fill([0, 0], [5, 2], 0, 2) == [0, 0] and mixing.water_fill([], [], 0, 2) == []
-
-
 def test_split_quotas_add_up():
     quotas = np.array([5000, 3, 0, 411])
-    got = mixing.split_quotas(quotas, 16, 7)
+    got = mixing.split_quotas(quotas, 16, [7])
     assert (got.sum(axis=0) == quotas).all() and np.ptp(got.sum(axis=1)) <= 1 and (got >= 0).all()
-    assert (got == mixing.split_quotas(quotas, 16, 7)).all()
-    for n in (1, 2, 7, 4096):
-        a, c = mixing.permutation(n, 7)
-        assert sorted((a * b + c) % n for b in range(n)) == list(range(n))
+    assert (got == mixing.split_quotas(quotas, 16, [7])).all()
+    inner = mixing.split_quotas(np.array([2000, 1500, 1500]), 16, [7, 0], got[:, 0])
+    assert (inner.sum(axis=0) == [2000, 1500, 1500]).all() and (inner.sum(axis=1) == got[:, 0]).all()
+    assert not mixing.split_quotas(np.zeros(3), 4, [7]).any()
+
+
+def test_split_quotas_draw_is_hypergeometric():
+    draws = np.array([mixing.split_quotas(np.array([30, 10]), 2, [seed])[0] for seed in range(2000)])
+    assert (draws.sum(axis=1) == 20).all() and abs(draws[:, 1].mean() - 5) < 0.15
+    assert abs(draws[:, 1].var() - 20 * 0.25 * 0.75 * 20 / 39) < 0.2  # n K/N (1 - K/N) (N - n)/(N - 1)
 
 
 def plain_shingles(text, k):
@@ -257,12 +307,50 @@ def test_shared_windows(strings, least):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def plain_logit(net, words):
+    """The network word by word and window by window, with loops over numbers."""
+    p, h = net.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def entry(word):
+        bare = word.strip(toxicity.EDGES) or word or b" "
+        marked = b"^" + bare + b"$"
+        rows = [(marked[i] * 961 + marked[i + 1] * 31 + marked[i + 2]) * 40503 >> 5 & toxicity.CHAR_ROWS - 1 for i in range(len(marked) - 2)]
+        return np.concatenate([p["word"][net.vocabulary.get(bare, 0)], sum(p["char"][r] for r in rows) / len(rows)])
+
+    def window(own):
+        states = [[], []]
+        for d, u in enumerate((p["uf"], p["ub"])):
+            state = np.zeros(h)
+            for word in own if d == 0 else own[::-1]:
+                x = (entry(word) @ p["wx"] + p["b"])[3 * h * d : 3 * h * (d + 1)]
+                a = state @ u
+                z, r = sig(x[:h] + a[:h]), sig(x[h : 2 * h] + a[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * a[2 * h :])
+                states[d].append(state)
+        both = [np.concatenate(pair) for pair in zip(states[0], states[1][::-1], strict=True)]
+        score = np.array([s @ p["v"] for s in both])
+        weight = np.exp(score) / np.exp(score).sum()
+        return sum(w * (s @ p["w"]) for w, s in zip(weight, both, strict=True)) + p["c"][0]
+
+    words = words or [b""]
+    n = len(words)
+    starts = [0] if n <= 16 else sorted({*range(0, n - 16, 8), n - 16})
+    return float(np.log(sum(np.exp(window(words[s : s + 16])) for s in starts)) - 0.5 * np.log(len(starts)))
+
+
+def test_network_forward_against_loops():
+    net = toxicity.Network({b"bad": 1, b"word": 2}, 11)
+    data = [[], [b"bad"], [b"(Bad)", b"x"] * 8, [b"word", b"\xc3\xa9t\xc3\xa9", b"bad", b"..."] * 9, [b"a"] * 17]
+    assert np.allclose(net.logits(data), [plain_logit(net, d) for d in data], atol=1e-4)
+
+
 def test_network_gradient():
     net = toxicity.Network({b"bad": 1, b"word": 2})
     data, y = [[b"a", b"bad", b"word"] * 9, [b"good"] * 5], np.array([1, 0], np.float32)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    grad = net.gradient(data, y)
+    grad = net.gradient(toxicity.Lexicon(data, net.vocabulary, 16), [0, 1], y)
     filled = [t + [b""] * max(0, 16 - len(t)) for t in data]
 
     def loss():
