@@ -1,43 +1,60 @@
-"""python -m lintlake scan TARGET: findings of a folder or file as text, JSON, SARIF or markdown."""
+"""python -m lintlake scan TARGET: findings of a folder or file as text, JSON, SARIF or markdown.
+
+``sandbox`` scans the file named by SCAN_CODE_FILE in the language SCAN_LANGUAGE and prints JSON.
+"""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .api import scan_all
+from . import api
 from .functions.text import SEVERITIES
 from .operators import analytics, report
-from .sources.files import EXCLUDE, INCLUDE, folder, single
+from .sources.files import EXCLUDE, INCLUDE, single, target
+
+
+def put(lines: DataFrame, output: str | None) -> None:
+    """A column of lines: to a folder, written by the executors (its parts in order are the document), or to the terminal, part by part."""
+    if output:
+        lines.write.mode("overwrite").text(output)
+    else:
+        for row in lines.toLocalIterator():
+            print(row[0])
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lintlake")
-    own = parser.add_subparsers(dest="command", required=True).add_parser("scan")
-    own.add_argument("target")
+    commands = parser.add_subparsers(dest="command", required=True)
+    own = commands.add_parser("scan")
+    own.add_argument("target", help="folder or file; a file is taken whatever its name")
     own.add_argument("--format", choices=("text", "json", "sarif", "markdown"), default="text")
-    own.add_argument("--output", help="folder for json and sarif, written by the executors")
+    own.add_argument("--output", help="folder for the report")
     own.add_argument("--severity", choices=SEVERITIES, default="low")
     own.add_argument("--fail-on", choices=SEVERITIES, default="high")
     own.add_argument("--include", default=",".join(INCLUDE))
     own.add_argument("--exclude", default=",".join(EXCLUDE))
-    own.add_argument("--single", action="store_true", help="the target is one file")
+    own.add_argument("--group-by", choices=("severity", "category", "file"), default="severity", help="of markdown")
+    own.add_argument("--no-color", action="store_true")
+    commands.add_parser("sandbox")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lintlake").getOrCreate()
-    sources = single(spark, args.target) if args.single else folder(spark, args.target, tuple(args.include.split(",")), tuple(args.exclude.split(",")))
-    found = analytics.at_least(scan_all(sources), args.severity)
-    if args.format in ("json", "sarif"):
-        rows = report.sarif_by_file(found).select("report") if args.format == "sarif" else report.public(found).select(F.to_json(F.struct("*")).alias("issue"))
-        if args.output:
-            rows.write.mode("overwrite").text(args.output)
-        else:
-            for r in rows.toLocalIterator():
-                print(r[0])
-    else:
-        print(report.markdown(found) if args.format == "markdown" else report.quick_summary(found))
+    if args.command == "sandbox":
+        sources = single(spark, os.environ.get("SCAN_CODE_FILE", "/tmp/code.txt"))
+        put(api.sandbox_scan(sources, os.environ.get("SCAN_LANGUAGE", "auto")).select("report"), None)
+        return 0
+    sources = target(spark, args.target, tuple(map(str.strip, args.include.split(","))), tuple(map(str.strip, args.exclude.split(","))))
+    found = api.kept(analytics.at_least(api.scan_all(sources), args.severity))
+    lines = {
+        "text": lambda: report.text_report(sources, found, not args.no_color and not args.output),
+        "json": lambda: report.json_report(sources, found),
+        "sarif": lambda: report.merged(report.sarif_by_file(found)),
+        "markdown": lambda: report.markdown(found, args.group_by),
+    }[args.format]()
+    put(lines, args.output)
     return int(analytics.fails(found, args.fail_on))
 
 

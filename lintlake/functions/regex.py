@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from functools import cache
+from re import _constants, _parser
+
 #: White space of ECMAScript: Java's own class knows six ASCII characters only.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WORD = "[A-Za-z0-9_]"
 BREAKS = r"\n\r\u2028\u2029"
+EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 OUTSIDE = {
-    r"\b": f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))",
     r"\s": f"[{SPACE}]",
     r"\S": f"[^{SPACE}]",
     r"\/": "/",
@@ -15,9 +20,16 @@ OUTSIDE = {
 INSIDE = {r"\s": SPACE, r"\/": "/", "[": r"\[", "&": r"\&"}
 
 
+def _edge(before: str, after: str) -> str:
+    r"""``\b`` between two pieces: one look suffices where a neighbour is a letter or digit."""
+    if re.fullmatch(WORD, after):
+        return f"(?<!{WORD})"
+    return f"(?!{WORD})" if re.fullmatch(WORD, before) else EDGE
+
+
 def js_to_java(pattern: str, flags: str = "") -> str:
     """Flags: i (case), m (^ and $ at lines), s (the dot takes line breaks)."""
-    out, inside, at = [], False, 0
+    out, inside, at, before = [], False, 0, ""
     while at < len(pattern):
         piece = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
         at += len(piece)
@@ -28,13 +40,51 @@ def js_to_java(pattern: str, flags: str = "") -> str:
             negated = pattern[at : at + 1] == "^"
             out.append("[^" if negated else "[")
             at, inside = at + negated, True
+        elif piece == r"\b":
+            out.append(_edge(before, pattern[at : at + 1]))
         elif piece == "." and "s" not in flags:
             out.append(f"[^{BREAKS}]")
         elif piece == "^" and "m" in flags:
-            out.append(rf"(?:(?<=[{BREAKS}])|\A)")
+            out.append(f"(?<![^{BREAKS}])")
         elif piece == "$":
-            out.append(rf"(?=[{BREAKS}]|\z)" if "m" in flags else r"\z")
+            out.append(f"(?![^{BREAKS}])" if "m" in flags else r"\z")
         else:
             out.append(OUTSIDE.get(piece, piece))
+        before = piece
     mode = "".join(f for f in "is" if f in flags)
     return (f"(?{mode})" if mode else "") + "".join(out)
+
+
+@cache
+def required(pattern: str, most: int = 3) -> list[list[str]]:
+    """Literals without which there is no match: of each list a text must hold one.  The ``most`` lists with the longest literals.
+
+    Read off Python's parse of the pattern: runs of characters, small classes, and of alternatives the best
+    list of each.  What may be absent, and what stands in a lookaround, counts for nothing.
+    """
+
+    def lists(items: Iterable) -> list[list[str]]:
+        found, run = [], ""
+        for op, value in items:
+            if op is _constants.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is _constants.SUBPATTERN:
+                found += lists(value[-1])
+            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+                found += lists(value[-1])
+            elif op is _constants.IN and len(value) <= 4 and all(o is _constants.LITERAL for o, _ in value):
+                found.append([chr(v) for _, v in value])
+            elif op is _constants.BRANCH:
+                best = [max(lists(branch), key=shortest, default=None) for branch in value[1]]
+                if all(best):
+                    found.append([x for own in best for x in own])
+        return found + [[run]] * bool(run)
+
+    def shortest(alternatives: list[str]) -> int:
+        return min(map(len, alternatives))
+
+    return sorted(lists(_parser.parse(pattern)), key=shortest, reverse=True)[:most]

@@ -10,6 +10,13 @@ from .regex import SPACE
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
+def quoted(text: str | None) -> str:
+    """A string literal of SQL.  Long expressions are put together as SQL, which is parsed once, and not call by call."""
+    if text is None:
+        return "CAST(NULL AS string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def severity_rank(severity: Column) -> Column:
     """4 for critical down to 1 for low; null for anything else."""
     rank = F.when(severity == SEVERITIES[0], 4)
@@ -34,6 +41,18 @@ def _has(text: Column, *needles: str) -> Column:
     return found
 
 
+def is_example(value: Column) -> Column:
+    """Whether a value looks like one from a manual."""
+    # Tokens of examples.
+    return value.rlike(r"(?i)example|sample|dummy|test|xxx|your[_-]|placeholder|changeme")
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most so many characters, the last three of them dots where something is cut off."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
+
+
+# The needles of the two language heuristics below.
 def language_by_tool(text: Column) -> Column:
     """The heuristic of the scanning tools; a plain ``import`` counts as python."""
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEVERITIES, severity_rank
+from .kernel import ORDER
 
 
 def short_type(kind: Column) -> Column:
@@ -23,9 +24,9 @@ def by_severity(findings: DataFrame) -> DataFrame:
 
 
 def shares(findings: DataFrame) -> DataFrame:
-    """severity, n, total, bar: cells of ten, half up.  Counts first, so that the total runs over a row per severity."""
+    """severity, n, total, percent, bar: cells of ten, half up.  Counts first, so that the total runs over a row per severity."""
     counts = by_severity(findings).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return counts.withColumn("bar", F.floor(F.col("n") * 10 / F.col("total") + 0.5).cast("int"))
+    return counts.withColumns({"percent": F.col("n") / F.col("total") * 100, "bar": F.floor(F.col("n") / F.col("total") * 10 + 0.5).cast("int")})
 
 
 def by_owasp(findings: DataFrame) -> DataFrame:
@@ -39,10 +40,10 @@ def grouped_by_owasp(findings: DataFrame) -> DataFrame:
 
 
 def top_types(findings: DataFrame, n: int = 8) -> DataFrame:
-    """The n most frequent short types (ties by name) and the sum of the rest as Others; a row per type reaches the ranking."""
-    counts = findings.groupBy(short_type(F.col("type")).alias("kind")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "kind")))
-    return ranked.groupBy(F.when(F.col("place") <= n, F.col("kind")).otherwise("Others").alias("kind")).agg(F.sum("n").alias("n"))
+    """The n most frequent short types (of equal ones the one that comes first) and the rest as Others: kind, n, kinds.  A row per type reaches the ranking."""
+    counts = findings.groupBy(short_type(F.col("type")).alias("kind")).agg(F.count("*").alias("n"), F.min(F.struct(*ORDER)).alias("first"))
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "first")))
+    return ranked.groupBy(F.when(F.col("place") <= n, F.col("kind")).otherwise("Others").alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.min("place").alias("place"))
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:
@@ -60,19 +61,35 @@ def files_over(findings: DataFrame, severity: str) -> DataFrame:
     return at_least(findings, severity).groupBy(F.coalesce("file", F.lit("unknown")).alias("file")).agg(F.count("*").alias("n"))
 
 
-def first_of_each(findings: DataFrame, n: int = 5) -> DataFrame:
-    """The first n findings of each severity, numbered, with how many more there are."""
-    order = Window.partitionBy("severity").orderBy("file", "scanner", "rule_id", "match_seq")
-    counts = by_severity(findings).withColumn("more", F.greatest(F.col("n") - n, F.lit(0))).drop("n")
-    first = findings.withColumn("number", F.row_number().over(order)).where(F.col("number") <= n)
+def first_of_each(findings: DataFrame, n: int | dict[str, int] = 5) -> DataFrame:
+    """The first n findings of each severity (or as many as the severity's own n), numbered, with how many more there are.
+
+    Numbers above the largest n are dropped task by task before anything is gathered.
+    """
+    most = n if isinstance(n, dict) else dict.fromkeys(SEVERITIES, n)
+    limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in most.items() for x in pair)), F.col("severity")), F.lit(0))
+    counts = by_severity(findings).withColumn("more", F.greatest(F.col("n") - limit, F.lit(0))).drop("n")
+    numbered = findings.withColumn("number", F.row_number().over(Window.partitionBy("severity").orderBy(*ORDER)))
+    first = numbered.where(F.col("number") <= max(most.values())).where(F.col("number") <= limit)
     return first.join(F.broadcast(counts), "severity")  # a row per severity
 
 
 def attack_surface(findings: DataFrame) -> DataFrame:
-    """One row of flags: which kinds of attack the findings open."""
+    """One row of flags: which kinds of attack the findings' types open."""
     kind = F.lower(F.col("type"))
-    any_of = lambda *words: F.coalesce(F.bool_or(F.lit(False) | kind.rlike("|".join(words))), F.lit(False))
-    return findings.agg(any_of("sql", "injection").alias("injection"), any_of("xss", "innerhtml").alias("xss"), any_of("key", "secret", "credential").alias("secrets"), any_of("auth", "jwt", "session").alias("auth"), any_of("path", "file").alias("path"))
+    any_of = lambda *words: F.coalesce(F.bool_or(kind.rlike("|".join(words))), F.lit(False))
+    # The words that tell each kind.
+    return findings.agg(any_of("injection").alias("injection"), any_of("xss").alias("xss"), any_of("auth").alias("auth"), any_of("secret", "key").alias("secrets"), any_of("crypto", "md5", "sha1").alias("crypto"))
+
+
+def pod_standards(findings: DataFrame) -> DataFrame:
+    """One row: findings against the baseline and the restricted pod security standard."""
+    return findings.agg(*(F.count_if(F.col("metadata.pss") == p).alias(p) for p in ("baseline", "restricted")))
+
+
+def summary_of_scan(sources: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: files that were read, and the counts of their findings."""
+    return sources.agg(F.count_distinct("file").alias("files")).crossJoin(summary(findings))  # a row each
 
 
 def rollup(findings: DataFrame) -> DataFrame:

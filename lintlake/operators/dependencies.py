@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import severity_rank, trimmed
+from ..rules.catalogue import A06
+from .kernel import FINDING, metadata
+
 # Ecosystem, package, affected versions (empty: all), severity.
 ADVISORIES = (
     ("npm", "lodash", "<4.17.21", "high"),
@@ -47,13 +51,22 @@ def npm_dependencies(manifests: DataFrame) -> DataFrame:
 
 
 def requirements(manifests: DataFrame) -> DataFrame:
-    """file, package: the name at the start of each line of requirements.txt, in lower case."""
+    """file, line, package: the name at the start of each line of requirements.txt, in lower case."""
     lines = manifests.select("file", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("file", F.lower(F.regexp_extract("line", "^([a-zA-Z0-9_-]+)", 1)).alias("package")).where("package != ''")
+    return lines.select("file", "line", F.lower(F.regexp_extract("line", "^([a-zA-Z0-9_-]+)", 1)).alias("package")).where("package != ''")
+
+
+def _as_findings(found: DataFrame) -> DataFrame:
+    """FINDING columns, and ecosystem, package, version beside them."""
+    named = found.withColumns({
+        "language": F.lit(None).cast("string"), "scanner": F.lit("dependencies"), "rule_id": F.concat_ws(":", "ecosystem", "package"), "rule_no": F.lit(900), "match_seq": F.lit(0), "severity_rank": severity_rank(F.col("severity")), "line": F.lit(None).cast("int"),
+        "owasp_category": F.when(F.col("ecosystem") == "npm", A06), "cwe_id": F.when(F.col("ecosystem") == "npm", "CWE-1104"), "metadata": F.when(F.lit(False), metadata()),
+    })
+    return named.select(*FINDING, "ecosystem", "package", "version")
 
 
 def dependency_findings(manifests: DataFrame) -> DataFrame:
-    """file, ecosystem, package, version, severity, type, owasp_category, cwe_id; manifests: file (path), text.
+    """FINDING columns beside ecosystem, package, version; manifests: file (path), text.
 
     Advisories are few and fixed, so the joins with them broadcast that side.
     """
@@ -62,19 +75,22 @@ def dependency_findings(manifests: DataFrame) -> DataFrame:
     of = lambda ecosystem: F.broadcast(known.where(F.col("ecosystem") == ecosystem))
     npm = npm_dependencies(manifests.where(name == "package.json")).join(of("npm"), "package")
     npm = npm.where((F.col("affected") == "") | (version_parts(F.col("version")) < version_parts(F.col("affected"))))
-    pip = requirements(manifests.where(name == "requirements.txt")).withColumn("version", F.lit(None).cast("string")).join(of("pip"), "package")
-    go = manifests.where(name == "go.mod").join(of("go"), F.contains("text", "package")).withColumn("version", F.lit(None).cast("string"))
-    columns = ["file", "ecosystem", "package", "version", "severity"]
+    npm = npm.withColumn("match", F.concat_ws("@", "package", "version"))
+    pip = requirements(manifests.where(name == "requirements.txt")).join(of("pip"), "package").withColumns({"version": F.lit(None).cast("string"), "match": trimmed(F.col("line"))})
+    go = manifests.where(name == "go.mod").join(of("go"), F.contains("text", "package")).withColumns({"version": F.lit(None).cast("string"), "match": F.col("package")})
+    columns = ["file", "ecosystem", "package", "version", "severity", "match", "affected"]
     found = npm.select(*columns).unionByName(pip.select(*columns)).unionByName(go.select(*columns))
     label = F.when(F.col("ecosystem") == "npm", "Vulnerable Package: ").when(F.col("ecosystem") == "pip", "Vulnerable Python Package: ").otherwise("Vulnerable Go Package: ")
-    from ..rules.catalogue import A06
-
-    return found.select(*columns, F.concat(label, "package").alias("type"), F.when(F.col("ecosystem") == "npm", A06).alias("owasp_category"), F.when(F.col("ecosystem") == "npm", "CWE-1104").alias("cwe_id"))
+    message = F.when(F.col("affected") == "", "No version of this package is known to be safe here.").otherwise(F.concat(F.lit("Versions "), F.col("affected"), F.lit(" have known vulnerabilities.")))
+    fix = F.when(F.col("ecosystem") == "go", "Move to a maintained module.").when(F.col("affected") == "", "Update to the latest release, or replace the package.").otherwise(F.concat(F.lit("Update to "), F.substring("affected", 2, 20), F.lit(" or later.")))
+    return _as_findings(found.withColumns({"type": F.concat(label, "package"), "message": message, "fix": fix}))
 
 
 def audit_findings(reports: DataFrame) -> DataFrame:
-    """file, package, severity, title, affected: of stored audit reports in JSON; ``moderate`` is medium, unknown severities are low."""
-    shape = "vulnerabilities map<string, struct<severity: string, via: array<string>, range: string>>"
+    """FINDING columns beside ecosystem, package, version (the affected range): of stored audit reports in JSON; ``moderate`` is medium, unknown severities are low."""
+    shape = "vulnerabilities map<string, struct<severity: string, via: array<string>, range: string, fixAvailable: string>>"
     each = reports.select("file", F.explode(F.from_json("text", shape)["vulnerabilities"]).alias("package", "v"))
     severity = F.when(F.col("v.severity") == "moderate", "medium").when(F.col("v.severity").isin("critical", "high", "low"), F.col("v.severity")).otherwise("low")
-    return each.select("file", "package", severity.alias("severity"), F.get_json_object(F.get("v.via", F.lit(0)), "$.title").alias("title"), F.col("v.range").alias("affected"))
+    title, ready = F.get_json_object(F.get("v.via", F.lit(0)), "$.title"), F.get_json_object("v.fixAvailable", "$.version")
+    fix = F.when(ready.isNotNull(), F.concat(F.lit("Update to "), ready, F.lit("."))).when(F.coalesce(F.col("v.fixAvailable"), F.lit("false")) != "false", "Update to the latest release.").otherwise("Update by hand.")
+    return _as_findings(each.select("file", F.lit("npm audit").alias("ecosystem"), "package", F.col("v.range").alias("version"), severity.alias("severity"), F.concat_ws("@", "package", "v.range").alias("match"), F.concat(F.lit("npm audit: "), F.col("package")).alias("type"), F.coalesce(title, F.lit("A vulnerability was found.")).alias("message"), fix.alias("fix")))

@@ -1,62 +1,69 @@
-"""Infrastructure checks that are not a single pattern: absent directives, best practice, Kubernetes paths."""
+"""Infrastructure checks that are not a single pattern: absent directives, best practice, Kubernetes paths.
+
+Each is an array of findings of one text, so that all of them and the patterns share one pass over the sources.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.regex import js_to_java
-from ..functions.text import severity_rank, trimmed
-from ..rules.catalogue import A02, A05, A07, matched
-from .kernel import FINDING, scan
+from ..functions.text import quoted, trimmed
+from ..rules.advice import ADVICE
+from ..rules.catalogue import A02, A05, A07, CIS, matched
+from .kernel import CHECKED, CHECKS, METADATA, metadata, scan
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no installed copy of the package
 
-def _finding(row: dict[str, Column | str | None]) -> Column:
-    kinds = {"line": "int"}
-    values = {c: row.get(c) for c in ("rule_id", "type", "severity", "message", "fix", "line", "match", "owasp_category", "cwe_id")}
-    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).cast(kinds.get(k, "string")).alias(k) for k, v in values.items()))
+#: Checks that are no patterns, by scanner; their numbers follow those of the scanner's patterns.
+PRACTICE = {"DF003": 602, "DF012": 611, "DF-MULTISTAGE": 650, "DF-ADDCOPY": 651, "TF-PROVIDER": 750, "TF-BACKEND": 751}
+KUBERNETES_NO = 800
 
 
-def _as_findings(df: DataFrame, scanner: str, hits: Column) -> DataFrame:
-    rows = df.select("file", F.explode(hits).alias("f")).select("file", F.lit(scanner).alias("language"), F.lit(scanner).alias("scanner"), "f.*")
-    return rows.withColumns({"rule_no": F.lit(None).cast("int"), "match_seq": F.lit(0), "severity_rank": severity_rank(F.col("severity"))}).select(*FINDING)
+def _finding(scanner: str, rule_id: str, kind: str, severity: str, owasp: str | None, cwe: str | None = None, line: Column | None = None, match: Column | None = None, known: Column | None = None) -> Column:
+    message, fix = ADVICE[rule_id]
+    null = F.lit(None).cast("string")
+    values = (F.lit(scanner), F.lit(rule_id), F.lit(PRACTICE[rule_id]), F.lit(kind), F.lit(severity), F.lit(message), F.lit(fix), null if line is None else line, null if match is None else match, F.lit(owasp), F.lit(cwe), F.when(F.lit(False), metadata()) if known is None else known)
+    return F.struct(*(v.alias(c.split(":")[0]) for v, c in zip(values, CHECKED.split(", ")[:12], strict=True))).cast(f"struct<{CHECKED}>")
 
 
 def _listed(*hits: Column) -> Column:
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return F.array_compact(F.array(*hits))
 
 
-def dockerfile_practice(sources: DataFrame) -> DataFrame:
+def dockerfile_checks(text: Column) -> Column:
     """Absent USER or HEALTHCHECK, a single stage that copies, and ADD where COPY would do."""
-    text = F.col("text")
     has = lambda pattern, flags="m": text.rlike(js_to_java(pattern, flags))
-    no_user = _finding({"rule_id": "DF003", "type": "Dockerfile: DF003", "severity": "high", "message": "No USER other than root is set.", "fix": "Add a USER of its own.", "owasp_category": A05, "cwe_id": "CWE-250"})
-    no_health = _finding({"rule_id": "DF012", "type": "Dockerfile: DF012", "severity": "low", "message": "No HEALTHCHECK is set.", "fix": "Add a HEALTHCHECK.", "owasp_category": A05})
-    practice = {"type": "Dockerfile: Best Practice", "severity": "low"}
-    stage = _finding(practice | {"rule_id": "DF-MULTISTAGE", "message": "One stage builds and runs.", "fix": "Build in a stage of its own.", "owasp_category": A05})
+    ids = lambda rule: metadata(rule_id=F.lit(rule), cis=F.lit(CIS.get(rule)))
+    no_user = _finding("dockerfile", "DF003", "Dockerfile: DF003", "high", A05, "CWE-250", known=ids("DF003"))
+    no_health = _finding("dockerfile", "DF012", "Dockerfile: DF012", "low", A05, known=ids("DF012"))
+    stage = _finding("dockerfile", "DF-MULTISTAGE", "Dockerfile: Best Practice", "low", A05)
     adds = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct((i + 1).alias("line"), trimmed(line).alias("own"))), lambda x: x["own"].startswith("ADD ") & ~x["own"].rlike(r"\.tar|\.tgz|https?://"))
-    add = F.transform(adds, lambda x: _finding(practice | {"rule_id": "DF-ADDCOPY", "message": "ADD copies a plain file.", "fix": "Use COPY.", "line": x["line"], "match": x["own"]}))
+    add = F.transform(adds, lambda x: _finding("dockerfile", "DF-ADDCOPY", "Dockerfile: Best Practice", "low", None, line=x["line"], match=x["own"]))
     one_stage = (F.regexp_count(text, F.lit(js_to_java("^FROM", "m"))) == 1) & has("COPY|ADD", "i")
-    return _as_findings(sources.where(text.isNotNull()), "dockerfile", F.concat(_listed(F.when(~has(r"^USER\s+(?!root\b)"), no_user), F.when(~has("^HEALTHCHECK"), no_health), F.when(one_stage, stage)), add))
+    return F.concat(_listed(F.when(~has(r"^USER\s+(?!root\b)"), no_user), F.when(~has("^HEALTHCHECK"), no_health), F.when(one_stage, stage)), add)
 
 
-def terraform_practice(sources: DataFrame) -> DataFrame:
+def terraform_checks(text: Column) -> Column:
     """No pinned providers, and an s3 backend without encryption."""
-    text, backend = F.col("text"), js_to_java(r'backend\s+"s3"\s*\{([^}]+)\}', "s")
-    before = F.element_at(F.split(text, backend, 2), 1)
-    free = _finding({"rule_id": "TF-PROVIDER", "type": "Terraform: Best Practice", "severity": "low", "message": "Provider versions are not pinned.", "fix": "Add required_providers.", "owasp_category": A05})
-    plain = _finding({"rule_id": "TF-BACKEND", "type": "Terraform: Backend Security", "severity": "high", "message": "The s3 backend is not encrypted.", "fix": "Add encrypt = true.", "line": F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, "owasp_category": A02})
-    body = F.regexp_extract(text, backend, 1)
-    hits = _listed(F.when(~text.rlike(js_to_java(r"required_providers\s*\{([^}]+)\}", "s")), free), F.when((body != "") & ~F.contains(body, F.lit("encrypt")), plain))
-    return _as_findings(sources.where(text.isNotNull()), "terraform", hits)
+    backend = js_to_java(r'backend\s+"s3"\s*\{([^}]+)\}', "s")
+    before, body = F.element_at(F.split(text, backend, 2), 1), F.regexp_extract(text, backend, 1)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    free = _finding("terraform", "TF-PROVIDER", "Terraform: Best Practice", "low", A05)
+    plain = _finding("terraform", "TF-BACKEND", "Terraform: Backend Security", "high", A02, line=line)
+    pinned = text.rlike(js_to_java(r"required_providers\s*\{([^}]+)\}", "s"))
+    return _listed(F.when(~pinned, free), F.when((body != "") & ~F.contains(body, F.lit("encrypt")), plain))
 
 
-def _yaml_documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each YAML document of a file as JSON; booleans are true and false only, and a broken file has none."""
+def _parsed(text: str | None) -> list[str]:
+    """Each mapping among the YAML documents of a text as JSON; booleans are true and false only, and a broken text gives what came before."""
     import re
 
     import yaml
@@ -65,84 +72,112 @@ def _yaml_documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:bool"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
 
     Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
-    for frame in frames:
-        out = []
-        for file, text in zip(frame["file"], frame["text"], strict=True):
-            try:
-                out += [(file, i, json.dumps(d, default=str)) for i, d in enumerate(yaml.load_all(text or "", Loader)) if isinstance(d, dict)]
-            except yaml.YAMLError:
-                continue
-        yield pd.DataFrame(out, columns=["file", "doc_no", "json"])
+    try:
+        return [json.dumps(d, default=str) for d in list(yaml.load_all(text or "", Loader)) if isinstance(d, dict)]
+    except yaml.YAMLError:
+        return []
 
 
-def yaml_documents(sources: DataFrame) -> DataFrame:
-    """file, doc_no, json: the mappings among the documents of YAML texts."""
-    return sources.select("file", "text").mapInPandas(_yaml_documents, "file string, doc_no int, json string")
+@F.pandas_udf(ArrayType(StringType()))
+def yaml_documents(texts: pd.Series) -> pd.Series:
+    return texts.map(_parsed)
 
 
 # Kinds that are checked.
-KINDS = ("Pod", "Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "ReplicaSet")
-# Id, path ([*] goes over a list), severity, pod security standard, condition on the value v and its kind t.
+WORKLOADS = ("Pod", "Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "ReplicaSet")
+# Id, path ([*] goes over a list), severity, pod security standard, condition on the value x.v, its kind x.t and its JSON x.s.
 K8S = (
-    ("K8S001", "containers.securityContext.privileged", "critical", "baseline", "t = 'BOOLEAN' AND s = 'true'"),
-    ("K8S002", "containers.securityContext.runAsNonRoot", "high", "restricted", "NOT (t = 'BOOLEAN' AND s = 'true')"),
-    ("K8S003", "$.spec.hostNetwork", "high", "baseline", "t = 'BOOLEAN' AND s = 'true'"),
-    ("K8S004", "$.spec.hostPID", "high", "baseline", "t = 'BOOLEAN' AND s = 'true'"),
-    ("K8S005", "$.spec.hostIPC", "high", "baseline", "t = 'BOOLEAN' AND s = 'true'"),
-    ("K8S006", "containers.securityContext.capabilities.add", "critical", "baseline", "arrays_overlap(from_json(IF(t LIKE 'ARRAY%', s, '[]'), 'array<string>'), array('SYS_ADMIN', 'NET_ADMIN', 'SYS_PTRACE'))"),
-    ("K8S007", "containers.resources.limits", "medium", None, "t = 'VOID' OR (coalesce(get_json_object(s, '$.memory'), '') IN ('', '0', 'false') AND coalesce(get_json_object(s, '$.cpu'), '') IN ('', '0', 'false'))"),
-    ("K8S008", "containers.securityContext.allowPrivilegeEscalation", "high", "restricted", "t = 'BOOLEAN' AND s = 'true'"),
-    ("K8S009", "containers.securityContext.readOnlyRootFilesystem", "medium", "restricted", "NOT (t = 'BOOLEAN' AND s = 'true')"),
-    ("K8S010", "volumes.hostPath", "high", "baseline", "true"),
-    ("K8S011", "containers.image", "medium", None, "t = 'STRING' AND NOT contains(s, ':')"),
-    ("K8S012", "containers.image", "medium", None, "t = 'STRING' AND endswith(trim(BOTH '\"' FROM s), ':latest')"),
-    ("K8S013", "$.metadata.namespace", "low", None, "t = 'STRING' AND s = '\"default\"'"),
+    ("K8S001", "spec.containers[*].securityContext.privileged", "critical", "baseline", "x.t = 'BOOLEAN' AND x.s = 'true'"),
+    ("K8S002", "spec.containers[*].securityContext.runAsNonRoot", "high", "restricted", "NOT (x.t = 'BOOLEAN' AND x.s = 'true')"),
+    ("K8S003", "spec.hostNetwork", "high", "baseline", "x.t = 'BOOLEAN' AND x.s = 'true'"),
+    ("K8S004", "spec.hostPID", "high", "baseline", "x.t = 'BOOLEAN' AND x.s = 'true'"),
+    ("K8S005", "spec.hostIPC", "high", "baseline", "x.t = 'BOOLEAN' AND x.s = 'true'"),
+    ("K8S006", "spec.containers[*].securityContext.capabilities.add", "critical", "baseline", "arrays_overlap(from_json(IF(x.t LIKE 'ARRAY%', x.s, '[]'), 'array<string>'), array('SYS_ADMIN', 'NET_ADMIN', 'SYS_PTRACE'))"),
+    ("K8S007", "spec.containers[*].resources.limits", "medium", None, "{falsy(x.v)} OR {falsy(memory)} AND {falsy(cpu)}"),
+    ("K8S008", "spec.containers[*].securityContext.allowPrivilegeEscalation", "high", "restricted", "x.t = 'BOOLEAN' AND x.s = 'true'"),
+    ("K8S009", "spec.containers[*].securityContext.readOnlyRootFilesystem", "medium", "restricted", "NOT (x.t = 'BOOLEAN' AND x.s = 'true')"),
+    ("K8S010", "spec.volumes[*].hostPath", "high", "baseline", "true"),
+    ("K8S011", "spec.containers[*].image", "medium", None, "x.t = 'STRING' AND NOT contains(x.s, ':')"),
+    ("K8S012", "spec.containers[*].image", "medium", None, "x.t = 'STRING' AND endswith(x.s, ':latest\"')"),
+    ("K8S013", "metadata.namespace", "low", None, "x.t = 'STRING' AND x.s = '\"default\"'"),
 )
 
 
-def _at(rule_id: str, path: str) -> str:
-    value = lambda root, p: f"struct('{rule_id}' AS rule_id, try_variant_get({root}, '{p}', 'variant') AS v)"
-    if path.startswith("$"):
-        return f"array({value('doc', path)})"
-    listed, _, rest = path.partition(".")
-    return f"transform(coalesce(try_variant_get(doc, '$.spec.{listed}', 'array<variant>'), array()), c -> {value('c', '$.' + rest)})"
+def _get(root: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({root}, '$.{path}', '{kind}')"
+
+
+def _falsy(value: str) -> str:
+    """Missing, null, false, zero or the empty string; by the value's own type."""
+    kind, text = f"schema_of_variant({value})", f"to_json({value})"
+    return f"({value} IS NULL OR {kind} = 'VOID' OR {kind} = 'BOOLEAN' AND {text} = 'false' OR {kind} = 'STRING' AND {text} = '\"\"' OR ({kind} = 'BIGINT' OR {kind} = 'DOUBLE' OR {kind} LIKE 'DECIMAL%') AND cast({text} AS double) = 0)"
+
+
+def _made(rule: str, title: str, severity: str, owasp: str, cwe: str | None, match: str, **known: str) -> str:
+    """A finding in SQL."""
+    message, fix = ADVICE[rule]
+    extra = ", ".join(f"CAST({known.get(m, 'NULL')} AS string)" for m in METADATA)
+    values = (quoted("kubernetes"), quoted(rule), str(KUBERNETES_NO), quoted(title), quoted(severity), quoted(message), quoted(fix), "NULL", match, quoted(owasp), quoted(cwe), f"struct({extra})")
+    return f"CAST(struct({', '.join(values)}) AS struct<{CHECKED}>)"
+
+
+def _at(rule_id: str, path: str, severity: str, pss: str | None, condition: str) -> str:
+    """Findings of one path in document d: its values with the places where they stand, then the condition."""
+    head, _, rest = path.partition("[*].")
+    if rest:
+        listed = f"transform(coalesce({_get('d', head, 'array<variant>')}, array()), (c, i) -> struct({_get('c', rest)} AS v, concat('{head}[', i, '].{rest}') AS at))"
+    else:
+        listed = f"array(struct({_get('d', path)} AS v, '{path}' AS at))"
+    typed = f"transform(filter({listed}, y -> y.v IS NOT NULL), y -> struct(y.v AS v, y.at AS at, schema_of_variant(y.v) AS t, to_json(y.v) AS s))"
+    test = condition.replace("{falsy(x.v)}", _falsy("x.v")).replace("{falsy(memory)}", _falsy(_get("x.v", "memory"))).replace("{falsy(cpu)}", _falsy(_get("x.v", "cpu")))
+    made = _made(rule_id, f"Kubernetes: {rule_id}", severity, A05, "CWE-250", "concat(x.at, ': ', x.s)", rule_id=quoted(rule_id), pss=quoted(pss), kind=_get("d", "kind", "string"), name=_get("d", "metadata.name", "string"), namespace=_get("d", "metadata.namespace", "string"), path="x.at")
+    return f"transform(filter({typed}, x -> {test}), x -> {made})"
 
 
-def kubernetes(sources: DataFrame) -> DataFrame:
-    """Findings of Kubernetes texts: 13 paths and three checks of their own.
+def kubernetes_checks(text: Column) -> tuple[Column, str]:
+    """The documents of a Kubernetes text, and SQL over them (``docs``) for their findings: 13 paths and three checks of their own.
 
     A path that is missing has no value, so that a rule on "not true" needs the key.  Values are told by
-    type: the string "true" is not true.
+    type: the string "true" is not true, and the string "0" is something.
     """
-    docs = yaml_documents(sources).select("file", "doc_no", F.expr("try_parse_json(json)").alias("doc"))
-    docs = docs.withColumns({"kind": F.expr("try_variant_get(doc, '$.kind', 'string')"), "name": F.expr("try_variant_get(doc, '$.metadata.name', 'string')")}).where(F.col("kind").isin(*KINDS))
-    values = docs.select("file", "doc_no", F.explode(F.expr(f"concat({', '.join(_at(r[0], r[1]) for r in K8S)})")).alias("x")).select("file", "doc_no", "x.*").where("v IS NOT NULL")
-    typed = values.select("file", "doc_no", "rule_id", F.expr("schema_of_variant(v)").alias("t"), F.expr("to_json(v)").alias("s"))
-    tests = F.expr("CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN {r[4]}" for r in K8S) + " END")
-    listed = sources.sparkSession.createDataFrame([(r[0], r[1].removeprefix("$."), r[2], r[3]) for r in K8S], "rule_id string, path string, severity string, pss string")
-    found = typed.where(tests).join(F.broadcast(listed), "rule_id").select("file", "doc_no", "rule_id", F.concat(F.lit("Kubernetes: "), F.col("rule_id")).alias("type"), "severity", F.concat("path", F.lit(": "), "s").alias("match"), "pss", F.lit(A05).alias("owasp_category"), F.lit("CWE-250").alias("cwe_id"))
-    token = docs.where(F.expr("schema_of_variant(try_variant_get(doc, '$.spec.automountServiceAccountToken', 'variant')) = 'BOOLEAN' AND try_variant_get(doc, '$.spec.automountServiceAccountToken', 'boolean')"))
-    env = docs.select("file", "doc_no", F.explode(F.expr("flatten(transform(coalesce(try_variant_get(doc, '$.spec.containers', 'array<variant>'), array()), c -> coalesce(try_variant_get(c, '$.env', 'array<variant>'), array())))")).alias("e"))
-    secret = env.where(F.expr(r"try_variant_get(e, '$.name', 'string') rlike '(?i)password|secret|token|api[_-]?key' AND coalesce(try_variant_get(e, '$.value', 'string'), '') NOT IN ('', '0', 'false') AND try_variant_get(e, '$.valueFrom.secretKeyRef', 'variant') IS NULL"))
-    network = docs.where(F.col("kind").isin("Deployment", "StatefulSet", "Pod"))
-
-    def own(df: DataFrame, rule_id: str, kind: str, severity: str, owasp: str, cwe: str | None, match: Column) -> DataFrame:
-        return df.select("file", "doc_no", F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), match.alias("match"), F.lit(None).cast("string").alias("pss"), F.lit(owasp).alias("owasp_category"), F.lit(cwe).cast("string").alias("cwe_id"))
-
-    return (
-        found.unionByName(own(token, "K8S-SA", "Kubernetes: ServiceAccount", "medium", A07, None, F.lit("automountServiceAccountToken: true")))
-        .unionByName(own(secret, "K8S-SECRET", "Kubernetes: Hardcoded Secret", "critical", A02, "CWE-798", F.expr("try_variant_get(e, '$.name', 'string')")))
-        .unionByName(own(network, "K8S-NP", "Kubernetes: Best Practice", "low", A05, None, F.col("kind")))
-    )
-
-
-def scan_infrastructure(sources: DataFrame) -> DataFrame:
-    """Findings of Dockerfiles, Kubernetes and Terraform texts; ``kind`` says which one a text is."""
-    of = lambda kind: sources.where(F.col("kind") == kind).withColumn("language", F.lit(kind)).select("file", "language", "text")
-    docker, terraform, kube = of("dockerfile"), of("terraform"), kubernetes(of("kubernetes"))
-    kube = kube.withColumns({"language": F.lit("kubernetes"), "scanner": F.lit("kubernetes"), "rule_no": F.lit(None).cast("int"), "match_seq": F.col("doc_no"), "severity_rank": severity_rank(F.col("severity")), "message": F.concat("type", F.lit(": unsafe setting")), "fix": F.lit("Set the safe value."), "line": F.lit(None).cast("int")}).select(*FINDING)
-    parts = [scan(docker, matched("dockerfile")), dockerfile_practice(docker), scan(terraform, matched("terraform")), terraform_practice(terraform), kube]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kind, name = _get("d", "kind", "string"), _get("d", "metadata.name", "string")
+    token = _get("d", "spec.automountServiceAccountToken")
+    account = f"IF(coalesce(schema_of_variant({token}) = 'BOOLEAN' AND to_json({token}) = 'true', false), array({_made('K8S-SA', 'Kubernetes: ServiceAccount', 'medium', A07, None, 'NULL', kind=kind, name=name)}), array())"
+    containers = f"coalesce({_get('d', 'spec.containers', 'array<variant>')}, array())"
+    env = f"flatten(transform({containers}, c -> transform(coalesce({_get('c', 'env', 'array<variant>')}, array()), e -> struct(c AS c, e AS e))))"
+    exposed = f"NOT {_falsy(_get('x.e', 'value'))} AND coalesce({_get('x.e', 'name', 'string')} rlike '(?i)password|secret|token|api[_-]?key', false) AND {_falsy(_get('x.e', 'valueFrom.secretKeyRef'))}"
+    secrets = f"transform(filter({env}, x -> {exposed}), x -> {_made('K8S-SECRET', 'Kubernetes: Hardcoded Secret', 'critical', A02, 'CWE-798', 'NULL', container=_get('x.c', 'name', 'string'), env_var=_get('x.e', 'name', 'string'))})"
+    network = f"IF({kind} IN ('Deployment', 'StatefulSet', 'Pod'), array({_made('K8S-NP', 'Kubernetes: Best Practice', 'low', A05, None, 'NULL', kind=kind, name=name)}), array())"
+    kinds = ", ".join(map(quoted, WORKLOADS))
+    parts = ", ".join([*(_at(*r) for r in K8S), account, secrets, network])
+    each = F.transform(yaml_documents(text), lambda j: F.call_function("try_parse_json", j))
+    return each, f"flatten(transform(filter(docs, d -> coalesce({kind} IN ({kinds}), false)), d -> concat({parts})))"
+
+
+def checked(sources: DataFrame, kinds: tuple[str, ...] = ("dockerfile", "terraform", "kubernetes")) -> tuple[DataFrame, Column]:
+    """The sources and an array of the findings of each one's checks, by ``language``; the YAML of other texts is not read."""
+    kind, text = F.col("language"), F.col("text")
+    parsed, found = kubernetes_checks(F.when(kind == "kubernetes", text))
+    if "kubernetes" in kinds:
+        sources = sources.withColumn("docs", parsed)
+    by = {"dockerfile": lambda: dockerfile_checks(text), "terraform": lambda: terraform_checks(text), "kubernetes": lambda: F.expr(found)}
+    checks = F.lit(None).cast(CHECKS)
+    for k in kinds:
+        checks = F.when(kind == k, by[k]()).otherwise(checks)
+    return sources, F.coalesce(checks, F.array().cast(CHECKS))
+
+
+def practice(sources: DataFrame, kind: str) -> DataFrame:
+    """The checks of one kind of texts (file, text), without the patterns."""
+    sources, checks = checked(sources.withColumn("language", F.lit(kind)), (kind,))
+    found = scan(sources, [], checks)
+    return found.drop("docs")
+
+
+def scan_infrastructure(sources: DataFrame, listed: tuple[str, ...] = ("dockerfile", "terraform")) -> DataFrame:
+    """Findings of Dockerfiles, Kubernetes and Terraform texts in one pass; ``kind`` says which one a text is."""
+    ready = sources.withColumn("language", F.when(F.col("kind") == "code", F.col("language")).otherwise(F.col("kind"))).drop("kind")
+    if not set(listed) - {"dockerfile", "terraform"}:
+        ready = ready.where(F.col("language").isin("dockerfile", "terraform", "kubernetes"))
+    ready, checks = checked(ready)
+    return scan(ready, matched(*listed), checks).drop("docs")

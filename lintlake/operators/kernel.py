@@ -1,6 +1,8 @@
 """Matches of rules over whole texts, with their lines: one pass of built-in expressions, no shuffle.
 
-A match's line comes from a copy of the text with a mark before each match: split into lines, a
+Which rules fire in a text is told first: literals that a match must hold are looked up before any pattern runs.
+Then a row per text and rule that fires goes through the rest, so that a row holds one copy of its text however
+many rules fire.  A match's line comes from that copy with a mark before each match: split into lines, a
 line holds as many marks as matches begin in it.  That is linear in the text and the matches.
 """
 
@@ -9,16 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import SPACE
-from ..functions.text import severity_rank, trimmed
-from ..rules.catalogue import Rule, dimension
+from ..functions.regex import SPACE, required
+from ..functions.text import quoted, severity_rank, trimmed
+from ..rules.catalogue import KINDS, Rule, dimension
 
 # A private-use character, and the one that stands for it in the marked copy of a text that has it.
 MARK, STAND_IN = chr(0xE000), chr(0xE001)
 # Words that tell that a line cleans what it shows.
 CLEANERS = "sanitize|escape|encode|xss|htmlspecialchars|htmlentities"
 
-FINDING = ["file", "language", "scanner", "rule_id", "rule_no", "match_seq", "type", "severity", "severity_rank", "message", "fix", "line", "match", "owasp_category", "cwe_id"]
+FINDING = ["file", "language", "scanner", "rule_id", "rule_no", "match_seq", "type", "severity", "severity_rank", "message", "fix", "line", "match", "owasp_category", "cwe_id", "metadata"]
+#: In this order a file's findings come.
+ORDER = ["file", "rule_no", "match_seq"]
+METADATA = ("rule_id", "cis", "pss", "kind", "name", "namespace", "path", "container", "env_var")
+#: What a check that is not a pattern gives for each of its findings.
+CHECKED = f"scanner: string, rule_id: string, rule_no: int, type: string, severity: string, message: string, fix: string, line: int, match: string, owasp_category: string, cwe_id: string, metadata: struct<{', '.join(m + ': string' for m in METADATA)}>"
+CHECKED_COLUMNS = 12
+CHECKS = f"array<struct<{CHECKED}>>"
+
+
+def metadata(**known: Column) -> Column:
+    """A finding's metadata; what is not given is null."""
+    return F.struct(*(known.get(m, F.lit(None)).cast("string").alias(m) for m in METADATA))
 
 
 def is_comment(line: Column, language: Column, scanner: Column) -> Column:
@@ -35,38 +49,58 @@ def is_comment(line: Column, language: Column, scanner: Column) -> Column:
     )
 
 
-def _hit(i: int, rule: Rule) -> Column:
-    fits = F.col("text").rlike(rule.java)
-    if rule.languages:
-        fits = F.col("language").isin(*rule.languages) & fits
-    marked = F.regexp_replace(F.translate("text", MARK, STAND_IN), F.lit(rule.java), F.lit(MARK + "$0"))
-    return F.when(fits, F.struct(F.lit(i).alias("rule_no"), F.regexp_extract_all("text", F.lit(rule.java), F.lit(0)).alias("found"), F.split(marked, "\n").alias("lines")))
+def fires(rule: Rule) -> str:
+    """SQL of whether a rule has a match in a text: its language, then the literals of any match, then the pattern."""
+    if rule.scanner in KINDS:
+        tests = [f"language = {quoted(rule.scanner)}"]
+    elif rule.languages:
+        tests = [f"language IN ({', '.join(map(quoted, rule.languages))})"]
+    else:
+        tests = [f"coalesce(language NOT IN ({', '.join(map(quoted, KINDS))}), true)"]
+    fold = "i" in rule.flags
+    for alternatives in required(rule.pattern):
+        held = (f"contains({'lowered' if fold else 'text'}, {quoted(x.lower() if fold else x)})" for x in alternatives)
+        tests.append(f"({' OR '.join(held)})")
+    return " AND ".join([*tests, f"text RLIKE {quoted(rule.java)}"])
 
 
-def scan(sources: DataFrame, listed: list[Rule]) -> DataFrame:
+def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -> DataFrame:
     """One row per match: the columns of FINDING and the other columns of ``sources`` (file, language, text).
 
     Rules see the text as a whole, so a match may span lines; its line is where it begins.  Matches in comment
-    lines go, and those of the xss scanner in lines that clean.  A null text has no matches.
+    lines go, and those of the xss scanner in lines that clean.  A null text has no matches.  Rules of Dockerfiles
+    and Terraform see texts of that ``language`` only, all others no such text.  ``checks``: an array of further findings
+    (CHECKED) of each source.  Other columns that are named like those of FINDING are left out.
     """
-    others = [c for c in sources.columns if c not in ("text", "file", "language")]
-    hits = F.filter(F.array(*[_hit(i, r) for i, r in enumerate(listed)]), lambda h: h.isNotNull())
-    hit = sources.where(F.col("text").isNotNull()).select("file", "language", *others, F.explode(hits).alias("hit"))
-    named = hit.select("file", "language", *others, "hit.*").join(F.broadcast(dimension(sources.sparkSession, listed)), "rule_no")
-
-    def places(line: Column, i: Column) -> Column:
-        own = F.replace(line, F.lit(MARK), F.lit(""))
-        whole = F.when(F.col("snippet") < 0, trimmed(own))
-        place = F.struct((i + 1).alias("line"), is_comment(own, F.col("language"), F.col("scanner")).alias("comment"), F.lower(own).rlike(CLEANERS).alias("cleans"), whole.alias("shown"))
-        return F.array_repeat(place, (F.length(line) - F.length(own)).cast("int"))
-
-    zipped = F.arrays_zip(F.col("found"), F.flatten(F.transform("lines", places)).alias("places"))
-    each = named.select("*", F.posexplode(zipped).alias("match_seq", "m")).select("*", F.col("m.found").alias("found_text"), "m.places.*")
-    kept = each.where(~F.col("comment") & ~((F.col("scanner") == "xss") & F.col("cleans")))
+    others = [c for c in sources.columns if c not in ("text", *FINDING)]
+    rest = F.struct(*(sources[c] for c in others)) if others else F.lit(None).cast("string")
+    texts = sources.where(F.col("text").isNotNull()).select("file", "language", "text", rest.alias("rest"), F.lower("text").alias("lowered"), (F.lit(None).cast(CHECKS) if checks is None else checks).alias("checks"))
+    hits = F.expr(f"array_compact(CAST(array({', '.join(f'IF({fires(r)}, {i}, NULL)' for i, r in enumerate(listed))}) AS array<int>))")
+    nothing = F.lit(None).cast(f"struct<{CHECKED}>")
+    items = F.transform(hits, lambda i: F.struct(i.alias("hit"), nothing.alias("c")))
+    if checks is not None:
+        items = F.concat(items, F.transform("checks", lambda c: F.struct(F.lit(None).cast("int").alias("hit"), c.alias("c"))))
+    known = F.broadcast(dimension(sources.sparkSession, listed))  # a row a rule
+    hit = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item")).select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "left")
+
+    def places(line: Column) -> Column:
+        own = F.replace(line["text"], F.lit(MARK), F.lit(""))
+        place = F.struct(line["line"].alias("line"), is_comment(own, F.col("language"), F.col("scanner")).alias("comment"), ((F.col("scanner") == "xss") & F.lower(own).rlike(CLEANERS)).alias("cleans"), F.when(F.col("snippet") < 0, trimmed(own)).alias("shown"))
+        return F.array_repeat(place, (F.length(line["text"]) - F.length(own)).cast("int"))
+
+    marked = F.split(F.regexp_replace(F.translate("text", MARK, STAND_IN), F.col("pattern"), F.lit(MARK + "$0")), "\n")
+    begun = F.filter(F.transform(marked, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"))), lambda x: F.contains(x["text"], F.lit(MARK)))
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"), F.flatten(F.transform(begun, places)).alias("place"))
+    each = hit.select("file", "language", "rest", "at", "c", *[c for c in known.columns if c != "pattern"], F.posexplode_outer(F.when(F.col("hit").isNotNull(), zipped)).alias("match_seq", "m"))
+    each = each.where(F.col("hit").isNull() | (~F.col("m.place.comment") & ~F.col("m.place.cleans")))
     shown = (
-        F.when(F.col("snippet") == -80, F.substring("shown", 1, 80))
-        .when(F.col("snippet") < 0, F.col("shown"))
-        .when(F.col("snippet") > 0, F.expr("substring(found_text, 1, snippet)"))
-        .otherwise(F.col("found_text"))
+        F.when(F.col("snippet") == -80, F.substring("m.place.shown", 1, 80))
+        .when(F.col("snippet") < 0, F.col("m.place.shown"))
+        .when(F.col("snippet") > 0, F.substring(F.col("m.found"), F.lit(1), F.col("snippet")))
+        .otherwise(F.col("m.found"))
     )
-    return kept.withColumns({"match": shown, "severity_rank": severity_rank(F.col("severity"))}).select(*FINDING, *others)
+    ids = metadata(rule_id=F.col("rule_id"), cis=F.col("cis"))
+    each = each.withColumns({"line": F.col("m.place.line"), "match": shown, "metadata": F.when(F.col("scanner").isin(*KINDS), ids)})
+    own = [c.split(":")[0] for c in CHECKED.split(", ")[: CHECKED_COLUMNS]]
+    out = each.select("file", "language", "rest", F.coalesce("match_seq", "at").alias("match_seq"), *(F.when(F.col("hit").isNull(), F.col("c")[c]).otherwise(F.col(c)).alias(c) for c in own))
+    return out.withColumn("severity_rank", severity_rank(F.col("severity"))).select(*FINDING, *(F.col("rest")[c].alias(c) for c in others))

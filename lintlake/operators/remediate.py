@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 # Finding type, languages, pattern, replacement (Java's $n).
 TEMPLATES = (
     ("innerHTML Assignment", "javascript,typescript", r"\.innerHTML\s*=\s*([^;]+)", ".textContent = $1"),
@@ -14,7 +16,7 @@ TEMPLATES = (
     ("Insecure Random (Math.random)", "javascript,typescript", r"Math\.random\s*\(\s*\)", "crypto.randomBytes(8).toString('hex')"),
     ("AWS Access Key", "javascript", r"""(const|let|var)\s+(\w*[Aa]ws\w*[Kk]ey\w*)\s*=\s*['"]AKIA[A-Z0-9]{16}['"]""", "$1 $2 = process.env.AWS_ACCESS_KEY_ID || ''"),
     ("Google API Key", "javascript", r"""(const|let|var)\s+(\w*[Aa]pi[Kk]ey\w*)\s*=\s*['"]AIza[A-Za-z0-9_-]{35}['"]""", "$1 $2 = process.env.GOOGLE_API_KEY || ''"),
-    ("eval() Usage", "javascript,typescript", r"eval\s*\(\s*([^)]+)\s*\)", "JSON.parse($1)"),
+    ("eval() Usage", "javascript", r"eval\s*\(\s*([^)]+)\s*\)", "JSON.parse($1)"),
     ("Disabled SSL Verification", "javascript", r"rejectUnauthorized\s*:\s*false", "rejectUnauthorized: true"),
     ("Disabled SSL Verification", "python", r"verify\s*=\s*False", "verify=True"),
     ("CORS Allow All Origins", "javascript", r"""(?:Access-Control-Allow-Origin|origin)\s*[=:]\s*['"]?\*['"]?""", "origin: process.env.ALLOWED_ORIGIN || 'https://yourdomain.com'"),
@@ -29,10 +31,23 @@ HOLE = r"\$\{([^}]+)\}"
 def parameterized(code: Column) -> Column:
     """``db.query(`... ${x} ...`)`` with question marks and a list of parameters; what is around the calls stays."""
     calls, gaps = F.regexp_extract_all(code, F.lit(QUERY), F.lit(1)), F.split(code, QUERY, -1)
-    fixed = F.transform(calls, lambda sql: F.concat(F.lit("db.query('"), F.regexp_replace(sql, HOLE, "?"), F.lit("', ["), F.array_join(F.regexp_extract_all(sql, F.lit(HOLE), F.lit(1)), ", "), F.lit("])")))
+    fixed = F.transform(calls, lambda sql: F.concat(F.lit("db.query('"), F.regexp_replace(sql, HOLE, "?"), F.lit("', ["), F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(HOLE), F.lit(1)), trimmed), ", "), F.lit("])")))
     return F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), fixed.alias("call")), lambda x: F.array(x["gap"], F.coalesce(x["call"], F.lit(""))))), "")
 
 
+def rewritten(code: Column, kind: Column, language: Column) -> Column:
+    """The second way, for scripts where no template changes anything: assignments and calls by name; null if nothing changes."""
+    name = r"(?<![A-Za-z0-9_$.])"
+    drawn = F.regexp_replace(code, name + r"Math\s*\.\s*random\s*\(\s*\)", "crypto.randomBytes(8).toString('hex')")
+    imported = F.when(code.rlike(r"""from\s+['"]crypto['"]"""), drawn).otherwise(F.concat(F.lit("import * as crypto from 'crypto';\n"), drawn))
+    out = (
+        F.when(kind == "innerHTML Assignment", F.regexp_replace(code, r"\.innerHTML(?=\s*=(?!=))", ".textContent"))
+        .when(kind == "eval() Usage", F.regexp_replace(code, name + r"eval(?=\s*\()", "JSON.parse"))
+        .when((kind == "Insecure Random (Math.random)") & (drawn != code), imported)
+    )
+    return F.when(language.isin("javascript", "typescript") & (out != code), out)
+
+
 def fixed(code: Column, kind: Column, language: Column) -> Column:
     """The code with the fix of this finding type; null if there is none for the language."""
     out = F.when((kind == "Template Literal SQL") & language.isin("javascript", "typescript"), parameterized(code))
@@ -49,9 +64,51 @@ def line_diff(old: Column, new: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.when(side(p["a"]) == side(p["b"]), F.concat(F.lit("  "), side(p["a"]), F.lit("\n"))).otherwise(F.concat(show("- ", p["a"]), show("+ ", p["b"])))), "")
 
 
+# What else to know about some types of findings.
+EXPLANATIONS = (
+    ("innerHTML Assignment", "Markup from outside can carry script that runs as the page. Set text instead; where markup is needed, clean it, or leave escaping to the framework."),
+    ("Template Literal SQL", "Whoever controls a value controls the query. Use prepared statements or a mapper, and allow only values you expect."),
+    ("Weak Hash (MD5)", "Collisions can be made in seconds, and tables of hashes are published. Use SHA-256 for data, bcrypt or argon2 for passwords, an HMAC for signatures."),
+    ("eval() Usage", "Any code in the string runs with the page's rights. Parse data as JSON, write functions out, or use an evaluator for expressions only."),
+)
+
+
+def explanation(issues: DataFrame) -> Column:
+    """A text on an issue: type, severity, line, message, fix, what else is known, category and weakness.
+
+    issues: type, and of severity, message, fix, line, owasp_category, cwe_id what there is.
+    """
+    has = lambda c, default=None: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in issues.columns else F.lit(default).cast("string")
+    more = F.try_element_at(F.create_map(*(F.lit(x) for pair in EXPLANATIONS for x in pair)), F.col("type"))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("## Finding: "), F.col("type")),
+        F.lit(""),
+        F.concat(F.lit("**Severity**: "), has("severity", "high")),
+        F.concat(F.lit("**Place**: line "), has("line", "?")),
+        F.lit(""),
+        F.concat(F.lit("**Problem**:\n"), has("message", "A weakness was found.")),
+        F.lit(""),
+        F.concat(F.lit("**Solution**:\n"), has("fix", "Change the code.")),
+        F.concat(F.lit("\n"), more),
+        F.concat(F.lit("\n**OWASP**: "), has("owasp_category")),
+        F.concat(F.lit("**CWE**: "), has("cwe_id")),
+    )
+
+
 def suggestions(issues: DataFrame) -> DataFrame:
-    """issues: code, type, language.  Adds fixed_code, diff, success and method (template or none)."""
-    new = fixed(F.col("code"), F.col("type"), F.col("language"))
-    out = issues.withColumn("new_code", new).withColumn("success", F.coalesce(F.col("new_code") != F.col("code"), F.lit(False)))
-    out = out.withColumn("fixed_code", F.when(F.col("success"), F.col("new_code")).otherwise(F.col("code"))).drop("new_code")
-    return out.withColumns({"diff": F.when(F.col("success"), line_diff(F.col("code"), F.col("fixed_code"))).otherwise(""), "method": F.when(F.col("success"), "template").otherwise("none")})
+    """issues: code, type, language.  Adds fixed_code (null without a fix), diff, success, method (template, ast or none), explanation and report.
+
+    The templates come first, then the rewriting of scripts.
+    """
+    code, kind, language = F.col("code"), F.col("type"), F.col("language")
+    template = fixed(code, kind, language)
+    tried = issues.select("*", explanation(issues).alias("explanation"), F.when(template != code, template).alias("by_template"))
+    tried = tried.withColumn("by_rewriting", F.when(F.col("by_template").isNull(), rewritten(code, kind, language)))
+    tried = tried.withColumn("fixed_code", F.coalesce("by_template", "by_rewriting"))
+    method = F.when(F.col("by_template").isNotNull(), "template").when(F.col("by_rewriting").isNotNull(), "ast").otherwise("none")
+    out = tried.withColumns({"method": method, "success": F.col("fixed_code").isNotNull(), "diff": F.when(F.col("fixed_code").isNotNull(), line_diff(code, F.col("fixed_code"))).otherwise("")})
+    failed = F.concat(F.lit("## No automatic fix\n\nThis finding has to be fixed by hand.\n\n"), F.col("explanation"))
+    way = F.when(F.col("method") == "template", "template").otherwise("rewriting")
+    done = F.concat(F.lit("## Suggested fix\n\n**Method**: "), way, F.lit("\n\n### Changes\n\n```diff\n"), F.col("diff"), F.lit("```\n\n### Explanation\n\n"), F.col("explanation"), F.lit("\n\n### Fixed code\n\n```"), language, F.lit("\n"), F.col("fixed_code"), F.lit("\n```\n"))
+    return out.drop("by_template", "by_rewriting").withColumn("report", F.when(F.col("success"), done).otherwise(failed))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,22 +11,39 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.regex import js_to_java
 from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report
-from ..rules.catalogue import matched
-from ..sources.files import EXCLUDE, INCLUDE
+from ..rules.catalogue import CODE as SCANNERS
+from ..rules.catalogue import Rule, matched, rules
+from ..sources.files import selected, spread
 from ..streaming.scans import per_window
-from .corpus import CODE, DOCKERFILE, KUBERNETES, MANIFESTS, PATHS, TERRAFORM, corpus
+from .cases import CASES, FIXES, KUBERNETES
+from .corpus import CODE, DOCKERFILE, MANIFESTS, PATHS, TERRAFORM, corpus, keys, picked
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def looks_around(rule: Rule) -> bool:
+    """Whether what a match shows depends on what follows it; rule_cases holds these matches by hand."""
+    return "(?!" in rule.pattern
+
+
 def _family(scanner: str, snippets: tuple, comment: str) -> Query:
+    around = [r.rule_id for r in matched(scanner) if looks_around(r)]
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = kernel.scan(corpus(spark, sf_dir, snippets, comment), matched(scanner))
-        return found.groupBy("key", "rule_id", "severity", "line").agg(F.count("*").alias("n"))
+        shown = F.when(~F.col("rule_id").isin(around), F.col("match")).alias("match")
+        return found.groupBy("key", "rule_id", "severity", "line", shown).agg(F.count("*").alias("n"))
 
     return run
 
 
+def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a text for each rule the findings of that rule: line and match."""
+    texts = keys(spark, sf_dir).select("key", F.concat(F.lit("f"), F.col("key")).alias("file"), *(picked(c[i] for c in CASES).alias(name) for i, name in ((0, "want"), (1, "language"), (2, "text"))))
+    found = kernel.scan(texts, matched(*SCANNERS, "dockerfile", "terraform"))
+    return found.where(F.col("rule_id") == F.col("want")).select("key", "rule_id", "line", "match", "owasp_category", "cwe_id")
+
+
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel.scan(corpus(spark, sf_dir, CODE), matched("injection", "xss", "crypto", "auth", "path"))
 
@@ -35,8 +53,7 @@ def _over(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"))
-    return orders.select("key", F.get(F.array(*map(F.lit, PATHS)), (F.col("key") % len(PATHS)).cast("int")).alias("file"))
+    return keys(spark, sf_dir).select("key", picked(PATHS).alias("file"))
 
 
 def _languages(of: Callable) -> Query:
@@ -48,23 +65,29 @@ def _key(findings: DataFrame) -> DataFrame:
 
 
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("o_orderkey") % len(values)).cast("int"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select(F.concat_ws("/", "o_orderkey", pick([a for a, _ in MANIFESTS])).alias("file"), pick([b for _, b in MANIFESTS]).alias("text"))
+    return keys(spark, sf_dir).select(F.concat_ws("/", "key", picked(a for a, _ in MANIFESTS)).alias("file"), picked(b for _, b in MANIFESTS).alias("text"))
 
 
 def dependency_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dependencies.dependency_findings(_manifests(spark, sf_dir))
-    return found.select(F.substring_index("file", "/", 1).cast("long").alias("key"), "ecosystem", "package", "severity")
+    return found.select(F.substring_index("file", "/", 1).cast("long").alias("key"), "ecosystem", "package", "severity", "match", "type", "owasp_category", "cwe_id")
 
 
 def kubernetes_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iac.kubernetes(corpus(spark, sf_dir, KUBERNETES, "").select("file", "text")).select("file", "doc_no", "rule_id", "severity", "pss", "match")
+    texts = keys(spark, sf_dir).select("key", F.concat(F.lit("f"), F.col("key")).alias("file"), picked(KUBERNETES).alias("text"))
+    return iac.practice(texts, "kubernetes").select("key", "rule_id", "severity", "match", *(F.col(f"metadata.{m}").alias(m) for m in ("pss", "name", "container", "env_var")))
+
+
+def infrastructure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All infrastructure scanners over all three kinds of texts in one pass: counts per rule."""
+    snippets = [*DOCKERFILE, *TERRAFORM, *(("kubernetes", t) for t in KUBERNETES)]
+    texts = keys(spark, sf_dir).select(F.concat(F.lit("f"), F.col("key")).alias("file"), picked(a for a, _ in snippets).alias("kind"), F.lit(None).cast("string").alias("language"), picked(b for _, b in snippets).alias("text"))
+    return iac.scan_infrastructure(texts).groupBy("scanner", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
 def owasp_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kernel.scan(corpus(spark, sf_dir, CODE), matched("xss", "path"))
-    return enrich.described(found).groupBy("rule_id", "owasp_description").agg(F.count("*").alias("n"))
+    return enrich.described(found).groupBy("rule_id", "owasp_description", "cwe_description").agg(F.count("*").alias("n"))
 
 
 def cve_array_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,35 +118,69 @@ def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remediate.suggestions(issues).where("success")
 
 
+def fix_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types of fixes, and issues without one."""
+    issues = keys(spark, sf_dir).select("key", *(picked(f[i] for f in FIXES).alias(name) for i, name in ((0, "type"), (1, "code"), (2, "language"))))
+    return remediate.suggestions(issues).select("key", "fixed_code", "method", "success")
+
+
 def documents_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All code rules over the whole texts of the documents: counts per rule."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), T.language_by_tool(F.col("text")).alias("language"), "text")
-    return kernel.scan(docs, matched("secrets", "injection", "xss", "crypto", "auth", "path", "terraform")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    """All code rules, and two credential rules of another scanner as a user's own, over the whole texts of the documents: counts per rule."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("file"), T.language_by_tool(F.col("text")).alias("language"), "text")
+    return kernel.scan(texts, matched(*SCANNERS) + own_rules()).groupBy("rule_id", "line").agg(F.count("*").alias("n"))
+
+
+def own_rules() -> list[Rule]:
+    return [replace(r, scanner="secrets") for r in rules("terraform") if r.rule_id in ("TF007", "TF008")]
+
+
+RESULTS = "array<struct<ruleId: string, level: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>>>"
+RULES = "array<struct<id: string, name: string>>"
+
+
+def sarif_by_file(findings: DataFrame) -> DataFrame:
+    """What the documents say when they are read back: a row per result."""
+    run = F.from_json("report", f"runs array<struct<tool: struct<driver: struct<rules: {RULES}>>, results: {RESULTS}>>")["runs"][0]
+    read = report.sarif_by_file(findings).select("file", run.alias("run"))
+    each = read.select("file", F.size("run.tool.driver.rules").alias("rules"), F.posexplode("run.results").alias("place", "r"))
+    where = F.col("r.locations")[0]["physicalLocation"]
+    return each.select("file", "rules", "place", F.col("r.ruleId").alias("id"), F.col("r.level").alias("level"), where["artifactLocation"]["uri"].alias("uri"), where["region"]["startLine"].alias("line"))
+
+
+def public_json(findings: DataFrame) -> DataFrame:
+    """The JSON report's issues, read back from its lines."""
+    lines = report.json_report(findings.select("file").distinct(), findings).where("line LIKE '%owaspCategory%'")
+    return lines.select(F.from_json(F.ltrim("line", F.lit(",")), "file string, line int, severity string, type string, owaspCategory string, cweId string").alias("x")).select("x.*").groupBy("severity", "type", "owaspCategory", "cweId").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
 def queries() -> dict[str, Query]:
     out = {f"findings_{s}": _family(s, CODE, "// order ") for s in ("injection", "xss", "crypto", "auth", "path", "secrets")}
     out |= {"findings_dockerfile": _family("dockerfile", DOCKERFILE, ""), "findings_terraform": _family("terraform", TERRAFORM, "")}
     out |= {
+        "rule_cases": rule_cases,
+        "infrastructure_scan": infrastructure,
         "severity_summary": _over(analytics.summary),
         "severity_by_group": _over(analytics.by_severity),
         "severity_share": _over(analytics.shares),
         "owasp_distribution": _over(analytics.by_owasp),
-        "type_top8_others": _over(analytics.top_types),
+        "type_top8_others": _over(lambda f: analytics.top_types(f).select("kind", "n", "kinds")),
+        "owasp_groups": _over(analytics.grouped_by_owasp),
         "files_over_threshold": _over(lambda f: analytics.files_over(f, "high")),
-        "first_n_per_severity": _over(lambda f: analytics.first_of_each(f).select("severity", "number", F.substring("file", 2, 20).cast("long").alias("key"), "rule_id", "line", "more")),
+        "first_n_per_severity": _over(lambda f: analytics.first_of_each(f, {"critical": 5, "high": 3, "medium": 2, "low": 1}).select("severity", "number", F.substring("file", 2, 20).cast("long").alias("key"), "rule_id", "line", "more")),
         "attack_surface": _over(analytics.attack_surface),
         "scanner_rollup": _over(analytics.rollup),
         "sarif_stats": _over(report.sarif_stats),
-        "sarif_rule_dedup": _over(lambda f: report.sarif_rules(f).select("id", "name")),
-        "sarif_by_file": _over(report.sarif_by_file),
+        "sarif_rule_dedup": _over(lambda f: report.sarif_rules(f).select("id", "name", "properties.precision", F.col("properties.security-severity").alias("score"), F.array_join("properties.tags", ",").alias("tags"))),
+        "sarif_by_file": _over(sarif_by_file),
+        "json_report": _over(public_json),
         "language_detect_tool": _languages(T.language_by_tool),
         "language_detect_sandbox": _languages(T.language_by_sandbox),
         "language_of_documents": lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.language_by_tool(F.col("text")).alias("lang")),
         "iac_routing": lambda spark, d: _paths(spark, d).select("key", T.kind_of(F.col("file")).alias("kind"), T.language_by_extension(F.col("file")).alias("language")),
-        "file_selection": lambda spark, d: _paths(spark, d).where(T.matches_any(T.basename(F.col("file")), list(INCLUDE)) & ~T.matches_any(T.basename(F.col("file")), list(EXCLUDE))),
-        "dockerfile_practice": lambda spark, d: _key(iac.dockerfile_practice(corpus(spark, d, DOCKERFILE, ""))),
-        "terraform_practice": lambda spark, d: _key(iac.terraform_practice(corpus(spark, d, TERRAFORM, ""))),
+        "file_selection": lambda spark, d: _paths(spark, d).where(selected(F.col("file"))),
+        "dockerfile_practice": lambda spark, d: _key(iac.practice(corpus(spark, d, DOCKERFILE, ""), "dockerfile")),
+        "terraform_practice": lambda spark, d: _key(iac.practice(corpus(spark, d, TERRAFORM, ""), "terraform")),
         "kubernetes_checks": kubernetes_checks,
         "dependency_advisories": dependency_advisories,
         "owasp_left_join": owasp_left_join,
@@ -131,7 +188,8 @@ def queries() -> dict[str, Query]:
         "secret_masking": secret_masking,
         "script_tags_in_pages": script_tags_in_pages,
         "events_findings_per_window": events_findings_per_window,
-        "fix_templates": lambda spark, d: _fixes(spark, d).select("key", "fixed_code"),
+        "fix_templates": fix_templates,
+        "fix_all_code": lambda spark, d: _fixes(spark, d).select("key", "fixed_code"),
         "diff_lines": lambda spark, d: _fixes(spark, d).select("key", "diff"),
         "documents_scan": documents_scan,
     }

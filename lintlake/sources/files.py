@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, kind_of, language_by_extension, language_by_tool, matches_any
@@ -22,11 +22,28 @@ def folder(spark: SparkSession, path: str, include: tuple[str, ...] = INCLUDE, e
     read = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path, wholetext=True)
     texts = read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     root = path.split("://", 1)[-1].rstrip("/")
-    parts = F.split(F.element_at(F.split("file", F.lit(r"\Q" + root + r"\E"), 2), -1), "/")
-    kept = texts.where(matches_any(basename(F.col("file")), list(include)) & ~F.exists(parts, lambda p: (p != "") & matches_any(p, list(exclude))))
+    kept = texts.where(selected(F.element_at(F.split("file", F.lit(r"\Q" + root + r"\E"), 2), -1), include, exclude))
     return routed(kept)
 
 
+def selected(path: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> Column:
+    """Whether a path below the scanned folder is taken: its name is included, and neither it nor a folder on the way is excluded."""
+    return matches_any(basename(path), list(include)) & ~F.exists(F.split(path, "/"), lambda p: (p != "") & matches_any(p, list(exclude)))
+
+
+def target(spark: SparkSession, path: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
+    """A folder's selected files, or a single file whatever its name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    is_file = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    return single(spark, path) if is_file else folder(spark, path, include, exclude)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than the cluster has cores, dealt out evenly; a file's only row group is one task's work otherwise.  Beyond that, as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def single(spark: SparkSession, path: str) -> DataFrame:
     """One file; neither included nor excluded names count."""
     read = spark.read.text(path, wholetext=True)
