@@ -3,8 +3,10 @@
 Rows with the same shingle set are one class from the start.  Class representatives that share a band
 are tied to the smallest of the bucket; those that agree so well with it that all their partners must be
 tied to it as well are settled, the others of a bucket are compared with each other.  Agreement here is that
-of one byte of each minimum: equal minima have equal bytes, so it is never too low.  Ties make families.  Within a
-family all pairs are compared, by signature and then on full sets, in tiles of bounded size, and a tile
+of one byte of each minimum: equal minima have equal bytes, so it is never too low.  Ties make families.  A
+family is cut into tiles of bounded size; in each, all pairs are compared, by signature and then on full sets, and
+all with the family's smallest document, which stands in every tile.  What is linked to that document needs no
+further comparison with its like; only the others of a family of several tiles are compared with all tiles.  A tile
 gives back a spanning forest of its links: never the pairs of a group.
 """
 
@@ -90,7 +92,7 @@ def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: in
     """Links that join what the links between the sets join.  side: 0 and 1 are compared across only, 2 with all."""
     n = len(ids)
     sig, size = signatures(sets), np.array([len(s) for s in sets], np.int64)
-    root = np.arange(n)
+    root = np.unique(ids, return_inverse=True)[1]  # a document that stands on both sides is one
     out = []
     for i in range(n - 1):
         rest = np.arange(i + 1, n)
@@ -141,12 +143,32 @@ def _tiles(words: int, percent: int, slack: float):
     return _by_tile(("family", "i", "j", "doc_id", "text", "tile"), links)
 
 
+def _tiled(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """family, doc_id, tile, tiles: the tile goes by a hash of the document."""
+    placed = members.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    return placed.select("family", "doc_id", "tile", "tiles").dropDuplicates(["doc_id"])
+
+
+def _tiles_of(members: DataFrame) -> DataFrame:
+    return members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TILE_DOCS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
+
+
 def _paired(tiled: DataFrame, *columns: str) -> DataFrame:
     """Each row once for each pair (i, j) of tiles that its tile is in."""
     other = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return other.select(*columns, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile")
 
 
+def _links(docs: DataFrame, cells: DataFrame, run) -> DataFrame:
+    """(a, b) of the cells (family, i, j) that documents (doc_id, places: array of i, j, tile) stand in.
+
+    Hashed on the side without texts at every size: texts move once, and are neither sorted nor part of a hash table.
+    """
+    with_text = docs.select("doc_id", "text").join(cells.hint("shuffle_hash"), "doc_id")
+    each = with_text.select("family", "doc_id", "text", F.explode("places").alias("p")).select("family", "doc_id", "text", "p.*")
+    return each.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(run, "a long, b long")
+
+
 def _tied(keyed: DataFrame, sides: DataFrame, slack: float) -> DataFrame:
     """(a, b): ties that join all documents of a bucket whose sketches agree in ``slack`` of their bytes.
 
@@ -199,12 +221,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     sides = written(reps.select("doc_id", "signature").mapInArrow(_sketches, "doc_id long, s binary").groupBy("doc_id").agg(F.first("s").alias("s")), "sides")
     family = components(_tied(keyed, sides, slack)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
     members = written(reps.select("doc_id", "n_shingles").join(family, "doc_id"), "families")
-    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TILE_DOCS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    tiled = members.join(sizes, "family").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).select("family", "doc_id", "tile", "tiles").dropDuplicates(["doc_id"])
-    # Hashed on the side without texts at every size: texts move once, and are neither sorted nor part of a hash table.
-    with_text = docs.select("doc_id", "text").join(tiled.hint("shuffle_hash"), "doc_id")
-    pairs = _paired(with_text, "family", "doc_id", "text")
-    links = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id").mapInArrow(_tiles(words, percent, surely), "a long, b long")
+    tiled = written(_tiled(members, _tiles_of(members)), "tiled")
+    run = _tiles(words, percent, surely)
+    place = lambda i, j, tile: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), tile.cast("int").alias("tile"))
+    # A tile by itself is the cell (i, i); the family's smallest document stands in each of them.
+    all_tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: place(i, i, i))
+    first = tiled.select("family", "doc_id", F.when(F.col("doc_id") == F.col("family"), all_tiles).otherwise(F.array(place(F.col("tile"), F.col("tile"), F.col("tile")))).alias("places"))
+    near = written(_links(docs, first, run), "near")
+    # Of families of several tiles, what is not linked to the smallest is compared with all tiles: cells (i, -1 - j), tile i of the rest against tile j of all.
+    several = tiled.where("tiles > 1")
+    reached = components(near.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")).where("node != component")
+    rest = several.join(reached, several.doc_id == reached.node, "left").where("family != doc_id AND (component IS NULL OR component != family)").select("family", "doc_id")
+    rest = written(rest.join(members.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id"), "rest")
+    counts = _tiles_of(rest).withColumnRenamed("tiles", "rests")
+    of_rest = _tiled(rest, counts.withColumnRenamed("rests", "tiles")).join(several.groupBy("family").agg(F.first("tiles").alias("all")), "family")
+    of_rest = of_rest.select("doc_id", F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: place(F.col("tile"), -1 - j, F.col("tile"))).alias("mine"))
+    of_all = several.join(counts, "family").withColumn("theirs", F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: place(i, -1 - F.col("tile"), -1 - F.col("tile"))))
+    cells = of_all.join(of_rest, "doc_id", "left").select("family", "doc_id", F.concat("theirs", F.coalesce("mine", F.array().cast("array<struct<i: int, j: int, tile: int>>"))).alias("places"))
+    links = near.union(_links(docs, cells, run))
     # Only representatives are in the graph: a document goes where its class goes.  A doc_id with several classes links them.
     twice = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("own"), F.max("rep").alias("last"), (F.count("rep") < F.count("*")).alias("gap")).where("own < last OR gap AND own IS NOT NULL").select("doc_id", "own")
     same = known.join(twice, "doc_id").where("rep != own").select(F.col("rep").alias("a"), F.col("own").alias("b"))
