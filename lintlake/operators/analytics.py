@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEVERITIES, severity_rank
@@ -87,9 +87,9 @@ def pod_standards(findings: DataFrame) -> DataFrame:
     return findings.agg(*(F.count_if(F.col("metadata.pss") == p).alias(p) for p in ("baseline", "restricted")))
 
 
-def summary_of_scan(sources: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: files that were read, and the counts of their findings."""
-    return sources.agg(F.count_distinct("file").alias("files")).crossJoin(summary(findings))  # a row each
+def summary_of_scan(sources: DataFrame, findings: DataFrame) -> Row:
+    """files (that were read), total, and a count per severity."""
+    return Row(files=sources.agg(F.count_distinct("file")).first()[0], **summary(findings).first().asDict())
 
 
 def rollup(findings: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -
     if checks is not None:
         items = F.concat(items, F.transform("checks", lambda c: F.struct(F.lit(None).cast("int").alias("hit"), c.alias("c"))))
     known = F.broadcast(dimension(sources.sparkSession, listed))  # a row a rule
-    hit = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item")).select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "left")
+    hit = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item")).select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "inner" if checks is None else "left")
 
     def places(line: Column) -> Column:
         own = F.replace(line["text"], F.lit(MARK), F.lit(""))
