@@ -15,6 +15,7 @@ from .packing import op2_packing
 from .repeats import op5_suffix_array_dedup
 from .rules import op1_quality_rules
 from .sharding import op4_sharding
+from .sql import SQL
 from .toxicity import op3_toxicity
 
 
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
