@@ -88,8 +88,8 @@ def _kin(least: float):
     return _by_tile(("bucket", "i", "j", "doc_id", "s", "tile"), ties)
 
 
-def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, slack: float) -> list[tuple[int, int]]:
-    """Links that join what the links between the sets join.  side: 0 and 1 are compared across only, 2 with all."""
+def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int, slack: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join what the links between the sets join, and a label of each set's component.  side: 0 and 1 are compared across only, 2 with all."""
     n = len(ids)
     sig, size = signatures(sets), np.array([len(s) for s in sets], np.int64)
     root = np.unique(ids, return_inverse=True)[1]  # a document that stands on both sides is one
@@ -110,7 +110,7 @@ def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: in
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 out.append((ids[i], ids[j]))
-    return out
+    return out, root
 
 
 def _sides(rows: list[tuple]) -> np.ndarray:
@@ -135,9 +135,18 @@ def _by_tile(columns: tuple[str, ...], links):
 
 
 def _tiles(words: int, percent: int, slack: float):
+    """Links (a, b) of each cell; of a tile by itself also (a, null) for what its links do not join to the family's smallest document.
+
+    Tiles have but that document in common, so within them is where such a join would be.
+    """
+
     def links(rows: list[tuple]) -> pa.RecordBatch:
         sets = shingle_sets([(r[4] or "").encode() for r in rows], words)
-        found = forest([r[3] for r in rows], _sides(rows), sets, percent, slack)
+        ids = [r[3] for r in rows]
+        found, label = forest(ids, _sides(rows), sets, percent, slack)
+        if rows[0][1] == rows[0][2]:
+            mine = label[ids.index(rows[0][0])]
+            found += [(i, None) for i in sorted({i for i, x in zip(ids, label, strict=True) if x != mine})]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return _by_tile(("family", "i", "j", "doc_id", "text", "tile"), links)
@@ -230,8 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     near = written(_links(docs, first, run), "near")
     # Of families of several tiles, what is not linked to the smallest is compared with all tiles: cells (i, -1 - j), tile i of the rest against tile j of all.
     several = tiled.where("tiles > 1")
-    reached = components(near.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")).where("node != component")
-    rest = several.join(reached, several.doc_id == reached.node, "left").where("family != doc_id AND (component IS NULL OR component != family)").select("family", "doc_id")
+    rest = near.where("b IS NULL").select(F.col("a").alias("doc_id")).join(several.select("family", "doc_id"), "doc_id")
     rest = written(rest.join(members.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id"), "rest")
     counts = _tiles_of(rest).withColumnRenamed("tiles", "rests")
     of_rest = _tiled(rest, counts.withColumnRenamed("rests", "tiles")).join(several.groupBy("family").agg(F.first("tiles").alias("all")), "family")
