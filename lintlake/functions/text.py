@@ -11,10 +11,13 @@ SEVERITIES = ("critical", "high", "medium", "low")
 
 
 def quoted(text: str | None) -> str:
-    """A string literal of SQL.  Long expressions are put together as SQL, which is parsed once, and not call by call."""
+    """A string literal of SQL.  Long expressions are put together as SQL, which is parsed once, and not call by call.
+
+    A dollar sign is spelled by its number, so that ``${name}`` stays as it is and is not taken for a variable.
+    """
     if text is None:
         return "CAST(NULL AS string)"
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
 
 def severity_rank(severity: Column) -> Column:
