@@ -110,8 +110,8 @@ def flat(lists: list[list]) -> list:
     return list(itertools.chain.from_iterable(lists))
 
 
-def best_cut(logit: np.ndarray, y: np.ndarray, share: float, slack: float = 0.01) -> float:
-    """The middle of the cuts around the one with the highest F1 of label 1 that come near it, were ``share`` of all rows of that label; 0 without both labels."""
+def best_cut(logit: np.ndarray, y: np.ndarray, share: float, slack: float = 0.0) -> float:
+    """The lowest cut between two logits whose F1 of label 1 comes within ``slack`` of the highest, were ``share`` of all rows of that label; 0 without both labels."""
     if not 0 < y.sum() < len(y):
         return 0.0
     order = np.argsort(-logit, kind="stable")
@@ -119,9 +119,8 @@ def best_cut(logit: np.ndarray, y: np.ndarray, share: float, slack: float = 0.01
     other = np.cumsum(1 - y[order]) * ((1 - share) / (1 - y.mean()))
     f1 = 2 * hits / (hits + other + hits[-1])
     f1[:-1][z[:-1] == z[1:]] = -1
-    near = np.flatnonzero(f1 >= f1.max() - slack)
-    below = z[near[-1] + 1] if near[-1] + 1 < len(z) else z[-1] - 2
-    return float((z[near[0]] + below) / 2)
+    k = int(np.flatnonzero(f1 >= f1.max() - slack)[-1])
+    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
 def label_share(labels: DataFrame, label: str, residue: tuple[int, int] | None = None) -> float:

@@ -210,7 +210,7 @@ def train(sample: list[tuple[bytes, int]], share: float = 0.5, epochs: int = 5,
                     value -= rate * 0.08 ** (epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
     rest = np.flatnonzero(aside) if min(y[aside].sum(), (1 - y[aside]).sum()) >= 20 else np.arange(len(y))
     if len(rest):
-        net.shift = best_cut(net.logits([texts[i] for i in rest]), y[rest], share)
+        net.shift = best_cut(net.logits([texts[i] for i in rest]), y[rest], share, 0.03)
     return net
 
 
