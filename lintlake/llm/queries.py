@@ -17,10 +17,11 @@ from .rules import op1_quality_rules
 from .sharding import op4_sharding
 from .sql import SQL
 from .toxicity import op3_toxicity
+from .urls import op12_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns, op12_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from .urls import LIMIT, RULES, VOCABULARY
+
 #: Every 50-byte string by itself, as hexadecimal text: the smallest document it starts in, then the bytes that a string of a smaller one covers.
 OP5 = """
 WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -45,4 +47,20 @@ SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text ||
 FROM grown GROUP BY conv_id
 """
 
-SQL = {"op5_suffix_array_dedup": OP5, "op6_minhash_near_dedup": OP6, "op9_chat_formatting": OP9}
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_LOWERED = "translate({}, '" + string.ascii_uppercase + "', '" + string.ascii_lowercase + "')"
+_EDGE = "[^a-z0-9\\x{80}-\\x{10FFFF}]"
+
+#: Every rule and every term by itself.
+OP12 = f"""
+WITH rules(h, p, verdict) AS (VALUES {", ".join(f"({_QUOTED(r.host)}, {_QUOTED(r.path)}, {_QUOTED(r.verdict)})" for r in RULES)}),
+terms(t, w) AS (VALUES {", ".join(f"({_QUOTED(t)}, {w})" for t, w in VOCABULARY.items())}),
+parts AS (SELECT row_number() OVER () AS r, page_id, {_LOWERED.format("coalesce(url, '')")} AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT r, page_id, low, {_LOWERED.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+fits AS (SELECT r, max(struct_pack(n := length(h || p), verdict := verdict, rule := h || p)) AS best FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+hits AS (SELECT r, count(*) FILTER (w >= {LIMIT}) AS strict, count(*) FILTER (w < {LIMIT}) AS soft, sum(w) AS weight FROM split JOIN terms ON contains(low, t) AND regexp_matches(low, '(^|{_EDGE})' || t || '($|{_EDGE})') GROUP BY r)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, CAST(coalesce(weight, 0) AS BIGINT) AS weight, coalesce(strict, 0) AS strict, coalesce(soft, 0) AS soft
+FROM split LEFT JOIN fits USING (r) LEFT JOIN hits USING (r)
+"""
+
+SQL = {"op12_url_filters": OP12, "op5_suffix_array_dedup": OP5, "op6_minhash_near_dedup": OP6, "op9_chat_formatting": OP9}

@@ -25,7 +25,7 @@ def same(got, con, name):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_operator_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     same(queries()[name](spark, SMALL), con, name)
 
