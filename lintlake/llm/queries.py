@@ -14,6 +14,7 @@ from .neardup import op6_minhash_near_dedup
 from .packing import op2_packing
 from .repeats import op5_suffix_array_dedup
 from .rules import op1_quality_rules
+from .runs import op11_periodic_run_detection
 from .sharding import op4_sharding
 from .sql import SQL
 from .toxicity import op3_toxicity
@@ -21,7 +22,7 @@ from .urls import op12_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns, op12_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_sharding, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_media_columns, op11_periodic_run_detection, op12_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

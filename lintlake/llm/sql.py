@@ -63,4 +63,24 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN
 FROM split LEFT JOIN fits USING (r) LEFT JOIN hits USING (r)
 """
 
-SQL = {"op12_url_filters": OP12, "op5_suffix_array_dedup": OP5, "op6_minhash_near_dedup": OP6, "op9_chat_formatting": OP9}
+#: Equal words by pairs; for each distance the islands of such pairs are the runs, and of the distances of one stretch the smallest counts.
+OP11 = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) END AS h FROM documents),
+sized AS (SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, h // 10 AS g FROM docs),
+placed AS (SELECT *, g % greatest(n, 1) AS a FROM sized),
+tails AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS t FROM placed),
+taken AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN again THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % t END]) ELSE w END AS w FROM tails),
+words AS MATERIALIZED (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM taken),
+apart AS (SELECT a.r, a.n, a.i, b.i - a.i AS p FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT r, n, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM apart),
+stretches AS (SELECT r, p, min(i) AS s, max(i) + p + 1 AS e FROM islands GROUP BY r, p, island),
+runs AS MATERIALIZED (SELECT r, s, e - s AS l, min(p) AS p FROM stretches WHERE e - s >= greatest(6, 4 * p) GROUP BY r, s, e),
+listed AS (SELECT r, count(*) AS n_runs, min(struct_pack(a := -l, b := s, c := p)) AS top, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM runs GROUP BY r),
+gone AS MATERIALIZED (SELECT DISTINCT r, unnest(range(s + p, s + l)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS line FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.b AS start, -top.a AS length, top.c AS period, 1000 * -top.a // top.c AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op11_periodic_run_detection": OP11, "op12_url_filters": OP12, "op5_suffix_array_dedup": OP5, "op6_minhash_near_dedup": OP6, "op9_chat_formatting": OP9}

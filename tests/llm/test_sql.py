@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lintlake.llm import chat, neardup, repeats
+from lintlake.llm import chat, neardup, repeats, runs
 from lintlake.llm.queries import oracle_sql, queries
 
 from .cases import docs, texts
@@ -36,6 +36,7 @@ def test_awkward_documents_equal_sql(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [x[:2] for x in items])
     same(repeats.repeated_spans(docs(spark, items)), con, "op5_suffix_array_dedup")
+    same(runs.digests(runs.run_spans(docs(spark, items), runs.stuttered)), con, "op11_periodic_run_detection")
     known = [x for x in items if x[0] is not None]
     con.execute("DELETE FROM documents WHERE doc_id IS NULL")
     same(neardup.near_duplicates(docs(spark, known)), con, "op6_minhash_near_dedup")
