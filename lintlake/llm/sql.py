@@ -83,4 +83,19 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.b AS start, -top.a AS length,
 FROM docs LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
 """
 
-SQL = {"op11_periodic_run_detection": OP11, "op12_url_filters": OP12, "op5_suffix_array_dedup": OP5, "op6_minhash_near_dedup": OP6, "op9_chat_formatting": OP9}
+_TERM = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+#: Every term of an item with every document that holds it, scored and ranked.
+OP13 = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, {_TERM}) AS w FROM documents),
+counted AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY ALL),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM docs),
+sized AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * n) // l AS m FROM docs, total WHERE len(w) > 0),
+rare AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM counted, total GROUP BY term, n),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED.format("text")}, {_TERM})) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM asked JOIN rare USING (term) JOIN counted USING (term) JOIN sized USING (r) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL = {"op13_ranked_lexical_search": OP13, "op11_periodic_run_detection": OP11, "op12_url_filters": OP12, "op5_suffix_array_dedup": OP5, "op6_minhash_near_dedup": OP6, "op9_chat_formatting": OP9}
