@@ -99,6 +99,13 @@ class SlotMap:
             return 0
         return self.spark.read.schema("virtual_slot int, shard int, version int").parquet(self.folder).agg(F.max("version")).first()[0] or 0
 
+    def shards(self, version: int) -> list[int]:
+        """The shard of every slot, by slot; a map that misses or repeats a slot is an error."""
+        rows = sorted(self.read(version).collect())  # one row a slot
+        if [r.virtual_slot for r in rows] != list(range(len(rows))):
+            raise ValueError(f"version {version} of the slot map in {self.folder} does not hold every slot once")
+        return [r.shard for r in rows]
+
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema("virtual_slot int, shard int").parquet(f"{self.folder}/version={version}").select("virtual_slot", "shard")
 
@@ -107,19 +114,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, slots: int = SLOTS, maps:
     """One row per record: doc_id, size, text_crc32, virtual_slot, shard, slot (its place in the shard, from 0), map_version.
 
     ``maps``: the latest version there is loaded and edited, and the edit is the next version; without any
-    version (as in a new folder, the default) even runs of slots are the first.  The shards' bytes come out as near
+    version (as in a new folder, the default) even runs of ``slots`` slots are the first.  A map that is there says itself how many
+    slots there are, for good, so that no record hashes into a slot it does not know.  The shards' bytes come out as near
     equal as whole slots allow.  Null and empty texts weigh 16 bytes; equal texts are placed by their own
     doc_id, so a large group of copies spreads over all slots, and so do rows that have no doc_id or repeat one
     with other texts; rows that repeat as a whole share a slot and get places of their own.  An empty table gives no
     rows.  Extra columns of ``docs`` are ignored.
     """
     maps = maps or SlotMap(docs.sparkSession)
-    kept = written(records(docs, slots), "records")
-    sums = dict.fromkeys(range(slots), 0) | {r.virtual_slot: r.b for r in kept.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}  # one number a slot
     version = maps.latest()
+    before = maps.shards(version) if version else first_map(shards, slots)
+    slots = len(before)
     if not version:
-        maps.write(version := 1, first_map(shards, slots))
-    before = [r.shard for r in sorted(maps.read(version).collect())]  # one number a slot
+        maps.write(version := 1, before)
+    kept = written(records(docs, slots), "records")
+    sums = dict.fromkeys(range(slots), 0) | {r.virtual_slot: r.b for r in kept.groupBy("virtual_slot").agg(F.sum("size").alias("b")).collect()}  # one number a slot
     after = rebalanced([min(s, shards - 1) for s in before], [sums[s] for s in range(slots)], shards)
     if after != before:
         maps.write(version := version + 1, after)

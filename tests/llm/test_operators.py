@@ -104,6 +104,48 @@ def test_sharding_edits_the_latest_map(spark):
     assert rows(spark.createDataFrame(again)) == rows(spark.createDataFrame(grown)) and maps.latest() == 3
 
 
+@pytest.mark.parametrize("stored", [32, 64, 128])
+def test_sharding_takes_the_slots_of_the_stored_map(spark, stored):
+    maps = sharding.SlotMap(spark)
+    maps.write(1, sharding.first_map(4, stored))
+    table = docs(spark, [(i, "x" * (i % 90), "a") for i in range(1000)])
+    got = sharding.shard_by_bytes(table, 5, 64, maps).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000)) and {r.virtual_slot for r in got} <= set(range(stored))
+    assert {r.shard for r in got} == set(range(5)) and len(maps.shards(maps.latest())) == stored
+
+
+def test_sharding_refuses_a_map_with_a_gap(spark):
+    maps = sharding.SlotMap(spark)
+    spark.createDataFrame([(1, 0, 0), (1, 2, 1)], "version int, virtual_slot int, shard int").write.parquet(f"{maps.folder}/version=1")
+    with pytest.raises(ValueError, match="every slot"):
+        sharding.shard_by_bytes(docs(spark), 2, 64, maps)
+
+
+def test_sharding_places_as_by_a_loop(spark):
+    """Slots, placement and places from the hash and the stored map alone."""
+    import struct
+
+    import xxhash
+
+    items = [x for x in texts() if x[0] is not None]
+    maps = sharding.SlotMap(spark)
+    got = sharding.shard_by_bytes(docs(spark, items), 3, 16, maps).collect()
+    where, by = maps.shards(maps.latest()), defaultdict(list)
+    for i, t, _ in items:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+        h = h if t is None else xxhash.xxh64_intdigest(t.encode(), seed=h)
+        by[h % 16].append((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16))  # 16 divides 2**64, so the sign is no matter
+    want, filled = [], Counter()
+    for slot in range(16):
+        for i, crc, size in sorted(by[slot]):
+            want.append((i, size, crc, slot, where[slot], filled[where[slot]]))
+            filled[where[slot]] += 1
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot) for r in got) == sorted(want)
+    loads = [sum(w[1] for w in want if w[4] == s) for s in range(3)]
+    before = sharding.first_map(3, 16)
+    assert where == sharding.rebalanced(before, [sum(x[2] for x in by[s]) for s in range(16)], 3) and sum(loads) == sum(w[1] for w in want)
+
+
 def test_sharding_spreads_rows_without_an_id(spark):
     got = sharding.shard_by_bytes(docs(spark, [(None, "same", "a")] * 900 + [(5, f"t{i}", "a") for i in range(900)]), 8).collect()
     assert np.ptp(list(Counter(r.shard for r in got).values())) < 20 and len({r.virtual_slot for r in got}) > 400
