@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from functools import cache
-from re import _constants, _parser
 
 #: White space of ECMAScript: Java's own class knows six ASCII characters only.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -55,36 +53,111 @@ def js_to_java(pattern: str, flags: str = "") -> str:
     return (f"(?{mode})" if mode else "") + "".join(out)
 
 
-@cache
-def required(pattern: str, most: int = 3) -> list[list[str]]:
-    """Literals without which there is no match: of each list a text must hold one.  The ``most`` lists with the longest literals.
+GROUP = re.compile(r"\(\?(?:[:=!]|<[=!]|<\w+>)|\(")
+TIMES = re.compile(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})\??")
+COUNTED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|c[A-Za-z]|[pP]\{[^}]*\}|k<[^>]*>)")
+CONTROLS = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\x0b", "0": "\0"}
+#: A class of at most so many characters counts as that many alternatives.
+SMALL_CLASS = 4
 
-    Read off Python's parse of the pattern: runs of characters, small classes, and of alternatives the best
-    list of each.  What may be absent, and what stands in a lookaround, counts for nothing.
-    """
 
-    def lists(items: Iterable) -> list[list[str]]:
+class _Walk:
+    """Reads a pattern from left to right and tells, piece by piece, which literals any match of it must hold."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def alternatives(self) -> list[list[str]]:
+        """Up to a closing bracket or the end: what all branches need; of several branches the best list of each, together."""
+        branches = [self.branch()]
+        while self.pattern[self.at : self.at + 1] == "|":
+            self.at += 1
+            branches.append(self.branch())
+        if len(branches) == 1:
+            return branches[0]
+        best = [max(own, key=_shortest, default=None) for own in branches]
+        return [[x for own in best for x in own]] if all(best) else []
+
+    def branch(self) -> list[list[str]]:
         found, run = [], ""
-        for op, value in items:
-            if op is _constants.LITERAL:
-                run += chr(value)
+        while self.at < len(self.pattern) and self.pattern[self.at] not in "|)":
+            needed = self.piece()
+            least = self.times()
+            literal = needed[0][0] if len(needed) == 1 and len(needed[0]) == 1 and len(needed[0][0]) == 1 and not self.grouped else None
+            if literal is not None and least == (1, True):
+                run += literal
                 continue
             if run:
                 found.append([run])
                 run = ""
-            if op is _constants.SUBPATTERN:
-                found += lists(value[-1])
-            elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
-                found += lists(value[-1])
-            elif op is _constants.IN and len(value) <= 4 and all(o is _constants.LITERAL for o, _ in value):
-                found.append([chr(v) for _, v in value])
-            elif op is _constants.BRANCH:
-                best = [max(lists(branch), key=shortest, default=None) for branch in value[1]]
-                if all(best):
-                    found.append([x for own in best for x in own])
+            if least[0] > 0:
+                found += needed
         return found + [[run]] * bool(run)
 
-    def shortest(alternatives: list[str]) -> int:
-        return min(map(len, alternatives))
+    def times(self) -> tuple[int, bool]:
+        """How often the piece before must stand there at least, and whether that is simply once."""
+        m = TIMES.match(self.pattern, self.at)
+        if not m:
+            return 1, True
+        self.at = m.end()
+        return (0 if m[0][0] in "*?" else 1 if m[0][0] == "+" else int(m[1])), False
+
+    def piece(self) -> list[list[str]]:
+        """What one character, class, escape or group needs."""
+        sign, self.grouped = self.pattern[self.at], False
+        if sign == "(":
+            opening = GROUP.match(self.pattern, self.at)[0]
+            self.at += len(opening)
+            inner = self.alternatives()
+            self.at += 1
+            self.grouped = True
+            return [] if opening in ("(?=", "(?!", "(?<=", "(?<!") else inner
+        if sign == "[":
+            return self.char_class()
+        if sign == "\\":
+            char = self.escaped()
+            return [[char]] if char else []
+        self.at += 1
+        return [] if sign in ".^$" else [[sign]]
+
+    def escaped(self) -> str | None:
+        """The character that an escape stands for; none for sets, edges and references."""
+        m = COUNTED.match(self.pattern, self.at)
+        char = self.pattern[self.at + 1 : self.at + 2]
+        self.at = m.end() if m else self.at + 2
+        if m:
+            return chr(int(m[1] or m[2], 16)) if m[1] or m[2] else None
+        return CONTROLS.get(char) if char.isalnum() else char
 
-    return sorted(lists(_parser.parse(pattern)), key=shortest, reverse=True)[:most]
+    def char_class(self) -> list[list[str]]:
+        self.at += 1
+        members, known = [], self.pattern[self.at : self.at + 1] != "^"
+        while self.pattern[self.at] != "]":
+            if self.pattern[self.at] == "\\":
+                char = self.escaped()
+            else:
+                char = self.pattern[self.at]
+                self.at += 1
+            known &= char is not None and not (char == "-" and members and self.pattern[self.at] != "]")
+            members.append(char)
+        self.at += 1
+        return [members] if known and 0 < len(members) <= SMALL_CLASS else []
+
+
+def _shortest(alternatives: list[str]) -> int:
+    return min(map(len, alternatives))
+
+
+@cache
+def required(pattern: str, most: int = 3) -> list[list[str]]:
+    """Literals without which there is no match: of each list a text must hold one.  The ``most`` lists with the longest literals.
+
+    Read off the pattern: runs of characters, small classes, and of alternatives the best list of each.  What may be
+    absent, and what stands in a lookaround, counts for nothing; a pattern that cannot be read needs nothing.
+    """
+    walk = _Walk(pattern)
+    try:
+        found = walk.alternatives()
+    except (IndexError, TypeError):
+        return []
+    return sorted(found, key=_shortest, reverse=True)[:most] if walk.at == len(pattern) else []

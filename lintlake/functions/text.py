@@ -28,8 +28,15 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, EDGES, "")
+
+
+def trimmed_sql(text: str) -> str:
+    return f"regexp_replace({text}, {quoted(EDGES)}, '')"
 
 
 def masked(secret: Column) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import SPACE, required
-from ..functions.text import quoted, severity_rank, trimmed
-from ..rules.catalogue import KINDS, Rule, dimension
+from ..functions.text import quoted, severity_rank, trimmed_sql
+from ..rules.catalogue import KINDS, RULE, Rule, dimension
 
 # A private-use character, and the one that stands for it in the marked copy of a text that has it.
 MARK, STAND_IN = chr(0xE000), chr(0xE001)
@@ -28,6 +28,7 @@ METADATA = ("rule_id", "cis", "pss", "kind", "name", "namespace", "path", "conta
 CHECKED = f"scanner: string, rule_id: string, rule_no: int, type: string, severity: string, message: string, fix: string, line: int, match: string, owasp_category: string, cwe_id: string, metadata: struct<{', '.join(m + ': string' for m in METADATA)}>"
 CHECKED_COLUMNS = 12
 CHECKS = f"array<struct<{CHECKED}>>"
+RULE_COLUMNS = [c.split()[0] for c in RULE.split(", ")]
 
 
 def metadata(**known: Column) -> Column:
@@ -35,17 +36,13 @@ def metadata(**known: Column) -> Column:
     return F.struct(*(known.get(m, F.lit(None)).cast("string").alias(m) for m in METADATA))
 
 
-def is_comment(line: Column, language: Column, scanner: Column) -> Column:
-    """Whether a line begins as a comment does in the scanner's view of the language."""
-    begins = lambda signs: line.rlike(f"^[{SPACE}]*(?:{signs})")
-    hash_, slashes = "#", r"//|/\*|\*"
-    script = language.isin("javascript", "typescript", "java", "go")
+def _comment_sql(line: str, language: str, scanner: str) -> str:
+    """SQL of whether a line begins as a comment does in the scanner's view of the language."""
+    begins = lambda signs: f"{line} RLIKE {quoted(f'^[{SPACE}]*(?:{signs})')}"
+    slashes = begins(r"//|/\*|\*")
     return (
-        F.when(scanner == "dockerfile", begins(hash_))
-        .when(scanner == "terraform", begins("#|//"))
-        .when(language == "python", begins(hash_))
-        .when((scanner == "injection") & ~script, begins("//|#"))
-        .otherwise(begins(slashes))
+        f"CASE WHEN {scanner} = 'dockerfile' THEN {begins('#')} WHEN {scanner} = 'terraform' THEN {begins('#|//')} WHEN {language} = 'python' THEN {begins('#')}"
+        f" WHEN {scanner} = 'injection' AND {language} NOT IN ('javascript', 'typescript', 'java', 'go') THEN {begins('//|#')} ELSE {slashes} END"
     )
 
 
@@ -64,6 +61,22 @@ def fires(rule: Rule) -> str:
     return " AND ".join([*tests, f"text RLIKE {quoted(rule.java)}"])
 
 
+def matches_sql(rule: str = "", text: str = "text", language: str = "language") -> str:
+    """SQL of a rule's matches in a text, as an array of (seq, line, match, out): those in comment lines are left out, and those of the xss scanner in lines that clean.
+
+    rule: what stands before the names of the rule's fields pattern, scanner and snippet.
+    """
+    mark, pattern, scanner, snippet = quoted(MARK), f"{rule}pattern", f"{rule}scanner", f"{rule}snippet"
+    marked = f"regexp_replace(translate({text}, {mark}, {quoted(STAND_IN)}), {pattern}, {quoted(MARK + '$0')})"
+    lines = f"filter(transform(split({marked}, '\\n'), (line, i) -> struct(i + 1 AS line, line AS text)), x -> contains(x.text, {mark}))"
+    own = f"replace(l.text, {mark}, '')"
+    place = f"struct(l.line AS line, {_comment_sql(own, language, scanner)} AS comment, {scanner} = 'xss' AND lower({own}) RLIKE '{CLEANERS}' AS cleans, IF({snippet} < 0, {trimmed_sql(own)}, NULL) AS shown)"
+    places = f"flatten(transform({lines}, l -> array_repeat({place}, CAST(length(l.text) - length({own}) AS int))))"
+    shown = f"CASE WHEN {snippet} = -80 THEN substring(z.`1`.shown, 1, 80) WHEN {snippet} < 0 THEN z.`1`.shown WHEN {snippet} > 0 THEN substring(z.`0`, 1, {snippet}) ELSE z.`0` END"
+    each = f"transform(arrays_zip(regexp_extract_all({text}, {pattern}, 0), {places}), (z, i) -> struct(i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
+    return f"filter({each}, m -> NOT m.out)"
+
+
 def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -> DataFrame:
     """One row per match: the columns of FINDING and the other columns of ``sources`` (file, language, text).
 
@@ -83,24 +96,16 @@ def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -
     known = F.broadcast(dimension(sources.sparkSession, listed))  # a row a rule
     hit = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item")).select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "inner" if checks is None else "left")
 
-    def places(line: Column) -> Column:
-        own = F.replace(line["text"], F.lit(MARK), F.lit(""))
-        place = F.struct(line["line"].alias("line"), is_comment(own, F.col("language"), F.col("scanner")).alias("comment"), ((F.col("scanner") == "xss") & F.lower(own).rlike(CLEANERS)).alias("cleans"), F.when(F.col("snippet") < 0, trimmed(own)).alias("shown"))
-        return F.array_repeat(place, (F.length(line["text"]) - F.length(own)).cast("int"))
-
-    marked = F.split(F.regexp_replace(F.translate("text", MARK, STAND_IN), F.col("pattern"), F.lit(MARK + "$0")), "\n")
-    begun = F.filter(F.transform(marked, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"))), lambda x: F.contains(x["text"], F.lit(MARK)))
-    zipped = F.arrays_zip(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"), F.flatten(F.transform(begun, places)).alias("place"))
-    each = hit.select("file", "language", "rest", "at", "c", *[c for c in known.columns if c != "pattern"], F.posexplode_outer(F.when(F.col("hit").isNotNull(), zipped)).alias("match_seq", "m"))
-    each = each.where(F.col("hit").isNull() | (~F.col("m.place.comment") & ~F.col("m.place.cleans")))
-    shown = (
-        F.when(F.col("snippet") == -80, F.substring("m.place.shown", 1, 80))
-        .when(F.col("snippet") < 0, F.col("m.place.shown"))
-        .when(F.col("snippet") > 0, F.substring(F.col("m.found"), F.lit(1), F.col("snippet")))
-        .otherwise(F.col("m.found"))
-    )
+    return findings_of(hit, others)
+
+
+def findings_of(hit: DataFrame, others: list[str]) -> DataFrame:
+    """FINDING and ``others`` (fields of ``rest``) from rows of a text and what fires in it: a rule's fields (hit is not null), or a check's finding ``c``."""
+    kept = [c for c in RULE_COLUMNS if c != "pattern"]
+    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql()})")).alias("m"))
+    each = each.where(F.col("hit").isNull() | F.col("m").isNotNull())
     ids = metadata(rule_id=F.col("rule_id"), cis=F.col("cis"))
-    each = each.withColumns({"line": F.col("m.place.line"), "match": shown, "metadata": F.when(F.col("scanner").isin(*KINDS), ids)})
+    each = each.withColumns({"line": F.col("m.line"), "match": F.col("m.match"), "metadata": F.when(F.col("scanner").isin(*KINDS), ids)})
     own = [c.split(":")[0] for c in CHECKED.split(", ")[: CHECKED_COLUMNS]]
-    out = each.select("file", "language", "rest", F.coalesce("match_seq", "at").alias("match_seq"), *(F.when(F.col("hit").isNull(), F.col("c")[c]).otherwise(F.col(c)).alias(c) for c in own))
+    out = each.select("file", "language", "rest", F.coalesce("m.seq", "at").alias("match_seq"), *(F.when(F.col("hit").isNull(), F.col("c")[c]).otherwise(F.col(c)).alias(c) for c in own))
     return out.withColumn("severity_rank", severity_rank(F.col("severity"))).select(*FINDING, *(F.col("rest")[c].alias(c) for c in others))

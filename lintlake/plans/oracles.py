@@ -8,7 +8,7 @@ from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched
 from .cases import CASES, FIXES, KUBERNETES, KUBERNETES_FINDINGS
 from .corpus import CODE, DOCKERFILE, MANIFESTS, PATHS, TERRAFORM, corpus_sql, literal, picked_sql
-from .queries import looks_around, own_rules
+from .queries import WORD_RULES, looks_around, own_rules
 
 #: rule: (pattern before the lookaround, condition on what follows the match: rest, or restline up to the line's end)
 AROUND = {
@@ -113,6 +113,19 @@ def infrastructure_sql(kinds: dict[str, tuple], texts: int) -> str:
     return f"SELECT scanner, rule_id, severity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
+def user_rules_sql() -> str:
+    """Words of each line joined with the word of each rule, then the rule's pattern over that line."""
+    patterns = " ".join(f"WHEN {k} THEN {literal((f'(?{flags})' if flags else '') + p)}" for k, (flags, p) in enumerate(WORD_RULES))
+    return f"""
+WITH corpus AS MATERIALIZED (SELECT doc_id, {TOOL} AS language, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS MATERIALIZED (SELECT doc_id, language, unnest(ls) AS whole, unnest(range(1, len(ls) + 1)) AS line FROM corpus),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\b[a-z]{{6,}}\\b')) AS w FROM documents),
+rules AS MATERIALIZED (SELECT w, replace(CASE ascii(md5(w)) % {len(WORD_RULES)} {patterns} END, '{{}}', w) AS p FROM words ORDER BY md5(w) LIMIT 10000),
+tokens AS (SELECT DISTINCT doc_id, language, line, whole, w FROM (SELECT *, lower(unnest(regexp_extract_all(whole, '[A-Za-z0-9_]+'))) AS w FROM lines) SEMI JOIN rules USING (w)),
+found AS (SELECT w, doc_id, line, len(regexp_extract_all(whole, p)) AS n FROM (SELECT *, ltrim(whole, ' ' || chr(9) || chr(13)) AS l FROM tokens) JOIN rules USING (w) WHERE NOT ({OTHER}))
+SELECT w AS rule_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS files, CAST(sum(n * line) AS BIGINT) AS lines FROM found WHERE n > 0 GROUP BY w"""
+
+
 def oracle_sql() -> dict[str, str]:
     docker = corpus_sql(DOCKERFILE, "")
     terraform = corpus_sql(TERRAFORM, "")
@@ -134,6 +147,7 @@ def oracle_sql() -> dict[str, str]:
         "kubernetes_checks": f"SELECT o_orderkey AS key, rule_id, severity, m AS \"match\", pss, name, container, env_var FROM orders JOIN {pods} c(n, rule_id, severity, pss, m, name, container, env_var) ON o_orderkey % {len(KUBERNETES)} = n",
         "infrastructure_scan": infrastructure_sql(kinds, texts),
         "documents_scan": f"WITH corpus AS MATERIALIZED (SELECT doc_id AS key, {TOOL} AS language, text FROM documents WHERE text IS NOT NULL), found AS MATERIALIZED ({' UNION ALL '.join(_one(r) for r in matched(*SCANNERS) + own_rules())}) SELECT rule_id, line, count(*) AS n FROM found GROUP BY ALL",
+        "user_rules_scan": user_rules_sql(),
         "sarif_by_file": f"{ALL}, f AS (SELECT *, {slug} AS id, 'f' || key AS file FROM found) SELECT file, CAST(count(DISTINCT id) OVER (PARTITION BY file) AS INTEGER) AS rules, CAST(row_number() OVER (PARTITION BY file ORDER BY rule_no, i) - 1 AS INTEGER) AS place, id, CASE WHEN {RANK} >= 3 THEN 'error' WHEN {RANK} = 2 THEN 'warning' ELSE 'note' END AS level, file AS uri, line FROM f",
         "json_report": f"{ALL} SELECT severity, type, owasp_category AS \"owaspCategory\", cwe_id AS \"cweId\", count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found GROUP BY ALL",
         "owasp_groups": f"{ALL} SELECT owasp_category, count(*) AS n FROM found GROUP BY owasp_category",

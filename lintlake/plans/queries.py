@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.regex import js_to_java
-from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report
+from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report, rulesets
 from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched, rules
 from ..sources.files import selected, spread
@@ -135,6 +135,28 @@ def own_rules() -> list[Rule]:
     return [replace(r, scanner="secrets") for r in rules("terraform") if r.rule_id in ("TF007", "TF008")]
 
 
+#: A pattern of each kind for a word: alone, before a stop in any case, before a small word.
+WORD_RULES = (("", r"\b{}\b"), ("i", r"\b{}[.,]"), ("", r"\b{} (?:a|de|die|en|in|la|le|the)\b"))
+
+
+def word_rules(docs: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of rules made of the corpus: for ``most`` words of six letters and more, drawn by their digests, a pattern that the digest picks."""
+    whole = F.lit("(?<![A-Za-z0-9_])[a-z]{6,}(?![A-Za-z0-9_])")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", whole, F.lit(0)))).alias("word")).distinct()
+    drawn = words.withColumn("digest", F.md5(F.col("word").cast("binary"))).orderBy("digest").limit(most)  # the size of the rule set
+    kind = F.ascii("digest") % len(WORD_RULES)
+    of = lambda i: F.coalesce(*(F.when(kind == k, r[i]) for k, r in enumerate(WORD_RULES)))
+    return drawn.select(F.col("word").alias("rule_id"), F.replace(of(1), F.lit("{}"), "word").alias("pattern"), of(0).alias("flags"))
+
+
+def user_rules_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand rules from a table over the whole texts of the documents: counts per rule."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("file"), T.language_by_tool(F.col("text")).alias("language"), "text")
+    found = rulesets.scan_rules(texts, word_rules(docs))
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"), F.sum("line").alias("lines"))
+
+
 RESULTS = "array<struct<ruleId: string, level: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>>>"
 RULES = "array<struct<id: string, name: string>>"
 
@@ -192,5 +214,6 @@ def queries() -> dict[str, Query]:
         "fix_all_code": lambda spark, d: _fixes(spark, d).select("key", "fixed_code"),
         "diff_lines": lambda spark, d: _fixes(spark, d).select("key", "diff"),
         "documents_scan": documents_scan,
+        "user_rules_scan": user_rules_scan,
     }
     return out
