@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import cache
 
 #: White space of ECMAScript: Java's own class knows six ASCII characters only.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -148,7 +147,6 @@ def _shortest(alternatives: list[str]) -> int:
     return min(map(len, alternatives))
 
 
-@cache
 def required(pattern: str, most: int = 3) -> list[list[str]]:
     """Literals without which there is no match: of each list a text must hold one.  The ``most`` lists with the longest literals.
 

@@ -72,9 +72,9 @@ def matches_sql(rule: str = "", text: str = "text", language: str = "language")
     own = f"replace(l.text, {mark}, '')"
     place = f"struct(l.line AS line, {_comment_sql(own, language, scanner)} AS comment, {scanner} = 'xss' AND lower({own}) RLIKE '{CLEANERS}' AS cleans, IF({snippet} < 0, {trimmed_sql(own)}, NULL) AS shown)"
     places = f"flatten(transform({lines}, l -> array_repeat({place}, CAST(length(l.text) - length({own}) AS int))))"
-    shown = f"CASE WHEN {snippet} = -80 THEN substring(z.`1`.shown, 1, 80) WHEN {snippet} < 0 THEN z.`1`.shown WHEN {snippet} > 0 THEN substring(z.`0`, 1, {snippet}) ELSE z.`0` END"
-    each = f"transform(arrays_zip(regexp_extract_all({text}, {pattern}, 0), {places}), (z, i) -> struct(i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
-    return f"filter({each}, m -> NOT m.out)"
+    shown = f"CASE WHEN {snippet} = -80 THEN substring(z.`1`.shown, 1, 80) WHEN {snippet} < 0 THEN z.`1`.shown WHEN {snippet} > 0 THEN substring(z.f, 1, {snippet}) ELSE z.f END"
+    each = f"transform(arrays_zip(f, {places}), (z, i) -> struct(i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
+    return f"flatten(transform(filter(array(regexp_extract_all({text}, {pattern}, 0)), f -> size(f) > 0), f -> filter({each}, m -> NOT m.out)))"
 
 
 def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -> DataFrame:

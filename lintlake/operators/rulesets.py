@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regex
+from ..functions.regex import js_to_java, required
 from ..functions.text import quoted
 from ..rules.catalogue import KINDS, RULE, Rule
 from .kernel import CHECKED, FINDING, RULE_COLUMNS, findings_of
@@ -64,10 +65,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.to_pylist()
         for r in rows:
             flags = r.pop("flags") or ""
-            r["literals"] = regex.required(r["pattern"])
+            r["literals"] = required(r["pattern"])
             r["fold"] = "i" in flags
             r["grams"] = [grams_of(x) for x in (r["literals"] or [[""]])[0]]
-            r["pattern"] = regex.js_to_java(r["pattern"], flags)
+            r["pattern"] = js_to_java(r["pattern"], flags)
         schema = pa.schema([(n, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}[t]) for n, t in (c.split() for c in READ.split(", "))])
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -124,19 +125,19 @@ def text_keys(keys: DataFrame, lowered: str) -> str:
 def _candidates(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Texts beside the rules of one block that have a key in them, each pair once."""
     keys = rules.select(F.explode("keys").alias("key"))
-    lowered = F.lower("text")
-    found = texts.select("*", F.explode(F.expr(text_keys(keys, "lower(text)"))).alias("key"))
+    found = texts.withColumn("lowered", F.lower("text")).select("*", F.explode(F.expr(text_keys(keys, "lowered"))).alias("key"))
     pairs = found.join(F.broadcast(rules.select(F.explode("keys").alias("key"), "*")), "key")  # BLOCK rules at most
-    first = F.get(F.filter("keys", lambda k: F.contains(lowered, k)), F.lit(0))
+    # The text stands in the first argument too: filters that are inferred from the equality of keys overlook it inside the lambda.
+    first = F.get(F.filter(F.when(F.col("lowered").isNotNull(), F.col("keys")), lambda k: F.contains(F.col("lowered"), k)), F.lit(0))
     return pairs.where(first == F.col("key"))
 
 
 def _holds() -> Column:
-    """Whether a candidate's rule is for the text's language, the text holds the literals, and the pattern matches."""
+    """Whether a candidate's rule is for the text's language, and the text holds the literals; the pattern itself is looked up only once, for the matches."""
     kinds = ", ".join(map(quoted, KINDS))
     language = f"CASE WHEN scanner IN ({kinds}) THEN language = scanner WHEN size(languages) > 0 THEN array_contains(languages, language) ELSE coalesce(language NOT IN ({kinds}), true) END"
-    literals = "forall(literals, l -> exists(l, x -> IF(fold, contains(lower(text), lower(x)), contains(text, x))))"
-    return F.expr(f"{language} AND {literals} AND text RLIKE pattern")
+    literals = "forall(literals, l -> exists(l, x -> IF(fold, contains(lowered, lower(x)), contains(text, x))))"
+    return F.expr(f"{language} AND {literals}")
 
 
 def scan_rules(sources: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
