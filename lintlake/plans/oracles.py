@@ -148,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "infrastructure_scan": infrastructure_sql(kinds, texts),
         "documents_scan": f"WITH corpus AS MATERIALIZED (SELECT doc_id AS key, {TOOL} AS language, text FROM documents WHERE text IS NOT NULL), found AS MATERIALIZED ({' UNION ALL '.join(_one(r) for r in matched(*SCANNERS) + own_rules())}) SELECT rule_id, line, count(*) AS n FROM found GROUP BY ALL",
         "user_rules_scan": user_rules_sql(),
+        "sql_scan": f"{findings(CODE, SCANNERS)} SELECT scanner, rule_id, severity, CAST({RANK} AS INTEGER) AS grade, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found WHERE {RANK} >= 2 GROUP BY ALL",
         "sarif_by_file": f"{ALL}, f AS (SELECT *, {slug} AS id, 'f' || key AS file FROM found) SELECT file, CAST(count(DISTINCT id) OVER (PARTITION BY file) AS INTEGER) AS rules, CAST(row_number() OVER (PARTITION BY file ORDER BY rule_no, i) - 1 AS INTEGER) AS place, id, CASE WHEN {RANK} >= 3 THEN 'error' WHEN {RANK} = 2 THEN 'warning' ELSE 'note' END AS level, file AS uri, line FROM f",
         "json_report": f"{ALL} SELECT severity, type, owasp_category AS \"owaspCategory\", cwe_id AS \"cweId\", count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found GROUP BY ALL",
         "owasp_groups": f"{ALL} SELECT owasp_category, count(*) AS n FROM found GROUP BY owasp_category",

@@ -14,6 +14,7 @@ from ..operators import analytics, dependencies, enrich, iac, kernel, remediate,
 from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched, rules
 from ..sources.files import selected, spread
+from ..sql import register
 from ..streaming.scans import per_window
 from .cases import CASES, FIXES, KUBERNETES
 from .corpus import CODE, DOCKERFILE, MANIFESTS, PATHS, TERRAFORM, corpus, keys, picked
@@ -135,6 +136,17 @@ def own_rules() -> list[Rule]:
     return [replace(r, scanner="secrets") for r in rules("terraform") if r.rule_id in ("TF007", "TF008")]
 
 
+def sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan in plain SQL: a lateral table function over the corpus, filtered and counted."""
+    register(spark)
+    corpus(spark, sf_dir, CODE).createOrReplaceTempView("lintlake_sources")
+    return spark.sql("""
+        SELECT f.scanner, f.rule_id, f.severity, severity_rank(f.severity) AS grade, count(*) AS n, sum(f.line) AS lines
+        FROM lintlake_sources s, LATERAL scan_code(s.text, s.language) f
+        WHERE severity_rank(f.severity) >= 2
+        GROUP BY f.scanner, f.rule_id, f.severity""")
+
+
 #: A pattern of each kind for a word: alone, before a stop in any case, before a small word.
 WORD_RULES = (("", r"\b{}\b"), ("i", r"\b{}[.,]"), ("", r"\b{} (?:a|de|die|en|in|la|le|the)\b"))
 
@@ -214,5 +226,6 @@ def queries() -> dict[str, Query]:
         "diff_lines": lambda spark, d: _fixes(spark, d).select("key", "diff"),
         "documents_scan": documents_scan,
         "user_rules_scan": user_rules_scan,
+        "sql_scan": sql_scan,
     }
     return out
