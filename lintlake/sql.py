@@ -56,7 +56,7 @@ def functions() -> dict[str, tuple[str, str, str]]:
 
 
 def register(spark: SparkSession, schema: str | None = None) -> list[str]:
-    """Creates the functions: temporary ones, or those of a schema of the catalog (which stay, and are called by their full names).
+    """Creates the functions: temporary ones, or those of a schema of the catalog, which stay; Spark finds table functions in the current schema only, so ``USE`` it before a call.
 
     ``scan_code`` runs all code scanners and masks secrets; ``scan_secrets`` to ``scan_path`` run one each; ``scan_dockerfile`` and
     ``scan_terraform`` hold the patterns of those files (absent directives are no pattern: the Python interface has these).  A null text gives no rows; a null language counts as any
