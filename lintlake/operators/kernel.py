@@ -61,10 +61,10 @@ def fires(rule: Rule) -> str:
     return " AND ".join([*tests, f"text RLIKE {quoted(rule.java)}"])
 
 
-def matches_sql(rule: str = "", text: str = "text", language: str = "language") -> str:
+def matches_sql(rule: str = "", text: str = "text", language: str = "language", begins: bool = False) -> str:
     """SQL of a rule's matches in a text, as an array of (seq, line, match, out): those in comment lines are left out, and those of the xss scanner in lines that clean.
 
-    rule: what stands before the names of the rule's fields pattern, scanner and snippet.
+    rule: what stands before the names of the rule's fields pattern, scanner and snippet.  begins: with ``begin``, the characters before each match.
     """
     mark, pattern, scanner, snippet = quoted(MARK), f"{rule}pattern", f"{rule}scanner", f"{rule}snippet"
     marked = f"regexp_replace(translate({text}, {mark}, {quoted(STAND_IN)}), {pattern}, {quoted(MARK + '$0')})"
@@ -73,17 +73,18 @@ def matches_sql(rule: str = "", text: str = "text", language: str = "language")
     place = f"struct(l.line AS line, {_comment_sql(own, language, scanner)} AS comment, {scanner} = 'xss' AND lower({own}) RLIKE '{CLEANERS}' AS cleans, IF({snippet} < 0, {trimmed_sql(own)}, NULL) AS shown)"
     places = f"flatten(transform({lines}, l -> array_repeat({place}, CAST(length(l.text) - length({own}) AS int))))"
     shown = f"CASE WHEN {snippet} = -80 THEN substring(z.`1`.shown, 1, 80) WHEN {snippet} < 0 THEN z.`1`.shown WHEN {snippet} > 0 THEN substring(z.f, 1, {snippet}) ELSE z.f END"
-    each = f"transform(arrays_zip(f, {places}), (z, i) -> struct(i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
+    begin = f"aggregate(transform(slice(split({marked}, {mark}), 1, i + 1), p -> length(p)), 0, (a, b) -> a + b) AS begin, " * begins
+    each = f"transform(arrays_zip(f, {places}), (z, i) -> struct({begin}i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
     return f"flatten(transform(filter(array(regexp_extract_all({text}, {pattern}, 0)), f -> size(f) > 0), f -> filter({each}, m -> NOT m.out)))"
 
 
-def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -> DataFrame:
+def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, begins: bool = False) -> DataFrame:
     """One row per match: the columns of FINDING and the other columns of ``sources`` (file, language, text).
 
     Rules see the text as a whole, so a match may span lines; its line is where it begins.  Matches in comment
     lines go, and those of the xss scanner in lines that clean.  A null text has no matches.  Rules of Dockerfiles
     and Terraform see texts of that ``language`` only, all others no such text.  ``checks``: an array of further findings
-    (CHECKED) of each source.  Other columns that are named like those of FINDING are left out.
+    (CHECKED) of each source.  begins: a column ``__begin`` more, the characters before the match (null for a check).  Other columns that are named like those of FINDING are left out.
     """
     others = [c for c in sources.columns if c not in ("text", *FINDING)]
     rest = F.struct(*(sources[c] for c in others)) if others else F.lit(None).cast("string")
@@ -96,16 +97,16 @@ def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None) -
     known = F.broadcast(dimension(sources.sparkSession, listed))  # a row a rule
     hit = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item")).select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "inner" if checks is None else "left")
 
-    return findings_of(hit, others)
+    return findings_of(hit, others, begins)
 
 
-def findings_of(hit: DataFrame, others: list[str]) -> DataFrame:
+def findings_of(hit: DataFrame, others: list[str], begins: bool = False) -> DataFrame:
     """FINDING and ``others`` (fields of ``rest``) from rows of a text and what fires in it: a rule's fields (hit is not null), or a check's finding ``c``."""
     kept = [c for c in RULE_COLUMNS if c != "pattern"]
-    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql()})")).alias("m"))
+    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql(begins=begins)})")).alias("m"))
     each = each.where(F.col("hit").isNull() | F.col("m").isNotNull())
     ids = metadata(rule_id=F.col("rule_id"), cis=F.col("cis"))
     each = each.withColumns({"line": F.col("m.line"), "match": F.col("m.match"), "metadata": F.when(F.col("scanner").isin(*KINDS), ids)})
     own = [c.split(":")[0] for c in CHECKED.split(", ")[: CHECKED_COLUMNS]]
-    out = each.select("file", "language", "rest", F.coalesce("m.seq", "at").alias("match_seq"), *(F.when(F.col("hit").isNull(), F.col("c")[c]).otherwise(F.col(c)).alias(c) for c in own))
-    return out.withColumn("severity_rank", severity_rank(F.col("severity"))).select(*FINDING, *(F.col("rest")[c].alias(c) for c in others))
+    out = each.select("file", "language", "rest", F.coalesce("m.seq", "at").alias("match_seq"), *([F.col("m.begin").alias("__begin")] if begins else []), *(F.when(F.col("hit").isNull(), F.col("c")[c]).otherwise(F.col(c)).alias(c) for c in own))
+    return out.withColumn("severity_rank", severity_rank(F.col("severity"))).select(*FINDING, *(["__begin"] if begins else []), *(F.col("rest")[c].alias(c) for c in others))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from .scripts import SCRIPTS, script_edits, script_spans, spliced
 
 # Finding type, languages, pattern, replacement (Java's $n).
 TEMPLATES = (
@@ -35,17 +38,26 @@ def parameterized(code: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), fixed.alias("call")), lambda x: F.array(x["gap"], F.coalesce(x["call"], F.lit(""))))), "")
 
 
-def rewritten(code: Column, kind: Column, language: Column) -> Column:
-    """The second way, for scripts where no template changes anything: assignments and calls by name; null if nothing changes."""
-    name = r"(?<![A-Za-z0-9_$.])"
-    drawn = F.regexp_replace(code, name + r"Math\s*\.\s*random\s*\(\s*\)", "crypto.randomBytes(8).toString('hex')")
-    imported = F.when(code.rlike(r"""from\s+['"]crypto['"]"""), drawn).otherwise(F.concat(F.lit("import * as crypto from 'crypto';\n"), drawn))
-    out = (
-        F.when(kind == "innerHTML Assignment", F.regexp_replace(code, r"\.innerHTML(?=\s*=(?!=))", ".textContent"))
-        .when(kind == "eval() Usage", F.regexp_replace(code, name + r"eval(?=\s*\()", "JSON.parse"))
-        .when((kind == "Insecure Random (Math.random)") & (drawn != code), imported)
-    )
-    return F.when(language.isin("javascript", "typescript") & (out != code), out)
+#: Types that scripts are mended for by their tokens, where no template changes anything.
+REWRITTEN = ("innerHTML Assignment", "eval() Usage", "Insecure Random (Math.random)")
+
+
+def template_edits(code: Column, pattern: Column, made: Callable[[Column], Column]) -> Column:
+    """The changes (begin, end, text) that a pattern makes: ``made`` of each of its matches, where it stands."""
+    calls, gaps = F.regexp_extract_all(code, pattern, F.lit(0)), F.split(code, pattern, -1)
+    before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(calls, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+    placed = F.transform(calls, lambda call, i: F.struct(before(i).alias("begin"), call.alias("call")))
+    return F.transform(placed, lambda x: F.struct(x["begin"].cast("int").alias("begin"), (x["begin"] + F.length(x["call"])).cast("int").alias("end"), made(x["call"]).alias("text")))
+
+
+def fixed_in_code(code: Column, kind: Column, language: Column, spans: Column) -> Column:
+    """What ``fixed`` gives, with changes only where a match begins in code; ``spans``: of the code, as script_spans tells them."""
+    in_code = lambda e: F.exists(spans, lambda s: (s["kind"] == "code") & (s["begin"] <= e["begin"]) & (e["begin"] < s["end"]))
+    made = lambda pattern, of: spliced(code, F.filter(template_edits(code, F.lit(pattern), of), in_code))
+    out = F.when((kind == "Template Literal SQL") & language.isin("javascript", "typescript"), made(QUERY, parameterized))
+    for name, languages, pattern, replacement in TEMPLATES:
+        out = out.when((kind == name) & language.isin(*languages.split(",")), made(pattern, lambda call, p=pattern, r=replacement: F.regexp_replace(call, F.lit(p), F.lit(r))))
+    return out
 
 
 def fixed(code: Column, kind: Column, language: Column) -> Column:
@@ -96,19 +108,25 @@ def explanation(issues: DataFrame) -> Column:
     )
 
 
-def suggestions(issues: DataFrame) -> DataFrame:
+def suggestions(issues: DataFrame, only_code: bool = False) -> DataFrame:
     """issues: code, type, language.  Adds fixed_code (null without a fix), diff, success, method (template, ast or none), explanation and report.
 
-    The templates come first, then the rewriting of scripts.
+    The templates come first, which are patterns over the whole text; ``only_code``: in scripts they change nothing in strings, templates
+    or comments.  Then scripts are mended by their tokens, which never change these.
     """
     code, kind, language = F.col("code"), F.col("type"), F.col("language")
-    template = fixed(code, kind, language)
+    script, template = language.isin(*SCRIPTS), fixed(code, kind, language)
+    if only_code:
+        issues = issues.withColumn("__spans", script_spans(F.when(script, code)))
+        template = F.when(script, fixed_in_code(code, kind, language, F.col("__spans"))).otherwise(template)
     tried = issues.select("*", explanation(issues).alias("explanation"), F.when(template != code, template).alias("by_template"))
-    tried = tried.withColumn("by_rewriting", F.when(F.col("by_template").isNull(), rewritten(code, kind, language)))
+    wanted = F.when(F.col("by_template").isNull() & script & kind.isin(*REWRITTEN), code)
+    tried = tried.withColumn("__edits", script_edits(wanted, kind))
+    tried = tried.withColumn("by_rewriting", F.when(F.size("__edits") > 0, spliced(code, F.col("__edits"))))
     tried = tried.withColumn("fixed_code", F.coalesce("by_template", "by_rewriting"))
     method = F.when(F.col("by_template").isNotNull(), "template").when(F.col("by_rewriting").isNotNull(), "ast").otherwise("none")
     out = tried.withColumns({"method": method, "success": F.col("fixed_code").isNotNull(), "diff": F.when(F.col("fixed_code").isNotNull(), line_diff(code, F.col("fixed_code"))).otherwise("")})
     failed = F.concat(F.lit("## No automatic fix\n\nThis finding has to be fixed by hand.\n\n"), F.col("explanation"))
     way = F.when(F.col("method") == "template", "template").otherwise("rewriting")
     done = F.concat(F.lit("## Suggested fix\n\n**Method**: "), way, F.lit("\n\n### Changes\n\n```diff\n"), F.col("diff"), F.lit("```\n\n### Explanation\n\n"), F.col("explanation"), F.lit("\n\n### Fixed code\n\n```"), language, F.lit("\n"), F.col("fixed_code"), F.lit("\n```\n"))
-    return out.drop("by_template", "by_rewriting").withColumn("report", F.when(F.col("success"), done).otherwise(failed))
+    return out.drop("by_template", "by_rewriting", "__edits", "__spans").withColumn("report", F.when(F.col("success"), done).otherwise(failed))

@@ -172,6 +172,11 @@ FIXES = (
     ("eval() Usage", "eval(x); eval( y );", JS, "JSON.parse(x); JSON.parse(y );", "template"),
     ("eval() Usage", "eval(x); o.eval(y);", TS, "JSON.parse(x); o.eval(y);", "ast"),
     ("eval() Usage", "eval(x)", GO, None, "none"),
+    ("innerHTML Assignment", "el.innerHTML += v; // a.innerHTML += b", JS, "el.textContent += v; // a.innerHTML += b", "ast"),
+    ("innerHTML Assignment", "log('x.innerHTML += y'); go(el.innerHTML);", JS, None, "none"),
+    ("eval() Usage", "const s = 'eval(x)'; eval(y); /* eval(z) */ `${eval(q)} eval(r)`", TS, "const s = 'eval(x)'; JSON.parse(y); /* eval(z) */ `${JSON.parse(q)} eval(r)`", "ast"),
+    ("Insecure Random (Math.random)", "const r = Math . random ();", JS, "import * as crypto from 'crypto';\nconst r = crypto.randomBytes(8).toString('hex');", "ast"),
+    ("Insecure Random (Math.random)", 'import c from "crypto"; // Math.random\nr = Math\n.random();', TS, "import c from \"crypto\"; // Math.random\nr = crypto.randomBytes(8).toString('hex');", "ast"),
     ("Disabled SSL Verification", "{ rejectUnauthorized: false }", JS, "{ rejectUnauthorized: true }", "template"),
     ("Disabled SSL Verification", "get(u, verify=False)", PY, "get(u, verify=True)", "template"),
     ("CORS Allow All Origins", "cors({ origin: '*' })", JS, "cors({ origin: process.env.ALLOWED_ORIGIN || 'https://yourdomain.com' })", "template"),
@@ -180,3 +185,16 @@ FIXES = (
     ("document.write", "document.write(v);", JS, "// TODO: build the nodes instead\n// document.write(v);", "template"),
     ("Open Redirect", "go(x)", JS, None, "none"),
 )
+
+#: Scripts in pieces with what each is (. code, s string, t template, c comment, r regular expression), then what the finders find: finder, line, column, source, names.
+SCRIPTS = (
+    (JS, ((".", "el.innerHTML += v; "), ("c", "// el.innerHTML = w"), (".", "\nlog("), ("s", "'a.innerHTML = 1'"), (".", ");\n  box.list[0].innerHTML="), ("s", '"<b>"'), (".", ";")), (("innerHTML", 1, 0), ("innerHTML", 3, 2))),
+    (TS, ((".", "db.query("), ("t", "`SELECT * FROM t WHERE id = ${"), (".", "o.id"), ("t", "}`"), (".", ", cb);\nrun(db.sql("), ("t", "`DELETE FROM t`"), (".", "));\nif (a) pool.execute("), ("t", "`UPDATE ${"), (".", "f("), ("t", "`x${"), (".", "{ y: 1 }.y"), ("t", "}`"), (".", ")"), ("t", "} SET a`"), (".", ")")), (("sql", 1, 0), ("sql", 3, 7))),
+    (JS, ((".", "const r = "), ("r", "/eval(\\/[/'\"]x)/"), (".", "g, n = a / b / eval(c);\n"), ("c", "/* eval(d) */"), (".", " new Function("), ("s", "'return 1'"), (".", "); o.eval(e); function eval(f) {}\nreturn "), ("r", "/'/"), (".", ".test(eval\n(g))")), (("eval", 1, 41), ("eval", 2, 14), ("eval", 3, 16))),
+    (TS, ((".", "import fs, { readFile as r, type P } from "), ("s", "'fs'"), (".", ";\nimport * as x from "), ("s", '"./x"'), (".", "\nimport "), ("s", "'./side'"), (".", "; "), ("c", "// import no from 'no'"), (".", "\nconst y = import("), ("s", "'lazy'"), (".", ");")), (("import", 1, 0, "fs", "fs,readFile,P"), ("import", 2, 0, "./x", "* as x"), ("import", 3, 0, "./side", ""))),
+    (JS, ((".", "const n = 1, apiKey = "), ("s", "'abcdefghijkl'"), (".", ";\nlet token = "), ("s", "'abcdefghijkl'"), (".", " + x, secret: string = "), ("s", '"0123456789ab"'), (".", "\nf({ password: "), ("s", "'zyxwvutsrqpo'"), (".", ", token: "), ("s", "'your_token_here'"), (".", " })"), ("c", "// secret = 'abcdefghijkl'")), (("secret", 1, 13), ("secret", 2, 32), ("secret", 3, 4))),
+    (GO, ((".", "eval(x); el.innerHTML = v"),), ()),
+)
+
+#: script, rule, line of a match of the pattern rules, and what it begins in
+PLACES = ((0, "XSS-02", 1, "comment"), (0, "XSS-02", 2, "string"), (1, "INJ-02", 1, "code"), (1, "INJ-02", 3, "code"), (2, "XSS-13", 1, "regex"), (2, "XSS-13", 1, "code"), (2, "XSS-13", 3, "code"))

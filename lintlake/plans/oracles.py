@@ -6,7 +6,7 @@ from ..functions.text import SEVERITIES
 from ..operators.dependencies import ADVISORIES
 from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched
-from .cases import CASES, FIXES, KUBERNETES, KUBERNETES_FINDINGS
+from .cases import CASES, FIXES, KUBERNETES, KUBERNETES_FINDINGS, PLACES, SCRIPTS
 from .corpus import CODE, DOCKERFILE, MANIFESTS, PATHS, TERRAFORM, corpus_sql, literal, picked_sql
 from .queries import WORD_RULES, looks_around, own_rules
 
@@ -113,6 +113,21 @@ def infrastructure_sql(kinds: dict[str, tuple], texts: int) -> str:
     return f"SELECT scanner, rule_id, severity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
+def scripts_sql() -> dict[str, str]:
+    """Hand-made answers for each script, by the remainder of the key."""
+    n, kinds, blank, finds = len(SCRIPTS), [], [], []
+    for i, (_, pieces, found) in enumerate(SCRIPTS):
+        lines = "".join(piece for _, piece in pieces).split("\n")
+        kinds.append("".join(kind * len(piece) for kind, piece in pieces))
+        blank.append("".join(piece if kind == "." else "".join(c if c == "\n" else " " for c in piece) for kind, piece in pieces))
+        finds += [(i, f[0], f[1], f[2], lines[f[1] - 1].strip(), *(f[3:] or (None, None))) for f in found]
+    return {
+        "script_spans": f"SELECT o_orderkey AS key, {picked_sql(kinds)} AS kinds, md5({picked_sql(blank)}) AS blanked FROM orders",
+        "script_finders": f"SELECT o_orderkey AS key, finder, line, col, code, source, names FROM orders JOIN {values(finds)} f(n, finder, line, col, code, source, names) ON o_orderkey % {n} = n",
+        "findings_by_place": f"SELECT o_orderkey AS key, rule_id, line, place FROM orders JOIN {values(list(PLACES))} f(n, rule_id, line, place) ON o_orderkey % {n} = n",
+    }
+
+
 def user_rules_sql() -> str:
     """Words of each line joined with the word of each rule, then the rule's pattern over that line."""
     patterns = " ".join(f"WHEN {k} THEN {literal((f'(?{flags})' if flags else '') + p)}" for k, (flags, p) in enumerate(WORD_RULES))
@@ -187,4 +202,4 @@ UNION ALL SELECT key, ecosystem, package, severity, package, 'Vulnerable Go Pack
         "fix_all_code": f"WITH corpus AS ({corpus_sql(CODE)}) SELECT key, regexp_replace(text, 'eval\\s*\\(\\s*([^)]+)\\s*\\)', 'JSON.parse(\\1)', 'g') AS fixed_code FROM corpus WHERE language = 'javascript' AND regexp_matches(text, 'eval\\s*\\(\\s*([^)]+)\\s*\\)')",
         "diff_lines": f"WITH corpus AS ({corpus_sql(CODE)}), f AS (SELECT key, string_split(text, chr(10)) AS a, string_split(regexp_replace(text, 'eval\\s*\\(\\s*([^)]+)\\s*\\)', 'JSON.parse(\\1)', 'g'), chr(10)) AS b FROM corpus WHERE language = 'javascript' AND regexp_matches(text, 'eval\\s*\\(\\s*([^)]+)\\s*\\)')) SELECT key, list_aggregate(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] = b[i] THEN '  ' || a[i] || chr(10) ELSE '- ' || a[i] || chr(10) || '+ ' || b[i] || chr(10) END), 'string_agg', '') AS diff FROM f",
     }
-    return out
+    return out | scripts_sql()

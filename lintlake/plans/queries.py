@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.regex import js_to_java
-from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report, rulesets
+from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report, rulesets, scripts
 from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched, rules
 from ..sources.files import selected, spread
 from ..sql import register
 from ..streaming.scans import per_window
-from .cases import CASES, FIXES, KUBERNETES
+from .cases import CASES, FIXES, KUBERNETES, SCRIPTS
 from .corpus import CODE, DOCKERFILE, MANIFESTS, PATHS, TERRAFORM, corpus, keys, picked
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,30 @@ def sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY f.scanner, f.rule_id, f.severity""")
 
 
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [(language, "".join(piece for _, piece in pieces)) for language, pieces, _ in SCRIPTS]
+    return keys(spark, sf_dir).select("key", F.concat(F.lit("f"), F.col("key")).alias("file"), picked(a for a, _ in texts).alias("language"), picked(b for _, b in texts).alias("text"))
+
+
+def script_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a script for each order, what every character is, and the script with all but code blanked."""
+    found = _scripts(spark, sf_dir).withColumn("spans", scripts.script_spans("text"))
+    letter = lambda s: F.when(s["kind"] == "code", ".").otherwise(F.substring(s["kind"], 1, 1))
+    kinds = F.array_join(F.transform("spans", lambda s: F.repeat(letter(s), s["end"] - s["begin"])), "")
+    return found.select("key", kinds.alias("kinds"), F.md5(scripts.mask(F.col("text"), F.col("spans")).cast("binary")).alias("blanked"))
+
+
+def script_finders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the finders over tokens find in a script for each order."""
+    return scripts.script_findings(_scripts(spark, sf_dir)).select("key", "finder", "line", F.col("column").alias("col"), "code", "source", F.array_join("names", ",").alias("names"))
+
+
+def findings_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the pattern rules in these scripts, by what they begin in."""
+    found = scripts.scan_scripts(_scripts(spark, sf_dir), matched("xss", "injection"))
+    return found.where("rule_id IN ('XSS-02', 'XSS-13', 'INJ-02')").select("key", "rule_id", "line", "place")
+
+
 #: A pattern of each kind for a word: alone, before a stop in any case, before a small word.
 WORD_RULES = (("", r"\b{}\b"), ("i", r"\b{}[.,]"), ("", r"\b{} (?:a|de|die|en|in|la|le|the)\b"))
 
@@ -226,6 +250,9 @@ def queries() -> dict[str, Query]:
         "diff_lines": lambda spark, d: _fixes(spark, d).select("key", "diff"),
         "documents_scan": documents_scan,
         "user_rules_scan": user_rules_scan,
+        "script_spans": script_spans,
+        "script_finders": script_finders,
+        "findings_by_place": findings_by_place,
         "sql_scan": sql_scan,
     }
     return out
