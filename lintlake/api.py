@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import is_example, masked
-from .operators import iac, report
+from .operators import iac, report, rulesets, scripts
 from .operators.dependencies import dependency_findings
 from .operators.kernel import FINDING, scan
 from .operators.remediate import suggestions
@@ -67,6 +67,17 @@ def scan_all(sources: DataFrame) -> DataFrame:
     return _hidden(iac.scan_infrastructure(sources.select("file", "language", "kind", "text"), (*CODE, "dockerfile", "terraform"))).select(*FINDING)
 
 
+def scan_rules(sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings of a user's own table of rules, of any length, in the code among the sources."""
+    code = sources.where(F.col("kind") == "code") if "kind" in sources.columns else sources
+    return rulesets.scan_rules(code.select("file", "language", "text"), rules).select(*FINDING)
+
+
+def find_in_scripts(sources: DataFrame) -> DataFrame:
+    """What the finders over tokens find in scripts: innerHTML, sql, eval, secret and import, with line and column."""
+    return scripts.script_findings(sources.select("file", "language", "text"))
+
+
 def fix_suggestion(spark: SparkSession, code: str, issue_type: str, language: str = "javascript") -> DataFrame:
     return suggestions(spark.createDataFrame([(code, issue_type, language)], "code string, type string, language string"))
 

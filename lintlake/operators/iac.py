@@ -125,33 +125,35 @@ def _at(rule_id: str, path: str, severity: str, pss: str | None, condition: str)
     """Findings of one path in document d: its values with the places where they stand, then the condition."""
     head, _, rest = path.partition("[*].")
     if rest:
-        listed = f"transform(coalesce({_get('d', head, 'array<variant>')}, array()), (c, i) -> struct({_get('c', rest)} AS v, concat('{head}[', i, '].{rest}') AS at))"
+        values = "doc.containers" if head == "spec.containers" else _get("doc.d", head, "array<variant>")
+        listed = f"transform(coalesce({values}, array()), (c, i) -> struct({_get('c', rest)} AS v, concat('{head}[', i, '].{rest}') AS at))"
     else:
-        listed = f"array(struct({_get('d', path)} AS v, '{path}' AS at))"
+        listed = f"array(struct({_get('doc.d', path)} AS v, '{path}' AS at))"
     typed = f"transform(filter({listed}, y -> y.v IS NOT NULL), y -> struct(y.v AS v, y.at AS at, schema_of_variant(y.v) AS t, to_json(y.v) AS s))"
     test = condition.replace("{falsy(x.v)}", _falsy("x.v")).replace("{falsy(memory)}", _falsy(_get("x.v", "memory"))).replace("{falsy(cpu)}", _falsy(_get("x.v", "cpu")))
-    made = _made(rule_id, f"Kubernetes: {rule_id}", severity, A05, "CWE-250", "concat(x.at, ': ', x.s)", rule_id=quoted(rule_id), pss=quoted(pss), kind=_get("d", "kind", "string"), name=_get("d", "metadata.name", "string"), namespace=_get("d", "metadata.namespace", "string"), path="x.at")
+    made = _made(rule_id, f"Kubernetes: {rule_id}", severity, A05, "CWE-250", "concat(x.at, ': ', x.s)", rule_id=quoted(rule_id), pss=quoted(pss), kind=_get("doc.d", "kind", "string"), name=_get("doc.d", "metadata.name", "string"), namespace=_get("doc.d", "metadata.namespace", "string"), path="x.at")
     return f"transform(filter({typed}, x -> {test}), x -> {made})"
 
 
 def kubernetes_checks(text: Column) -> tuple[Column, str]:
-    """The documents of a Kubernetes text, and SQL over them (``docs``) for their findings: 13 paths and three checks of their own.
+    """The documents of a Kubernetes text, with their containers, and SQL over them (``__docs``) for their findings: 13 paths and three checks of their own.
 
     A path that is missing has no value, so that a rule on "not true" needs the key.  Values are told by
     type: the string "true" is not true, and the string "0" is something.
     """
-    kind, name = _get("d", "kind", "string"), _get("d", "metadata.name", "string")
-    token = _get("d", "spec.automountServiceAccountToken")
+    kind, name = _get("doc.d", "kind", "string"), _get("doc.d", "metadata.name", "string")
+    token = _get("doc.d", "spec.automountServiceAccountToken")
     account = f"IF(coalesce(schema_of_variant({token}) = 'BOOLEAN' AND to_json({token}) = 'true', false), array({_made('K8S-SA', 'Kubernetes: ServiceAccount', 'medium', A07, None, 'NULL', kind=kind, name=name)}), array())"
-    containers = f"coalesce({_get('d', 'spec.containers', 'array<variant>')}, array())"
+    containers = "coalesce(doc.containers, array())"
     env = f"flatten(transform({containers}, c -> transform(coalesce({_get('c', 'env', 'array<variant>')}, array()), e -> struct(c AS c, e AS e))))"
     exposed = f"NOT {_falsy(_get('x.e', 'value'))} AND coalesce({_get('x.e', 'name', 'string')} rlike '(?i)password|secret|token|api[_-]?key', false) AND {_falsy(_get('x.e', 'valueFrom.secretKeyRef'))}"
     secrets = f"transform(filter({env}, x -> {exposed}), x -> {_made('K8S-SECRET', 'Kubernetes: Hardcoded Secret', 'critical', A02, 'CWE-798', 'NULL', container=_get('x.c', 'name', 'string'), env_var=_get('x.e', 'name', 'string'))})"
     network = f"IF({kind} IN ('Deployment', 'StatefulSet', 'Pod'), array({_made('K8S-NP', 'Kubernetes: Best Practice', 'low', A05, None, 'NULL', kind=kind, name=name)}), array())"
     kinds = ", ".join(map(quoted, WORKLOADS))
     parts = ", ".join([*(_at(*r) for r in K8S), account, secrets, network])
-    each = F.transform(yaml_documents(text), lambda j: F.call_function("try_parse_json", j))
-    return each, f"flatten(transform(filter(docs, d -> coalesce({kind} IN ({kinds}), false)), d -> concat({parts})))"
+    parsed = F.transform(yaml_documents(text), lambda j: F.call_function("try_parse_json", j))
+    each = F.transform(parsed, lambda d: F.struct(d.alias("d"), F.try_variant_get(d, "$.spec.containers", "array<variant>").alias("containers")))
+    return each, f"flatten(transform(filter(__docs, doc -> coalesce({kind} IN ({kinds}), false)), doc -> concat({parts})))"
 
 
 def checked(sources: DataFrame, kinds: tuple[str, ...] = ("dockerfile", "terraform", "kubernetes")) -> tuple[DataFrame, Column]:
@@ -159,7 +161,7 @@ def checked(sources: DataFrame, kinds: tuple[str, ...] = ("dockerfile", "terrafo
     kind, text = F.col("language"), F.col("text")
     parsed, found = kubernetes_checks(F.when(kind == "kubernetes", text))
     if "kubernetes" in kinds:
-        sources = sources.withColumn("docs", parsed)
+        sources = sources.withColumn("__docs", parsed)
     by = {"dockerfile": lambda: dockerfile_checks(text), "terraform": lambda: terraform_checks(text), "kubernetes": lambda: F.expr(found)}
     checks = F.lit(None).cast(CHECKS)
     for k in kinds:
@@ -170,8 +172,7 @@ def checked(sources: DataFrame, kinds: tuple[str, ...] = ("dockerfile", "terrafo
 def practice(sources: DataFrame, kind: str) -> DataFrame:
     """The checks of one kind of texts (file, text), without the patterns."""
     sources, checks = checked(sources.withColumn("language", F.lit(kind)), (kind,))
-    found = scan(sources, [], checks)
-    return found.drop("docs")
+    return scan(sources, [], checks, without=("__docs",))
 
 
 def scan_infrastructure(sources: DataFrame, listed: tuple[str, ...] = ("dockerfile", "terraform")) -> DataFrame:
@@ -180,4 +181,4 @@ def scan_infrastructure(sources: DataFrame, listed: tuple[str, ...] = ("dockerfi
     if not set(listed) - {"dockerfile", "terraform"}:
         ready = ready.where(F.col("language").isin("dockerfile", "terraform", "kubernetes"))
     ready, checks = checked(ready)
-    return scan(ready, matched(*listed), checks).drop("docs")
+    return scan(ready, matched(*listed), checks, without=("__docs",))

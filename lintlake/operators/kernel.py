@@ -78,15 +78,15 @@ def matches_sql(rule: str = "", text: str = "text", language: str = "language",
     return f"flatten(transform(filter(array(regexp_extract_all({text}, {pattern}, 0)), f -> size(f) > 0), f -> filter({each}, m -> NOT m.out)))"
 
 
-def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, begins: bool = False) -> DataFrame:
+def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, begins: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
     """One row per match: the columns of FINDING and the other columns of ``sources`` (file, language, text).
 
     Rules see the text as a whole, so a match may span lines; its line is where it begins.  Matches in comment
     lines go, and those of the xss scanner in lines that clean.  A null text has no matches.  Rules of Dockerfiles
     and Terraform see texts of that ``language`` only, all others no such text.  ``checks``: an array of further findings
-    (CHECKED) of each source.  begins: a column ``__begin`` more, the characters before the match (null for a check).  Other columns that are named like those of FINDING are left out.
+    (CHECKED) of each source.  begins: a column ``__begin`` more, the characters before the match (null for a check).  without: columns that only the checks read.  Other columns that are named like those of FINDING are left out.
     """
-    others = [c for c in sources.columns if c not in ("text", *FINDING)]
+    others = [c for c in sources.columns if c not in ("text", *FINDING, *without)]
     rest = F.struct(*(sources[c] for c in others)) if others else F.lit(None).cast("string")
     texts = sources.where(F.col("text").isNotNull()).select("file", "language", "text", rest.alias("rest"), F.lower("text").alias("lowered"), (F.lit(None).cast(CHECKS) if checks is None else checks).alias("checks"))
     hits = F.expr(f"array_compact(CAST(array({', '.join(f'IF({fires(r)}, {i}, NULL)' for i, r in enumerate(listed))}) AS array<int>))")

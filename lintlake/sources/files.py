@@ -21,9 +21,28 @@ def folder(spark: SparkSession, path: str, include: tuple[str, ...] = INCLUDE, e
     """All files below a path whose name is included and no part of whose path below it is excluded."""
     read = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path, wholetext=True)
     texts = read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return routed(texts.where(_below(path, include, exclude)))
+
+
+def _below(path: str, include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
     root = path.split("://", 1)[-1].rstrip("/")
-    kept = texts.where(selected(F.element_at(F.split("file", F.lit(r"\Q" + root + r"\E"), 2), -1), include, exclude))
-    return routed(kept)
+    return selected(F.element_at(F.split("file", F.lit(r"\Q" + root + r"\E"), 2), -1), include, exclude)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+
+
+def listing(spark: SparkSession, path: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
+    """file: what ``target`` takes of a folder or file, by name alone, so that a file that cannot be read is listed too; no contents are read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file"))
+    return listed if _is_file(spark, path) else listed.where(_below(path, include, exclude))
+
+
+def unread(listed: DataFrame, sources: DataFrame) -> DataFrame:
+    """file: files that are listed but of which the sources have no text."""
+    return listed.join(sources.where(F.col("text").isNotNull()).select("file"), "file", "left_anti")
 
 
 def selected(path: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> Column:
@@ -33,15 +52,16 @@ def selected(path: Column, include: tuple[str, ...] = INCLUDE, exclude: tuple[st
 
 def target(spark: SparkSession, path: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
     """A folder's selected files, or a single file whatever its name."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    is_file = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
-    return single(spark, path) if is_file else folder(spark, path, include, exclude)
+    return single(spark, path) if _is_file(spark, path) else folder(spark, path, include, exclude)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer files than the cluster has cores, dealt out evenly; a file's only row group is one task's work otherwise.  Beyond that, as they are."""
+    """Rows of a table that Spark reads in fewer splits than the cluster has cores, dealt out evenly: small tables whose only row group would be one task's work.
+
+    Splits are counted, not files, so that a table of few large files is read as it is.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def single(spark: SparkSession, path: str) -> DataFrame:

@@ -278,13 +278,51 @@ def test_folders_streams_and_command_line(spark, tmp_path, capsys, monkeypatch):
     got = {(r.file.rsplit("/", 1)[-1], r.rule_id) for r in api.scan_security(files.folder(spark, str(tmp_path))).collect()}
     assert got == {("a.js", "XSS-13"), ("c.py", "PTH-15")}
     assert api.scan_xss(files.inline(spark, "const a = 1; eval(x)")).count() == 1
-    assert main(["scan", str(tmp_path), "--format", "markdown"]) == 1 and "eval() Usage" in capsys.readouterr().out
+    assert main(["scan", str(tmp_path), "--format", "markdown", "--fail-on", "high"]) == 1 and "eval() Usage" in capsys.readouterr().out
     assert main(["scan", str(tmp_path / "d.txt"), "--severity", "critical", "--fail-on", "critical", "--no-color"]) == 1 and "Files scanned: 1" in capsys.readouterr().out
-    assert main(["scan", str(tmp_path), "--format", "json", "--output", str(tmp_path / "out")]) == 1
+    assert main(["scan", str(tmp_path), "--format", "json", "--output", str(tmp_path / "out"), "--fail-on", "low"]) == 1
     assert json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))["summary"]["totalFiles"] == 2
-    assert main(["scan", str(tmp_path), "--format", "sarif", "--exclude", "sub,node_modules,out"]) == 1 and len(json.loads(capsys.readouterr().out)["runs"]) == 1
+    assert main(["scan", str(tmp_path), "--format", "sarif", "--exclude", "sub,node_modules,out", "--fail-on", "low"]) == 1 and len(json.loads(capsys.readouterr().out)["runs"]) == 1
     monkeypatch.setenv("SCAN_CODE_FILE", str(tmp_path / "sub/c.py"))
     assert main(["sandbox"]) == 0 and json.loads(capsys.readouterr().out)["issuesCount"] == 1
     query = scans.findings(scans.arriving(spark, str(tmp_path))).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("arrived").where("rule_id = 'XSS-13'").count() >= 3
+
+
+def test_user_columns_pass_infrastructure_scans(spark):
+    texts = spark.createDataFrame([("a", "kubernetes", None, "kind: Pod\nspec: {hostPID: true}", 7, "mine"), ("Dockerfile", "dockerfile", None, "FROM a\nUSER root", 8, "yours")], "file string, kind string, language string, text string, docs int, containers string")
+    assert {(r.file, r.docs, r.containers) for r in iac.scan_infrastructure(texts).collect()} == {("a", 7, "mine"), ("Dockerfile", 8, "yours")}
+    assert {(r.docs, r.kind) for r in iac.practice(texts.where("file = 'a'"), "kubernetes").select("docs", "kind").collect()} == {(7, "kubernetes")}
+
+
+def test_defaults_and_options_of_the_command_line(spark, tmp_path, capsys):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "high.js").write_text("crypto.createHash('md5');\n")
+    (src / "x.go").write_text("pickle.load(f)\nfoo-42\n")
+    severities = {r.severity for r in api.scan_all(files.folder(spark, str(src))).collect()}
+    assert severities and "critical" not in severities
+    assert main(["scan", str(src)]) == 0  # only critical findings fail unless told otherwise
+    assert main(["scan", str(src), "--fail-on", "high"]) == 1
+    capsys.readouterr()
+    main(["scan", str(src / "x.go"), "--format", "json"])
+    assert json.loads(capsys.readouterr().out)["summary"]["totalIssues"] == 0
+    main(["scan", str(src / "x.go"), "--format", "json", "--language", "python"])
+    assert {i["type"] for i in json.loads(capsys.readouterr().out)["issues"]} == {r.type for r in api.scan_path(files.inline(spark, "pickle.load(f)", "python")).collect()}
+    (tmp_path / "rules.json").write_text('{"rule_id": "own", "pattern": "foo-\\\\d+", "severity": "critical"}\n')
+    assert main(["scan", str(src), "--rules", str(tmp_path / "rules.json"), "--severity", "critical"]) == 1 and "own" in capsys.readouterr().out
+    assert main(["scan", str(tmp_path / "nowhere")]) == 1 and "nowhere" in capsys.readouterr().err
+
+
+def test_files_that_cannot_be_read_are_counted(spark, tmp_path):
+    for name in ("a.js", "b.js", "dist/c.js", "d.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("eval(x)")
+    listed, read = files.listing(spark, str(tmp_path)), files.folder(spark, str(tmp_path))
+    assert sorted(r.file.rsplit("/", 1)[-1] for r in listed.collect()) == ["a.js", "b.js"] and files.unread(listed, read).count() == 0
+    lost = read.withColumn("text", F.when(~F.col("file").endswith("b.js"), F.col("text")))
+    assert [r.file[-4:] for r in files.unread(listed, lost).collect()] == ["b.js"] and files.unread(listed, read.where("file LIKE '%a.js'")).count() == 1
+    summary = json.loads(lines(report.json_report(listed, api.scan_all(lost))))["summary"]
+    assert summary["totalFiles"] == 2 and summary["totalIssues"] == 1
+    assert files.listing(spark, str(tmp_path / "d.txt")).count() == 1
