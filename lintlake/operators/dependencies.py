@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import severity_rank, trimmed
 from ..rules.catalogue import A06
 from .kernel import FINDING, metadata
+from .versions import version_key
 
 # Ecosystem, package, affected versions (empty: all), severity.
 ADVISORIES = (
@@ -28,19 +29,12 @@ ADVISORIES = (
     ("pip", "urllib3", "", "medium"),
     ("go", "github.com/dgrijalva/jwt-go", "", "high"),
 )
-WIDEST = 8
 
 
 def advisories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ADVISORIES), "ecosystem string, package string, affected string, severity string")
 
 
-def version_parts(version: Column) -> Column:
-    """Numbers between the dots, what is no number as 0, filled up with zeros so that arrays compare as versions."""
-    parts = F.transform(F.split(F.regexp_replace(version, r"[\^~>=<]", ""), r"\."), lambda x: F.coalesce(F.nullif(F.trim(x), F.lit("")).try_cast("double"), F.lit(0.0)))
-    return F.concat(parts, F.array_repeat(F.lit(0.0), F.greatest(F.lit(WIDEST) - F.size(parts), F.lit(0))))
-
-
 def npm_dependencies(manifests: DataFrame) -> DataFrame:
     """file, package, version: of each package.json; a package of both lists counts with its development version."""
     parsed = manifests.select("file", F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>").alias("p"))
@@ -74,7 +68,7 @@ def dependency_findings(manifests: DataFrame) -> DataFrame:
     known = advisories(spark)
     of = lambda ecosystem: F.broadcast(known.where(F.col("ecosystem") == ecosystem))
     npm = npm_dependencies(manifests.where(name == "package.json")).join(of("npm"), "package")
-    npm = npm.where((F.col("affected") == "") | (version_parts(F.col("version")) < version_parts(F.col("affected"))))
+    npm = npm.where((F.col("affected") == "") | (version_key(F.col("version")) < version_key(F.col("affected"))))
     npm = npm.withColumn("match", F.concat_ws("@", "package", "version"))
     pip = requirements(manifests.where(name == "requirements.txt")).join(of("pip"), "package").withColumns({"version": F.lit(None).cast("string"), "match": trimmed(F.col("line"))})
     go = manifests.where(name == "go.mod").join(of("go"), F.contains("text", "package")).withColumns({"version": F.lit(None).cast("string"), "match": F.col("package")})

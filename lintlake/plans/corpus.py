@@ -89,14 +89,14 @@ def picked(values: Iterable[str | None]) -> Column:
     return F.expr(f"get(array({', '.join(map(quoted, values))}), CAST(key % {len(values)} AS int))")
 
 
-def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of the orders, spread over the cores before any text is made of them."""
-    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key")))
+def keys(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:
+    """The keys of the orders or documents, spread over the cores before any text is made of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col({"orders": "o_orderkey", "documents": "doc_id"}[table]).alias("key")))
 
 
-def corpus(spark: SparkSession, sf_dir: str, snippets: tuple, comment: str = "// order ") -> DataFrame:
-    """A text for each order: key, file, language, text; the snippet goes by the key."""
-    texts = keys(spark, sf_dir).withColumns({"language": picked(a for a, _ in snippets), "snippet": picked(b for _, b in snippets)})
+def corpus(spark: SparkSession, sf_dir: str, snippets: tuple, comment: str = "// order ", table: str = "orders") -> DataFrame:
+    """A text for each order or document: key, file, language, text; the snippet goes by the key."""
+    texts = keys(spark, sf_dir, table).withColumns({"language": picked(a for a, _ in snippets), "snippet": picked(b for _, b in snippets)})
     text = F.concat_ws("\n", F.concat(F.lit(comment), F.col("key")), "snippet", F.lit("done();")) if comment else F.col("snippet")
     return texts.select("key", F.concat(F.lit("f"), F.col("key")).alias("file"), "language", text.alias("text"))
 
@@ -105,9 +105,9 @@ def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def picked_sql(values: Iterable[str | None]) -> str:
+def picked_sql(values: Iterable[str | None], key: str = "o_orderkey") -> str:
     values = list(values)
-    return f"[{', '.join('NULL' if v is None else literal(v) if isinstance(v, str) else str(v) for v in values)}][o_orderkey % {len(values)} + 1]"
+    return f"[{', '.join('NULL' if v is None else literal(v) if isinstance(v, str) else str(v) for v in values)}][{key} % {len(values)} + 1]"
 
 
 def corpus_sql(snippets: tuple, comment: str = "// order ") -> str:

@@ -113,6 +113,16 @@ def infrastructure_sql(kinds: dict[str, tuple], texts: int) -> str:
     return f"SELECT scanner, rule_id, severity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
+def versions_sql() -> str:
+    """Parts as lists of one length, and every advisory of a package with every version of it."""
+    return """
+WITH uses AS (SELECT doc_id, 'p' || doc_id % 997 AS package, concat_ws('.', doc_id % 10, doc_id % 7, CASE WHEN doc_id % 17 = 0 THEN doc_id % 20 || '.0.0.0.0.0.0.0.5' WHEN doc_id % 19 = 0 THEN 'x.0' ELSE CAST(doc_id % 20 AS VARCHAR) END) AS version,
+  [doc_id % 10, doc_id % 7, CASE WHEN doc_id % 17 = 0 THEN doc_id % 20 WHEN doc_id % 19 = 0 THEN 0 ELSE doc_id % 20 END, CASE WHEN doc_id % 17 = 0 THEN 5 ELSE 0 END] AS k FROM documents WHERE doc_id IS NOT NULL),
+advisories AS (SELECT l_orderkey * 8 + l_linenumber AS id, 'p' || l_partkey % 997 AS package, CASE WHEN l_orderkey % 50 <> 0 THEN [CAST(l_quantity AS BIGINT) % 10, l_linenumber, l_orderkey % 20, 0] END AS lo,
+  CASE WHEN l_orderkey % 40 <> 0 THEN [CAST(l_quantity AS BIGINT) % 10 + CAST(l_orderkey % 3 = 0 AS INTEGER), l_linenumber + 1, l_orderkey % 5, 0] END AS hi FROM lineitem)
+SELECT doc_id, version, count(*) AS n, max(id) AS last, CAST(sum(id) AS BIGINT) AS ids FROM uses JOIN advisories USING (package) WHERE (lo IS NULL OR lo <= k) AND (hi IS NULL OR k < hi) GROUP BY ALL"""
+
+
 def scripts_sql() -> dict[str, str]:
     """Hand-made answers for each script, by the remainder of the key."""
     n, kinds, blank, finds = len(SCRIPTS), [], [], []
@@ -122,9 +132,9 @@ def scripts_sql() -> dict[str, str]:
         blank.append("".join(piece if kind == "." else "".join(c if c == "\n" else " " for c in piece) for kind, piece in pieces))
         finds += [(i, f[0], f[1], f[2], lines[f[1] - 1].strip(), *(f[3:] or (None, None))) for f in found]
     return {
-        "script_spans": f"SELECT o_orderkey AS key, {picked_sql(kinds)} AS kinds, md5({picked_sql(blank)}) AS blanked FROM orders",
-        "script_finders": f"SELECT o_orderkey AS key, finder, line, col, code, source, names FROM orders JOIN {values(finds)} f(n, finder, line, col, code, source, names) ON o_orderkey % {n} = n",
-        "findings_by_place": f"SELECT o_orderkey AS key, rule_id, line, place FROM orders JOIN {values(list(PLACES))} f(n, rule_id, line, place) ON o_orderkey % {n} = n",
+        "script_spans": f"SELECT doc_id AS key, {picked_sql(kinds, 'doc_id')} AS kinds, md5({picked_sql(blank, 'doc_id')}) AS blanked FROM documents",
+        "script_finders": f"SELECT doc_id AS key, finder, line, col, code, f.source, names FROM documents JOIN {values(finds)} f(n, finder, line, col, code, source, names) ON doc_id % {n} = n",
+        "findings_by_place": f"SELECT doc_id AS key, rule_id, line, place FROM documents JOIN {values(list(PLACES))} f(n, rule_id, line, place) ON doc_id % {n} = n",
     }
 
 
@@ -163,7 +173,8 @@ def oracle_sql() -> dict[str, str]:
         "infrastructure_scan": infrastructure_sql(kinds, texts),
         "documents_scan": f"WITH corpus AS MATERIALIZED (SELECT doc_id AS key, {TOOL} AS language, text FROM documents WHERE text IS NOT NULL), found AS MATERIALIZED ({' UNION ALL '.join(_one(r) for r in matched(*SCANNERS) + own_rules())}) SELECT rule_id, line, count(*) AS n FROM found GROUP BY ALL",
         "user_rules_scan": user_rules_sql(),
-        "sql_scan": f"{findings(CODE, SCANNERS)} SELECT scanner, rule_id, severity, CAST({RANK} AS INTEGER) AS grade, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found WHERE {RANK} >= 2 GROUP BY ALL",
+        "version_intervals": versions_sql(),
+        "sql_scan": f"{findings(CODE, SCANNERS).replace('o_orderkey', 'doc_id').replace('FROM orders', 'FROM documents')} SELECT scanner, rule_id, severity, CAST({RANK} AS INTEGER) AS grade, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found WHERE {RANK} >= 2 GROUP BY ALL",
         "sarif_by_file": f"{ALL}, f AS (SELECT *, {slug} AS id, 'f' || key AS file FROM found) SELECT file, CAST(count(DISTINCT id) OVER (PARTITION BY file) AS INTEGER) AS rules, CAST(row_number() OVER (PARTITION BY file ORDER BY rule_no, i) - 1 AS INTEGER) AS place, id, CASE WHEN {RANK} >= 3 THEN 'error' WHEN {RANK} = 2 THEN 'warning' ELSE 'note' END AS level, file AS uri, line FROM f",
         "json_report": f"{ALL} SELECT severity, type, owasp_category AS \"owaspCategory\", cwe_id AS \"cweId\", count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found GROUP BY ALL",
         "owasp_groups": f"{ALL} SELECT owasp_category, count(*) AS n FROM found GROUP BY owasp_category",

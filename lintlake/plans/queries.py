@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.regex import js_to_java
-from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report, rulesets, scripts
+from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report, rulesets, scripts, versions
 from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched, rules
 from ..sources.files import selected, spread
@@ -139,7 +139,7 @@ def own_rules() -> list[Rule]:
 def sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan in plain SQL: a lateral table function over the corpus, filtered and counted."""
     register(spark)
-    corpus(spark, sf_dir, CODE).createOrReplaceTempView("lintlake_sources")
+    corpus(spark, sf_dir, CODE, table="documents").createOrReplaceTempView("lintlake_sources")
     return spark.sql("""
         SELECT f.scanner, f.rule_id, f.severity, severity_rank(f.severity) AS grade, count(*) AS n, sum(f.line) AS lines
         FROM lintlake_sources s, LATERAL scan_code(s.text, s.language) f
@@ -147,13 +147,26 @@ def sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY f.scanner, f.rule_id, f.severity""")
 
 
+def version_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package and version for each document against an advisory for each line item: how many hold, and which comes last."""
+    dotted = lambda *parts: F.concat_ws(".", *parts)
+    d = F.col("doc_id")
+    version = dotted(d % 10, d % 7, F.when(d % 17 == 0, dotted(d % 20, *[F.lit(0)] * 7, F.lit(5))).when(d % 19 == 0, dotted(F.lit("x"), F.lit("0"))).otherwise((d % 20).cast("string")))
+    uses = spark.read.parquet(f"{sf_dir}/documents.parquet").where(d.isNotNull()).select("doc_id", F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), d % 997).alias("package"), version.alias("version"))
+    o, n, q = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long") % 10
+    low, high = dotted(q, n, o % 20), dotted(q + (o % 3 == 0).cast("int"), n + 1, o % 5)
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    advisories = items.select((o * 8 + n).alias("id"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.col("l_partkey") % 997).alias("package"), F.when(o % 50 != 0, low).alias("introduced"), F.when(o % 40 != 0, high).alias("fixed"))
+    return versions.affected(uses, advisories).groupBy("doc_id", "version").agg(F.count("*").alias("n"), F.max("advisory.id").alias("last"), F.sum("advisory.id").alias("ids"))
+
+
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [(language, "".join(piece for _, piece in pieces)) for language, pieces, _ in SCRIPTS]
-    return keys(spark, sf_dir).select("key", F.concat(F.lit("f"), F.col("key")).alias("file"), picked(a for a, _ in texts).alias("language"), picked(b for _, b in texts).alias("text"))
+    return keys(spark, sf_dir, "documents").select("key", F.concat(F.lit("f"), F.col("key")).alias("file"), picked(a for a, _ in texts).alias("language"), picked(b for _, b in texts).alias("text"))
 
 
 def script_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a script for each order, what every character is, and the script with all but code blanked."""
+    """Of a script for each document, what every character is, and the script with all but code blanked."""
     found = _scripts(spark, sf_dir).withColumn("spans", scripts.script_spans("text"))
     letter = lambda s: F.when(s["kind"] == "code", ".").otherwise(F.substring(s["kind"], 1, 1))
     kinds = F.array_join(F.transform("spans", lambda s: F.repeat(letter(s), s["end"] - s["begin"])), "")
@@ -161,7 +174,7 @@ def script_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_finders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the finders over tokens find in a script for each order."""
+    """What the finders over tokens find in a script for each document."""
     return scripts.script_findings(_scripts(spark, sf_dir)).select("key", "finder", "line", F.col("column").alias("col"), "code", "source", F.array_join("names", ",").alias("names"))
 
 
@@ -250,6 +263,7 @@ def queries() -> dict[str, Query]:
         "diff_lines": lambda spark, d: _fixes(spark, d).select("key", "diff"),
         "documents_scan": documents_scan,
         "user_rules_scan": user_rules_scan,
+        "version_intervals": version_intervals,
         "script_spans": script_spans,
         "script_finders": script_finders,
         "findings_by_place": findings_by_place,
