@@ -18,9 +18,13 @@ INSIDE = {r"\s": SPACE, r"\/": "/", "[": r"\[", "&": r"\&"}
 
 
 def _edge(before: str, after: str) -> str:
-    r"""``\b`` between two pieces: one look suffices where a neighbour is a letter or digit."""
-    if re.fullmatch(WORD, after):
-        return f"(?<!{WORD})"
+    r"""``\b`` between two pieces: one look suffices where a neighbour is a letter or digit for sure.
+
+    after: the rest of the pattern.  Letters that must follow are looked at first, which few places of a text pass; the look back is dear.
+    """
+    run = re.match(f"(?:{WORD}(?![?*{{])){{0,4}}", after)[0]
+    if run:
+        return f"(?={run})(?<!{WORD})"
     return f"(?!{WORD})" if re.fullmatch(WORD, before) else EDGE
 
 
@@ -38,7 +42,7 @@ def js_to_java(pattern: str, flags: str = "") -> str:
             out.append("[^" if negated else "[")
             at, inside = at + negated, True
         elif piece == r"\b":
-            out.append(_edge(before, pattern[at : at + 1]))
+            out.append(_edge(before, pattern[at:]))
         elif piece == "." and "s" not in flags:
             out.append(f"[^{BREAKS}]")
         elif piece == "^" and "m" in flags:

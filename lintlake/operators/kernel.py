@@ -2,8 +2,8 @@
 
 Which rules fire in a text is told first: literals that a match must hold are looked up before any pattern runs.
 Then a row per text and rule that fires goes through the rest, so that a row holds one copy of its text however
-many rules fire.  A match's line comes from that copy with a mark before each match: split into lines, a
-line holds as many marks as matches begin in it.  That is linear in the text and the matches.
+many rules fire.  A copy with a mark before and after each match tells the rest: what stands between two marks is a match, and split into
+lines, a line holds as many first marks as matches begin in it.  That is one run of the pattern, linear in the text and the matches.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from ..functions.regex import SPACE, required
 from ..functions.text import quoted, severity_rank, trimmed_sql
 from ..rules.catalogue import KINDS, RULE, Rule, dimension
 
-# A private-use character, and the one that stands for it in the marked copy of a text that has it.
-MARK, STAND_IN = chr(0xE000), chr(0xE001)
+# Private-use characters before and after a match, and the one that stands for them in the marked copy of a text that has one.
+MARK, END, STAND_IN = chr(0xE000), chr(0xE002), chr(0xE001)
 # Words that tell that a line cleans what it shows.
 CLEANERS = "sanitize|escape|encode|xss|htmlspecialchars|htmlentities"
 
@@ -66,16 +66,18 @@ def matches_sql(rule: str = "", text: str = "text", language: str = "language",
 
     rule: what stands before the names of the rule's fields pattern, scanner and snippet.  begins: with ``begin``, the characters before each match.
     """
-    mark, pattern, scanner, snippet = quoted(MARK), f"{rule}pattern", f"{rule}scanner", f"{rule}snippet"
-    marked = f"regexp_replace(translate({text}, {mark}, {quoted(STAND_IN)}), {pattern}, {quoted(MARK + '$0')})"
-    lines = f"filter(transform(split({marked}, '\\n'), (line, i) -> struct(i + 1 AS line, line AS text)), x -> contains(x.text, {mark}))"
-    own = f"replace(l.text, {mark}, '')"
+    first, last, pattern, scanner, snippet = quoted(MARK), quoted(END), f"{rule}pattern", f"{rule}scanner", f"{rule}snippet"
+    odd = f"(contains({text}, {first}) OR contains({text}, {last}))"
+    marked = f"regexp_replace(IF({odd}, translate({text}, {quoted(MARK + END)}, {quoted(STAND_IN * 2)}), {text}), {pattern}, {quoted(MARK + '$0' + END)})"
+    found = f"IF({odd}, regexp_extract_all({text}, {pattern}, 0), transform(slice(split(k, {first}), 2, length(k)), p -> substring_index(p, {last}, 1)))"
+    lines = f"filter(transform(split(k, '\\n'), (line, i) -> struct(i + 1 AS line, line AS text)), x -> contains(x.text, {first}))"
+    own = f"translate(l.text, {quoted(MARK + END)}, '')"
     place = f"struct(l.line AS line, {_comment_sql(own, language, scanner)} AS comment, {scanner} = 'xss' AND lower({own}) RLIKE '{CLEANERS}' AS cleans, IF({snippet} < 0, {trimmed_sql(own)}, NULL) AS shown)"
-    places = f"flatten(transform({lines}, l -> array_repeat({place}, CAST(length(l.text) - length({own}) AS int))))"
-    shown = f"CASE WHEN {snippet} = -80 THEN substring(z.`1`.shown, 1, 80) WHEN {snippet} < 0 THEN z.`1`.shown WHEN {snippet} > 0 THEN substring(z.f, 1, {snippet}) ELSE z.f END"
-    begin = f"aggregate(transform(slice(split({marked}, {mark}), 1, i + 1), p -> length(p)), 0, (a, b) -> a + b) AS begin, " * begins
-    each = f"transform(arrays_zip(f, {places}), (z, i) -> struct({begin}i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
-    return f"flatten(transform(filter(array(regexp_extract_all({text}, {pattern}, 0)), f -> size(f) > 0), f -> filter({each}, m -> NOT m.out)))"
+    places = f"flatten(transform({lines}, l -> array_repeat({place}, CAST(length(l.text) - length(replace(l.text, {first}, '')) AS int))))"
+    shown = f"CASE WHEN {snippet} = -80 THEN substring(z.`1`.shown, 1, 80) WHEN {snippet} < 0 THEN z.`1`.shown WHEN {snippet} > 0 THEN substring(z.`0`, 1, {snippet}) ELSE z.`0` END"
+    begin = f"aggregate(transform(slice(split(k, {first}), 1, i + 1), p -> length(p)), -i, (a, b) -> a + b) AS begin, " * begins
+    each = f"transform(arrays_zip({found}, {places}), (z, i) -> struct({begin}i AS seq, z.`1`.line AS line, {shown} AS match, z.`1`.comment OR z.`1`.cleans AS out))"
+    return f"flatten(transform(filter(array({marked}), k -> contains(k, {first})), k -> filter({each}, m -> NOT m.out)))"
 
 
 def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, begins: bool = False, without: tuple[str, ...] = ()) -> DataFrame:

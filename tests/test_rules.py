@@ -99,10 +99,19 @@ def test_unicode_as_in_ecmascript(spark):
 
 
 def test_translation():
-    assert js_to_java(r"\beval") == "(?<![A-Za-z0-9_])eval" and js_to_java(r"22\b") == "22(?![A-Za-z0-9_])" and "|" in js_to_java(r"[1-6]\b") and js_to_java("^a$", "m").startswith("(?<![^")
+    assert js_to_java(r"\beval") == "(?=eval)(?<![A-Za-z0-9_])eval" and js_to_java(r"22\b") == "22(?![A-Za-z0-9_])" and "|" in js_to_java(r"[1-6]\b") and js_to_java("^a$", "m").startswith("(?<![^")
     assert js_to_java("a.b", "s") == "(?s)a.b" and js_to_java("[.]") == "[.]" and js_to_java("a/") == "a/" and "\\u00A0" in js_to_java(r"\s") and js_to_java("[^[]") == r"[^\[]"
 
 
+def test_edges_before_letters_that_may_be_absent(spark):
+    """``\\b`` as scripts have it, against Python's own over ASCII texts."""
+    texts = ["a-", "-a", "xa-", "ab", "xab", "x-", "aab", "b", "abcde", "-", "a b"]
+    patterns = [r"\ba?-", r"\bab*", r"\ba+b", r"\ba{0,1}b", r"\babcde", r"\bab?c?", r"x\b", r"\b", r"a\b|\bb"]
+    rows = spark.createDataFrame([(t, p, js_to_java(p)) for t in texts for p in patterns], "t string, p string, j string")
+    for r in rows.select("t", "p", F.expr("regexp_extract_all(t, j, 0)").alias("m")).collect():
+        assert r.m == [x[0] for x in re.finditer(r.p, r.t, re.A)], (r.t, r.p)
+
+
 def test_snippets_and_empty_tables(spark):
     long = "query('SELECT " + "x" * 200 + "+ req.body"
     row = kernel.scan(sources(spark, [("f", "javascript", long)]), matched("injection")).first()
