@@ -214,7 +214,7 @@ def test_markdown_charts_and_tools(mixed, found, spark):
     assert text.count("| eval() Usage |") == 1 and "eval()" not in lines(report.markdown(found, "file", recommendations=False)) and "### A03:2021" in lines(report.markdown(found, "category"))
     assert "No findings" in lines(report.markdown(found.where("false")))
     chart = report.flowchart(found)
-    assert "Recon --> Secrets" in chart and "AuthBypass" not in chart and "Recon --> WeakCrypto" in chart and chart.count("--> Impact") == 2
+    assert "outside --> secrets_in" in chart and "auth_in" not in chart and "outside --> crypto_in" in chart and chart.count("_out(") == 2 and "2 of 5" in chart
     kinds = spark.createDataFrame([("SQL Injection",), ("OAuth State",), ("Stripe Secret Key",)], "type string")
     assert analytics.attack_surface(kinds).first().asDict() == {"injection": True, "xss": False, "auth": True, "secrets": True, "crypto": False}
     board = report.dashboard(found)
