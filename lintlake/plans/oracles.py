@@ -138,6 +138,12 @@ def scripts_sql() -> dict[str, str]:
     }
 
 
+IMPORTED = """
+WITH items AS (SELECT doc_id AS key, source, n_chars, unnest(range(doc_id % 5)) AS k FROM documents WHERE doc_id % 7 <> 0)
+SELECT key, 'sarif' AS scanner, 'src/' || key || '.js' AS file, 'R' || k AS rule_id, CAST(k AS INTEGER) AS match_seq, 'R' || k AS type, ['high', 'medium', 'low', 'medium'][(key + k) % 4 + 1] AS severity, source AS message, CAST(n_chars + k AS INTEGER) AS line, NULL AS "match" FROM items WHERE key % 2 = 0
+UNION ALL SELECT key, 'audit', 'r' || key, 'pkg' || k, CAST(k AS INTEGER), 'Vulnerable Package', ['critical', 'medium', 'low', 'low'][(key + k) % 4 + 1], coalesce(source, 'A vulnerability was found.'), NULL, '<' || k FROM items WHERE key % 2 = 1"""
+
+
 def user_rules_sql() -> str:
     """Words of each line joined with the word of each rule, then the rule's pattern over that line."""
     patterns = " ".join(f"WHEN {k} THEN {literal((f'(?{flags})' if flags else '') + p)}" for k, (flags, p) in enumerate(WORD_RULES))
@@ -175,6 +181,8 @@ def oracle_sql() -> dict[str, str]:
         "user_rules_scan": user_rules_sql(),
         "version_intervals": versions_sql(),
         "sql_scan": f"{findings(CODE, SCANNERS).replace('o_orderkey', 'doc_id').replace('FROM orders', 'FROM documents')} SELECT scanner, rule_id, severity, CAST({RANK} AS INTEGER) AS grade, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found WHERE {RANK} >= 2 GROUP BY ALL",
+        "imported_reports": IMPORTED,
+        "findings_sketched": f"{findings(CODE, ('injection', 'xss', 'crypto', 'auth', 'path')).replace('o_orderkey', 'doc_id').replace('FROM orders', 'FROM documents')} SELECT severity, count(*) AS n, count(DISTINCT key) AS files_exact, count(DISTINCT rule_id) AS rules_exact, true AS files_near, true AS rules_near FROM found GROUP BY severity",
         "sarif_by_file": f"{ALL}, f AS (SELECT *, {slug} AS id, 'f' || key AS file FROM found) SELECT file, CAST(count(DISTINCT id) OVER (PARTITION BY file) AS INTEGER) AS rules, CAST(row_number() OVER (PARTITION BY file ORDER BY rule_no, i) - 1 AS INTEGER) AS place, id, CASE WHEN {RANK} >= 3 THEN 'error' WHEN {RANK} = 2 THEN 'warning' ELSE 'note' END AS level, file AS uri, line FROM f",
         "json_report": f"{ALL} SELECT severity, type, owasp_category AS \"owaspCategory\", cwe_id AS \"cweId\", count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM found GROUP BY ALL",
         "owasp_groups": f"{ALL} SELECT owasp_category, count(*) AS n FROM found GROUP BY owasp_category",

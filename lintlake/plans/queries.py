@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.regex import js_to_java
-from ..operators import analytics, dependencies, enrich, iac, kernel, remediate, report, rulesets, scripts, versions
+from ..operators import analytics, dependencies, enrich, iac, imports, kernel, remediate, report, rulesets, scripts, versions
 from ..rules.catalogue import CODE as SCANNERS
 from ..rules.catalogue import Rule, matched, rules
 from ..sources.files import selected, spread
@@ -184,6 +184,28 @@ def findings_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("rule_id IN ('XSS-02', 'XSS-13', 'INJ-02')").select("key", "rule_id", "line", "place")
 
 
+def imported_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of another tool for each document, of two shapes, with up to four items: what the mapping makes of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").selectExpr("doc_id AS key", "source", "n_chars", "slice(array(0, 1, 2, 3), 1, CAST(doc_id % 5 AS int)) AS ks")
+    where = "named_struct('artifactLocation', named_struct('uri', concat('src/', key, '.js')), 'region', named_struct('startLine', n_chars + k))"
+    result = f"named_struct('ruleId', concat('R', k), 'level', get(array('error', 'warning', 'note'), CAST((key + k) % 4 AS int)), 'message', named_struct('text', source), 'locations', array(named_struct('physicalLocation', {where})))"
+    package = "struct(concat('pkg', k), named_struct('severity', get(array('critical', 'moderate', 'odd'), CAST((key + k) % 4 AS int)), 'via', array(named_struct('title', source)), 'range', concat('<', k)))"
+    sarif = f"to_json(named_struct('runs', array(named_struct('results', transform(ks, k -> {result})))))"
+    audit = f"to_json(named_struct('vulnerabilities', map_from_entries(transform(ks, k -> {package}))))"
+    reports = spread(docs).selectExpr("key", "concat('r', key) AS file", "IF(key % 2 = 0, 'sarif', 'audit') AS tool", f"CASE WHEN key % 7 = 0 THEN 'no report' WHEN key % 2 = 0 THEN {sarif} ELSE {audit} END AS text")
+    found = imports.imported(reports, imports.mapping(spark))
+    return found.select("key", "scanner", "file", "rule_id", "match_seq", "type", "severity", "message", "line", "match")
+
+
+def findings_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scans' sketches by severity, merged without the findings, beside the exact counts: whether they are as near as promised."""
+    found = kernel.scan(corpus(spark, sf_dir, CODE, table="documents"), matched("injection", "xss", "crypto", "auth", "path"))
+    kept = analytics.sketched(found.withColumn("scan", F.col("key") % 3), "scan", "severity")
+    exact = found.groupBy("severity").agg(F.count_distinct("file").alias("files_exact"), F.count_distinct("rule_id").alias("rules_exact"))
+    near = lambda c: (F.abs(F.col(c) - F.col(f"{c}_exact")) <= F.col("error") * F.col(f"{c}_exact")).alias(f"{c}_near")
+    return analytics.merged(kept, "severity").join(exact, "severity").select("severity", "n", "files_exact", "rules_exact", near("files"), near("rules"))
+
+
 #: A pattern of each kind for a word: alone, before a stop in any case, before a small word.
 WORD_RULES = (("", r"\b{}\b"), ("i", r"\b{}[.,]"), ("", r"\b{} (?:a|de|die|en|in|la|le|the)\b"))
 
@@ -268,5 +290,7 @@ def queries() -> dict[str, Query]:
         "script_finders": script_finders,
         "findings_by_place": findings_by_place,
         "sql_scan": sql_scan,
+        "imported_reports": imported_reports,
+        "findings_sketched": findings_sketched,
     }
     return out
