@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import is_example, masked
-from .operators import iac, report, rulesets, scripts
+from .operators import enrich, iac, imports, report, rulesets, scripts
 from .operators.dependencies import dependency_findings
 from .operators.kernel import FINDING, scan
 from .operators.remediate import suggestions
@@ -73,6 +73,11 @@ def scan_rules(sources: DataFrame, rules: DataFrame) -> DataFrame:
     return rulesets.scan_rules(code.select("file", "language", "text"), rules).select(*FINDING)
 
 
+def import_reports(reports: DataFrame, *rows: tuple) -> DataFrame:
+    """Findings of other tools' reports (tool, file, text: JSON) by the known mapping and further rows of one."""
+    return imports.imported(reports, imports.mapping(reports.sparkSession, *rows))
+
+
 def find_in_scripts(sources: DataFrame) -> DataFrame:
     """What the finders over tokens find in scripts: innerHTML, sql, eval, secret and import, with line and column."""
     return scripts.script_findings(sources.select("file", "language", "text"))
@@ -87,14 +92,20 @@ def kept(found: DataFrame) -> DataFrame:
     return found.checkpoint() if found.sparkSession.conf.get("spark.checkpoint.dir", None) else found.persist()
 
 
-def security_report(sources: DataFrame, format: str = "both") -> dict[str, DataFrame]:
-    """markdown: the lines of dashboard and detailed list; sarif: a document per file.  The sources are scanned once."""
+def security_report(sources: DataFrame, format: str = "both", more: DataFrame | None = None, vulnerabilities: DataFrame | None = None) -> dict[str, DataFrame]:
+    """markdown: the lines of dashboard and detailed list; sarif: a document per file.  The sources are scanned once.
+
+    more: further findings, say those of ``import_reports``.  vulnerabilities: id and score; what is known of the ids in ``cve_ids`` of ``more`` goes into the detailed list.
+    """
     if format not in ("markdown", "sarif", "both"):
         raise ValueError(f"no such format: {format}")
-    found, out = kept(scan_all(sources)), {}
+    found, out = scan_all(sources), {}
+    if more is not None:
+        found = found.unionByName(more.select(*FINDING, *(["cve_ids"] if "cve_ids" in more.columns else [])), allowMissingColumns=True)
+    found = kept(found)
     if format != "sarif":
         head = sources.sparkSession.createDataFrame([(report.dashboard(found) + "\n\n---\n",)], "line string")
-        out["markdown"] = head.union(report.detailed(found))
+        out["markdown"] = head.union(report.detailed(enrich.resolved(found, vulnerabilities) if vulnerabilities is not None and "cve_ids" in found.columns else found))
     if format != "markdown":
         out["sarif"] = report.sarif_by_file(found)
     return out

@@ -50,3 +50,14 @@ def with_vulnerabilities(findings: DataFrame, vulnerabilities: DataFrame, key: s
     ids = findings.select(key, F.explode("cve_ids").alias("id"))
     known = ids.join(vulnerabilities, "id").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("id", "score"))).alias("cves"))
     return findings.join(known, key, "left")
+
+
+def resolved(findings: DataFrame, vulnerabilities: DataFrame) -> DataFrame:
+    """Findings with ``cves``, what is known of the ids in ``cve_ids``; null where there are no ids or none is known.
+
+    Each set of ids is looked up once, however many findings name it; findings without ids take no part in the joins.
+    """
+    some = F.coalesce(F.size("cve_ids") > 0, F.lit(False))
+    named, rest = findings.where(some), findings.where(~some)
+    known = with_vulnerabilities(named.select("cve_ids").distinct(), vulnerabilities, "cve_ids")
+    return named.join(known, "cve_ids", "left").unionByName(rest, allowMissingColumns=True).select(*findings.columns, "cves")

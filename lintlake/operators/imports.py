@@ -70,14 +70,14 @@ def by_tool(rows: DataFrame) -> DataFrame:
 
 
 def imported(reports: DataFrame, rows: DataFrame) -> DataFrame:
-    """Findings that reports (tool, file, text: JSON) hold, by the rows of a mapping (MAPPING): FINDING columns, the other columns of ``reports``, and the item itself as a VARIANT named ``item``.
+    """Findings that reports (tool, file, text: JSON) hold, by the rows of a mapping (MAPPING): FINDING columns, the other columns of ``reports``, the CVE ids named in the item as ``cve_ids``, and the item itself as a VARIANT named ``item``.
 
     Map-only: a report is parsed once, its items are gone through in one expression, no field has a plan of its own, and no Python runs.  ``match_seq`` numbers the
     items of a report; ``scanner`` is the tool.  A field without a row, or of which no row has anything, is null, but for ``file`` (then
     the report's own) and ``severity`` (then low, as for a word that is none of the known four).  Text that is no JSON, null text, and tools without a mapping give no findings;
-    ``unmapped`` lists these.  Other columns that are named like those of FINDING, or ``item``, are left out.
+    ``unmapped`` lists these.  Other columns that are named like those of FINDING, ``cve_ids`` or ``item`` are left out.
     """
-    others = [c for c in reports.columns if c not in ("tool", "text", "item", *FINDING)]
+    others = [c for c in reports.columns if c not in ("tool", "text", "cve_ids", "item", *FINDING)]
     rest = F.struct(*(reports[c] for c in others)) if others else F.lit(None).cast("string")
     known = by_tool(rows)
     if len(rows.head(MOST + 1)) <= MOST:
@@ -89,8 +89,9 @@ def imported(reports: DataFrame, rows: DataFrame) -> DataFrame:
     out = told.withColumns({
         "file": F.coalesce("file", "own"), "scanner": F.col("tool"), "rule_no": F.lit(950), "line": F.expr("try_cast(line AS int)"),
         "severity": F.when(graded.isin(*SEVERITIES), graded).otherwise("low"), "metadata": F.when(F.lit(False), metadata()),
+        "cve_ids": F.expr(r"array_sort(array_distinct(regexp_extract_all(to_json(item), r'CVE-\d{4}-\d{4,}', 0)))"),
     }).withColumn("severity_rank", severity_rank(F.col("severity")))
-    return out.select(*FINDING, *(F.col("rest")[c].alias(c) for c in others), "item")
+    return out.select(*FINDING, *(F.col("rest")[c].alias(c) for c in others), "cve_ids", "item")
 
 
 def unmapped(reports: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lintlake import api
 from lintlake.operators import analytics, imports
 from lintlake.operators.kernel import FINDING
 
@@ -46,7 +47,7 @@ def test_imports_equal_a_walk(spark):
     rows = [("own", f, json.dumps(r), i) for i, (f, r) in enumerate(reports.items())] + [("own", "bad", "{", 0), ("own", "none", None, 0), ("other", "o", "{}", 0)]
     df = spark.createDataFrame(rows, "tool string, file string, text string, extra int")
     got = imports.imported(df, imports.mapping(spark, *OWN))
-    assert got.columns == [*FINDING, "extra", "item"]
+    assert got.columns == [*FINDING, "extra", "cve_ids", "item"]
     seen = sorted((r.file, r.match_seq, r.rule_id, r.severity) for r in got.select("file", "match_seq", "rule_id", "severity").collect())
     assert seen == sorted((f, *x) for f, r in reports.items() for x in walked(r)) and len(seen) > 100
     lost = imports.unmapped(df, imports.mapping(spark, *OWN))
@@ -88,3 +89,15 @@ def test_sketches_of_nothing(spark):
     nulls = spark.createDataFrame([(None, None, None), (None, "r", None)], "file string, rule_id string, severity string")
     row = analytics.merged(analytics.sketched(nulls, "severity"), "severity").first()
     assert (row.severity, row.n, row.files, row.rules) == (None, 2, 0, 1)
+
+
+def test_the_report_resolves_ids_of_imported_findings(spark):
+    package = lambda *ids: {"severity": "high", "via": [{"title": "t", "url": f"https://x.org/{i}"} for i in ids]}
+    text = json.dumps({"vulnerabilities": {"p": package("CVE-2020-0001", "CVE-2021-12345"), "q": package("CVE-2021-12345", "CVE-2021-12345"), "r": package("CVE-1999-9999"), "s": package()}})
+    found = api.import_reports(spark.createDataFrame([("audit", "lock", text)], "tool string, file string, text string"))
+    assert [r.cve_ids for r in found.orderBy("match_seq").collect()] == [["CVE-2020-0001", "CVE-2021-12345"], ["CVE-2021-12345"], ["CVE-1999-9999"], []]
+    known = spark.createDataFrame([("CVE-2020-0001", 9.8), ("CVE-2021-12345", None)], "id string, score double")
+    sources = spark.createDataFrame([("a.js", "javascript", "code", "eval(x);")], "file string, language string, kind string, text string")
+    lines = "\n".join(r.line for r in api.security_report(sources, "markdown", found, known)["markdown"].collect())
+    assert lines.count("CVE-2020-0001** (CVSS: 9.8)") == 1 and lines.count("CVE-2021-12345** (CVSS: N/A)") == 2 and "CVE-1999" not in lines
+    assert "eval" in lines and lines.count("Vulnerable Package") >= 4
