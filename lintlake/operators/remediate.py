@@ -38,8 +38,13 @@ def parameterized(code: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), fixed.alias("call")), lambda x: F.array(x["gap"], F.coalesce(x["call"], F.lit(""))))), "")
 
 
-#: Types that scripts are mended for by their tokens, where no template changes anything.
-REWRITTEN = ("innerHTML Assignment", "eval() Usage", "Insecure Random (Math.random)")
+#: Types that scripts are mended for by their tokens, where no template changes anything, and the name without which no token is changed.
+REWRITTEN = {"innerHTML Assignment": "innerHTML", "eval() Usage": "eval", "Insecure Random (Math.random)": "random"}
+
+
+def lexable(code: Column, kind: Column) -> Column:
+    """The code if it has the name that a fix by tokens looks for, else null: no other script has to be lexed."""
+    return F.coalesce(*(F.when((kind == k) & F.contains(code, F.lit(name)), code) for k, name in REWRITTEN.items()))
 
 
 def template_edits(code: Column, pattern: Column, made: Callable[[Column], Column]) -> Column:
@@ -120,7 +125,7 @@ def suggestions(issues: DataFrame, only_code: bool = False) -> DataFrame:
         issues = issues.withColumn("__spans", script_spans(F.when(script, code)))
         template = F.when(script, fixed_in_code(code, kind, language, F.col("__spans"))).otherwise(template)
     tried = issues.select("*", explanation(issues).alias("explanation"), F.when(template != code, template).alias("by_template"))
-    wanted = F.when(F.col("by_template").isNull() & script & kind.isin(*REWRITTEN), code)
+    wanted = F.when(F.col("by_template").isNull() & script, lexable(code, kind))
     tried = tried.withColumn("__edits", script_edits(wanted, kind))
     tried = tried.withColumn("by_rewriting", F.when(F.size("__edits") > 0, spliced(code, F.col("__edits"))))
     tried = tried.withColumn("fixed_code", F.coalesce("by_template", "by_rewriting"))

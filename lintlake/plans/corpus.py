@@ -89,9 +89,13 @@ def picked(values: Iterable[str | None]) -> Column:
     return F.expr(f"get(array({', '.join(map(quoted, values))}), CAST(key % {len(values)} AS int))")
 
 
+#: Keys of which a task makes texts.
+TASK = 20_000
+
+
 def keys(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:
-    """The keys of the orders or documents, spread over the cores before any text is made of them."""
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col({"orders": "o_orderkey", "documents": "doc_id"}[table]).alias("key")))
+    """The keys of the orders or documents, spread over the cores before any text is made of them, TASK to a task."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col({"orders": "o_orderkey", "documents": "doc_id"}[table]).alias("key")), TASK)
 
 
 def corpus(spark: SparkSession, sf_dir: str, snippets: tuple, comment: str = "// order ", table: str = "orders") -> DataFrame:

@@ -55,13 +55,15 @@ def target(spark: SparkSession, path: str, include: tuple[str, ...] = INCLUDE, e
     return single(spark, path) if _is_file(spark, path) else folder(spark, path, include, exclude)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows of a table that Spark reads in fewer splits than the cluster has cores, dealt out evenly: small tables whose only row group would be one task's work.
 
-    Splits are counted, not files, so that a table of few large files is read as it is.
+    Splits are counted, not files, so that a table of few large files is read as it is.  rows: what a task should get at most, for narrow rows that much is made
+    of: a split of keys is some millions of texts, so that a table which grows would make its tasks longer and not more.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    wanted = max(cores, -(-df.count() // rows) if rows else 0)
+    return df.repartition(wanted) if splits < wanted else df
 
 
 def single(spark: SparkSession, path: str) -> DataFrame:
