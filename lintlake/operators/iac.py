@@ -80,7 +80,9 @@ def _parsed(text: str | None) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def yaml_documents(texts: pd.Series) -> pd.Series:
-    return texts.map(_parsed)
+    """The documents of each text; of texts that are equal in a batch, copies of one manifest, one is read."""
+    own = {t: _parsed(t) for t in texts.dropna().unique()}
+    return texts.map(lambda t: own.get(t, []))
 
 
 # Kinds that are checked.
