@@ -91,13 +91,17 @@ def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, b
     others = [c for c in sources.columns if c not in ("text", *FINDING, *without)]
     rest = F.struct(*(sources[c] for c in others)) if others else F.lit(None).cast("string")
     texts = sources.where(F.col("text").isNotNull()).select("file", "language", "text", rest.alias("rest"), F.lower("text").alias("lowered"), (F.lit(None).cast(CHECKS) if checks is None else checks).alias("checks"))
-    hits = F.expr(f"array_compact(CAST(array({', '.join(f'IF({fires(r)}, {i}, NULL)' for i, r in enumerate(listed))}) AS array<int>))")
+    # Which rules fire is told in a projection of its own.  The filter in it (of nothing, to nothing) keeps it out of whole-stage code, where all rules would be
+    # one method, too long for the JVM to compile; inside the generator they would be interpreted.
+    fired = F.concat(F.expr(f"CAST(array({', '.join(f'IF({fires(r)}, {i}, NULL)' for i, r in enumerate(listed))}) AS array<int>)"), F.filter(F.array(F.lit(None).cast("int")), lambda i: i.isNotNull()))
+    texts = texts.select("file", "language", "text", "rest", "checks", fired.alias("fired"))
     nothing = F.lit(None).cast(f"struct<{CHECKED}>")
-    items = F.transform(hits, lambda i: F.struct(i.alias("hit"), nothing.alias("c")))
+    items = F.transform(F.array_compact("fired"), lambda i: F.struct(i.alias("hit"), nothing.alias("c")))
     if checks is not None:
         items = F.concat(items, F.transform("checks", lambda c: F.struct(F.lit(None).cast("int").alias("hit"), c.alias("c"))))
     known = F.broadcast(dimension(sources.sparkSession, listed))  # a row a rule
-    hit = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item")).select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "inner" if checks is None else "left")
+    each = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item"))
+    hit = each.select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "inner" if checks is None else "left")
 
     return findings_of(hit, others, begins)
 
