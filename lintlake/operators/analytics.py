@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEVERITIES, severity_rank
+from ..sources.files import kept
 from .kernel import ORDER
 
 
@@ -14,9 +15,14 @@ def short_type(kind: Column) -> Column:
     return F.when(F.instr(kind, ":") > 1, F.trim(F.substring_index(kind, ":", 1))).otherwise(kind)
 
 
+def counts() -> list[Column]:
+    """total and a count per severity."""
+    return [F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES)]
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """One row: total and a count per severity."""
-    return findings.agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+    return findings.agg(*counts())
 
 
 def by_severity(findings: DataFrame) -> DataFrame:
@@ -64,8 +70,9 @@ def files_over(findings: DataFrame, severity: str) -> DataFrame:
 def first_of_each(findings: DataFrame, n: int | dict[str, int] = 5) -> DataFrame:
     """The first n findings of each severity (or as many as the severity's own n), numbered, with how many more there are.
 
-    Numbers above the largest n are dropped task by task before anything is gathered.
+    Numbers above the largest n are dropped task by task before anything is gathered.  The findings are kept, as they are both counted and numbered.
     """
+    findings = kept(findings)
     most = n if isinstance(n, dict) else dict.fromkeys(SEVERITIES, n)
     limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in most.items() for x in pair)), F.col("severity")), F.lit(0))
     counts = by_severity(findings).withColumn("more", F.greatest(F.col("n") - limit, F.lit(0))).drop("n")
@@ -87,9 +94,9 @@ def pod_standards(findings: DataFrame) -> DataFrame:
     return findings.agg(*(F.count_if(F.col("metadata.pss") == p).alias(p) for p in ("baseline", "restricted")))
 
 
-def summary_of_scan(sources: DataFrame, findings: DataFrame) -> Row:
-    """files (that were read), total, and a count per severity."""
-    return Row(files=sources.agg(F.count_distinct("file")).first()[0], **summary(findings).first().asDict())
+def summary_of_scan(sources: DataFrame, findings: DataFrame, *more: Column) -> Row:
+    """files (that were read), total, a count per severity, and ``more`` aggregates of the same pass over the findings."""
+    return Row(files=sources.agg(F.count_distinct("file")).first()[0], **findings.agg(*counts(), *more).first().asDict())
 
 
 def rollup(findings: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.repartition(wanted) if splits < wanted else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, worked out once for all that is read of them: a table below spark.checkpoint.dir; where that is not set, held by the executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def single(spark: SparkSession, path: str) -> DataFrame:
     """One file; neither included nor excluded names count."""
     read = spark.read.text(path, wholetext=True)
