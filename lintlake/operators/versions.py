@@ -29,12 +29,8 @@ def _bin(key: Column, cuts: Column) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda c: c <= key)), F.lit(0))
 
 
-def affected(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Every dependency beside every advisory that holds for it: the columns of ``dependencies`` (ecosystem, package, version and others), and ``advisory``, a struct of all columns of the advisory.
-
-    advisories: ecosystem, package, introduced, fixed and others, any number of rows.  A null version is held by advisories
-    without bounds only; rows without an ecosystem or package have none; repeated rows on either side count each; empty tables give no rows.
-    """
+def _held(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """__ecosystem, __package, __version, advisory: every distinct version beside every advisory that holds for it."""
     name = ["ecosystem", "package"]
     known = advisories.select(*(F.col(c).alias(f"__{c}") for c in name), version_key(F.col("introduced")).alias("__lo"), version_key(F.col("fixed")).alias("__hi"), F.struct(*advisories.columns).alias("advisory"))
     versions = dependencies.select(*(F.col(c).alias(f"__{c}") for c in name), F.col("version").alias("__version")).distinct()
@@ -52,6 +48,31 @@ def affected(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     binned = known.join(cuts, own, "left").select(*own, "__lo", "__hi", "advisory", F.explode(reach).alias("__bin"))
     inside = (F.col("__lo").isNull() | (F.col("__lo") <= F.col("__key"))) & (F.col("__hi").isNull() | (F.col("__key") < F.col("__hi")))
     free = F.col("__lo").isNull() & F.col("__hi").isNull()
-    held = placed.join(binned, [*own, "__bin"]).where(F.coalesce(inside, free)).select(*own, "__version", "advisory")
-    joined = dependencies.join(held, (F.col("ecosystem") == F.col("__ecosystem")) & (F.col("package") == F.col("__package")) & F.col("version").eqNullSafe(F.col("__version")))
+    return placed.join(binned, [*own, "__bin"]).where(F.coalesce(inside, free)).select(*own, "__version", "advisory")
+
+
+def _beside(dependencies: DataFrame, held: DataFrame) -> DataFrame:
+    """The dependencies beside what is held of their version."""
+    return dependencies.join(held, (F.col("ecosystem") == F.col("__ecosystem")) & (F.col("package") == F.col("__package")) & F.col("version").eqNullSafe(F.col("__version")))
+
+
+def affected(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Every dependency beside every advisory that holds for it: the columns of ``dependencies`` (ecosystem, package, version and others), and ``advisory``, a struct of all columns of the advisory.
+
+    advisories: ecosystem, package, introduced, fixed and others, any number of rows.  A null version is held by advisories
+    without bounds only; rows without an ecosystem or package have none; repeated rows on either side count each; empty tables give no rows.
+    """
+    joined = _beside(dependencies, _held(dependencies, advisories))
     return joined.select(*(dependencies[c] for c in dependencies.columns), "advisory")
+
+
+def affected_totals(dependencies: DataFrame, advisories: DataFrame, value: str) -> DataFrame:
+    """Every dependency for which an advisory holds, with ``n`` advisories, and ``last`` and ``sum``: the greatest and the sum of their ``value``; the rows count as in ``affected``.
+
+    Totals of equal intervals are made before the join, and totals of a version before the dependencies come to it: what is joined are the distinct
+    intervals and versions of a package, however many advisories and uses there are of each.
+    """
+    totals = lambda n, last, sum_: (F.sum(n).alias("n"), F.max(last).alias("last"), F.sum(sum_).alias("sum"))
+    equal = advisories.groupBy("ecosystem", "package", "introduced", "fixed").agg(*totals(F.lit(1), value, value))
+    held = _held(dependencies, equal).groupBy("__ecosystem", "__package", "__version").agg(*totals("advisory.n", "advisory.last", "advisory.sum"))
+    return _beside(dependencies, held).select(*(dependencies[c] for c in dependencies.columns), "n", "last", "sum")

@@ -61,3 +61,23 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([("npm", "a", "1")], d.schema)
     assert versions.affected(d, a).count() == versions.affected(one, a).count() == 0
     assert versions.affected(d, spark.createDataFrame([("npm", "a", None, None)], a.schema)).count() == 0
+
+
+def test_totals_as_by_all_pairs(spark):
+    rng = random.Random(7)
+    maybe = lambda: rng.choice([None, "1", "1.0", "1.2", "2", "2.5", "3"])
+    d = spark.createDataFrame([(i % 40, rng.choice(["npm", None]), rng.choice(["a", "b", None]), maybe()) for i in range(60)], "id int, ecosystem string, package string, version string")
+    a = spark.createDataFrame([(j, "npm", rng.choice(["a", "b", None]), maybe(), maybe()) for j in range(80)], "note long, ecosystem string, package string, introduced string, fixed string")
+    by = ["id", "version"]
+    want = versions.affected(d, a).groupBy(*by).agg(F.count("*").alias("n"), F.max("advisory.note").alias("last"), F.sum("advisory.note").alias("sum"))
+    got = versions.affected_totals(d, a, "note").groupBy(*by).agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("sum").alias("sum"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+
+
+def test_totals_join_no_more_for_repeated_rows(spark, monkeypatch):
+    joined, held = [], versions._held
+    monkeypatch.setattr(versions, "_held", lambda *tables: joined.append(held(*tables)) or joined[-1])
+    d = spark.createDataFrame([("npm", "a", "1.5")] * 30, "ecosystem string, package string, version string")
+    a = spark.createDataFrame([(j, "npm", "a", "1", "2") for j in range(50)], "note long, ecosystem string, package string, introduced string, fixed string")
+    got = versions.affected_totals(d, a, "note").collect()
+    assert [(r.n, r.last, r.sum) for r in got] == [(50, 49, 1225)] * 30 and joined[0].count() == 1
