@@ -163,3 +163,61 @@ def required(pattern: str, most: int = 3) -> list[list[str]]:
     except (IndexError, TypeError):
         return []
     return sorted(found, key=_shortest, reverse=True)[:most] if walk.at == len(pattern) else []
+
+
+#: What may stand in a pattern of one line: escapes that take no line break, outside and inside classes, and ways to open a group.
+ONE_LINE = re.compile(r"\\[bdwS]|\\[^\w\s]|\((?:\?(?:[:=!]|<[=!]|<\w+>))?(?!\?)|[^\\\[\](\x00-\x1f]")
+MEMBER = re.compile(r"\\[dw]|\\[^\w\s]|[^\\\x00-\x1f]")
+#: What takes the line feed out of a negated class.
+FEED = re.compile(r"\\[ns]")
+
+
+def one_line(pattern: str, flags: str = "") -> bool:
+    """Whether it is sure that no match holds a line feed, and that what stands in other lines tells nothing about a match; what is not known is not sure."""
+    at = 0
+    while at < len(pattern):
+        if pattern[at] == "[":
+            at += 1
+            negated = pattern[at : at + 1] == "^"
+            at, without = at + negated, not negated
+            while pattern[at : at + 1] != "]":
+                feed = FEED.match(pattern, at) if negated else None
+                m = feed or MEMBER.match(pattern, at)
+                if not m:
+                    return False
+                at, without = m.end(), without or bool(feed)
+            if not without:
+                return False
+            at += 1
+            continue
+        m = ONE_LINE.match(pattern, at)
+        if not m or (m[0] in "^$" and "m" not in flags) or (m[0] == "." and "s" in flags):
+            return False
+        at = m.end()
+    return True
+
+
+APART = re.compile(r"\\[bsW]|[\^$]")
+
+
+def whole_words(pattern: str) -> list[str]:
+    """Words (letters, digits and underscores in a row) that any match holds and that are whole words of the text: what stands beside them in the pattern is no such character.
+
+    Looked for outside groups only, and in patterns without branches there.
+    """
+    walk, pieces = _Walk(pattern), []
+    try:
+        while walk.at < len(pattern):
+            if pattern[walk.at] in "|)":
+                return []
+            apart = APART.match(pattern, walk.at)
+            needed = walk.piece()
+            least = walk.times()
+            members = needed[0] if len(needed) == 1 and not walk.grouped and least[0] > 0 else []
+            if apart and least[0] > 0 or members and not any(re.fullmatch(WORD, c) for c in members):
+                pieces.append(" ")
+            else:
+                pieces.append(members[0] if len(members) == 1 and least == (1, True) else "\0")
+    except (IndexError, TypeError):
+        return []
+    return [run for run in "".join(pieces).split(" ")[1:-1] if re.fullmatch(f"{WORD}+", run)]

@@ -61,16 +61,18 @@ def fires(rule: Rule) -> str:
     return " AND ".join([*tests, f"text RLIKE {quoted(rule.java)}"])
 
 
-def matches_sql(rule: str = "", text: str = "text", language: str = "language", begins: bool = False) -> str:
+def matches_sql(rule: str = "", text: str = "text", language: str = "language", begins: bool = False, numbers: str = "") -> str:
     """SQL of a rule's matches in a text, as an array of (seq, line, match, out): those in comment lines are left out, and those of the xss scanner in lines that clean.
 
     rule: what stands before the names of the rule's fields pattern, scanner and snippet.  begins: with ``begin``, the characters before each match.
+    numbers: an array of the numbers of the text's lines, where it is some lines of a text; null where it is all of them.
     """
+    number = f"coalesce(get({numbers}, i), i + 1)" if numbers else "i + 1"
     first, last, pattern, scanner, snippet = quoted(MARK), quoted(END), f"{rule}pattern", f"{rule}scanner", f"{rule}snippet"
     odd = f"(contains({text}, {first}) OR contains({text}, {last}))"
     marked = f"regexp_replace(IF({odd}, translate({text}, {quoted(MARK + END)}, {quoted(STAND_IN * 2)}), {text}), {pattern}, {quoted(MARK + '$0' + END)})"
     found = f"IF({odd}, regexp_extract_all({text}, {pattern}, 0), transform(slice(split(k, {first}), 2, length(k)), p -> substring_index(p, {last}, 1)))"
-    lines = f"filter(transform(split(k, '\\n'), (line, i) -> struct(i + 1 AS line, line AS text)), x -> contains(x.text, {first}))"
+    lines = f"filter(transform(split(k, '\\n'), (line, i) -> struct({number} AS line, line AS text)), x -> contains(x.text, {first}))"
     own = f"translate(l.text, {quoted(MARK + END)}, '')"
     place = f"struct(l.line AS line, {_comment_sql(own, language, scanner)} AS comment, {scanner} = 'xss' AND lower({own}) RLIKE '{CLEANERS}' AS cleans, IF({snippet} < 0, {trimmed_sql(own)}, NULL) AS shown)"
     places = f"flatten(transform({lines}, l -> array_repeat({place}, CAST(length(l.text) - length(replace(l.text, {first}, '')) AS int))))"
@@ -106,10 +108,13 @@ def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, b
     return findings_of(hit, others, begins)
 
 
-def findings_of(hit: DataFrame, others: list[str], begins: bool = False) -> DataFrame:
-    """FINDING and ``others`` (fields of ``rest``) from rows of a text and what fires in it: a rule's fields (hit is not null), or a check's finding ``c``."""
+def findings_of(hit: DataFrame, others: list[str], begins: bool = False, numbers: str = "") -> DataFrame:
+    """FINDING and ``others`` (fields of ``rest``) from rows of a text and what fires in it: a rule's fields (hit is not null), or a check's finding ``c``.
+
+    numbers: a column of line numbers, as for ``matches_sql``.
+    """
     kept = [c for c in RULE_COLUMNS if c != "pattern"]
-    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql(begins=begins)})")).alias("m"))
+    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql(begins=begins, numbers=numbers)})")).alias("m"))
     each = each.where(F.col("hit").isNull() | F.col("m").isNotNull())
     ids = metadata(rule_id=F.col("rule_id"), cis=F.col("cis"))
     each = each.withColumns({"line": F.col("m.line"), "match": F.col("m.match"), "metadata": F.when(F.col("scanner").isin(*KINDS), ids)})

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from lintlake.functions.regex import required
+from lintlake.functions.regex import one_line, required, whole_words
 from lintlake.operators import kernel, rulesets
 from lintlake.plans.corpus import CODE, DOCKERFILE, TERRAFORM, corpus
 from lintlake.rules.catalogue import CODE as SCANNERS
@@ -76,3 +76,44 @@ def test_literals_that_a_match_must_hold(pattern, want):
 def test_keys_of_literals():
     assert rulesets.grams_of("innerHTML") == ["innerht", "nerhtml", "nnerhtm"]
     assert rulesets.grams_of("a.bcd(") == ["bcd"] and rulesets.grams_of("a.b") == [".", "a", "b"] and rulesets.grams_of("é") == [""] and rulesets.grams_of("") == [""]
+
+
+@pytest.mark.parametrize("pattern, flags, want", [
+    (r"\bword[.,]", "", True), (r"^a$", "m", True), (r"^a$", "", False), ("a.b", "", True), ("a.b", "s", False), (r"a\sb", "", False), (r"[^a]b", "", False), (r"[^\sa]b", "", True), (r"[^\na]b", "", True), (r"[\s]b", "", False),
+    (r"a(?!\n)", "", False), ("a(?![^b])", "", False), ("a(?!b)", "", True), (r"\x0a", "", False), ("a\nb", "", False), ("[\t-~]", "", False), (r"[\]x]b", "", True), (r"(?s:a.b)", "", False), (r"\Da", "", False), (r"a\Wb", "", False), ("[ab", "", False),
+])
+def test_patterns_that_stay_in_a_line(pattern, flags, want):
+    assert one_line(pattern, flags) is want
+
+
+@pytest.mark.parametrize("pattern, want", [
+    (r"\bword\b", ["word"]), (r"\bword[.,]", ["word"]), (r"a\.b_c\.d", ["b_c"]), (r"^From\s+f", ["From"]), (r"\bword[.a]", []), (r"\bword\.?", []), (r"\bwords?\b", []), (r"\bwo+\b", []), (r"\b(?:foo)\b", []), (r"x|\bfoo\b", []), (r"(?:\bfoo\b)?x", []),
+    (r"\bab\b\s*\bcd\b", ["ab", "cd"]), (r"\bfoo(?=x)", []), ("foo", []), (r"(\bfoo\b", []),
+])
+def test_words_that_are_whole_in_the_text(pattern, want):
+    assert whole_words(pattern) == want
+
+
+LINES = [
+    ("a", "go", "foo bar\nx\n  // foo.\nfoo foo, FOO.\n\nfoo"), ("b", "go", "\u212afoo \u0130foo foo\u00e9\r\nfoo\r"), ("c", "go", "foobar foo_ 1foo\nfoo"), ("d", "go", "\ue000foo\n\n\ue002foo. x"), ("e", "go", "foo\nbar"), ("f", "xss", "\n\nbar\n"), ("g", "go", "Foo\u2028foo"),
+]
+OF_LINES = [("whole", r"\bfoo\b", ""), ("stop", r"\bfoo[.,]", "i"), ("fold", r"\bFOO\b", "i"), ("start", r"^foo", "m"), ("end", "foo$", "m"), ("over", r"foo\s+bar", ""), ("dot", "foo.*", ""), ("kelvin", "\u212afoo", "i"), ("both", "foo[^\\n]*bar", ""), ("not", r"foo[^x]bar", "")]
+
+
+def test_lines_and_whole_words_as_by_the_list(spark):
+    sources, listed = spark.createDataFrame(LINES, "file string, language string, text string"), as_rules(OF_LINES)
+    got = rulesets.scan_rules(sources, rulesets.as_table(spark, listed))
+    want = rows(kernel.scan(sources, listed), kernel.FINDING)
+    assert rows(got, kernel.FINDING) == want and {k[3] for k in want} == {r[0] for r in OF_LINES}
+
+
+LINE_BY_LINE = "x foo\nfoobar\ny\nfoo, foo\nz"
+
+
+def test_patterns_run_over_the_lines_that_hold_the_literals(spark):
+    texts = spark.createDataFrame([("a", "go", LINE_BY_LINE, None), ("b", "go", "foobar", None)], "file string, language string, text string, rest string")
+    index = rulesets.index(rulesets.as_table(spark, as_rules([("in", r"\bfoo[.,]", ""), ("over", r"foo\sy", ""), ("none", r"\bfoo=", "")])))
+    pairs = rulesets._candidates(texts, index.rules)
+    assert sorted((r.file, r.rule_id) for r in pairs.collect()) == [("a", "in"), ("a", "none"), ("a", "over"), ("b", "over")]
+    got = {(r.file, r.rule_id): (r.text, r.numbers) for r in rulesets._searched(pairs).collect()}
+    assert got["a", "in"] == ("foo, foo", [4]) and got["a", "none"] == (None, []) and got["a", "over"] == (LINE_BY_LINE, None) and got["b", "over"] == (None, None)
