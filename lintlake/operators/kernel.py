@@ -8,6 +8,8 @@ lines, a line holds as many first marks as matches begin in it.  That is one run
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +63,24 @@ def fires(rule: Rule) -> str:
     return " AND ".join([*tests, f"text RLIKE {quoted(rule.java)}"])
 
 
-def matches_sql(rule: str = "", text: str = "text", language: str = "language", begins: bool = False, numbers: str = "") -> str:
+def _chosen(values: Sequence[str], start: int = 0) -> str:
+    """SQL of the value whose place is in the column ``hit``: halves of halves, so that a row asks for few places."""
+    half = len(values) // 2
+    return f"IF(hit < {start + half}, {_chosen(values[:half], start)}, {_chosen(values[half:], start + half)})" if half else values[0]
+
+
+def matches_sql(rule: str = "", text: str = "text", language: str = "language", begins: bool = False, numbers: str = "", patterns: Sequence[str] = ()) -> str:
     """SQL of a rule's matches in a text, as an array of (seq, line, match, out): those in comment lines are left out, and those of the xss scanner in lines that clean.
 
     rule: what stands before the names of the rule's fields pattern, scanner and snippet.  begins: with ``begin``, the characters before each match.
     numbers: an array of the numbers of the text's lines, where it is some lines of a text; null where it is all of them.
+    patterns: those of all rules, of which the column ``hit`` tells the place; a pattern that is a column is compiled anew for each row that has another than the row before.
     """
     number = f"coalesce(get({numbers}, i), i + 1)" if numbers else "i + 1"
     first, last, pattern, scanner, snippet = quoted(MARK), quoted(END), f"{rule}pattern", f"{rule}scanner", f"{rule}snippet"
     odd = f"(contains({text}, {first}) OR contains({text}, {last}))"
-    marked = f"regexp_replace(IF({odd}, translate({text}, {quoted(MARK + END)}, {quoted(STAND_IN * 2)}), {text}), {pattern}, {quoted(MARK + '$0' + END)})"
+    mark = lambda p: f"regexp_replace(IF({odd}, translate({text}, {quoted(MARK + END)}, {quoted(STAND_IN * 2)}), {text}), {p}, {quoted(MARK + '$0' + END)})"
+    marked = _chosen([mark(quoted(p)) for p in patterns]) if patterns else mark(pattern)
     found = f"IF({odd}, regexp_extract_all({text}, {pattern}, 0), transform(slice(split(k, {first}), 2, length(k)), p -> substring_index(p, {last}, 1)))"
     lines = f"filter(transform(split(k, '\\n'), (line, i) -> struct({number} AS line, line AS text)), x -> contains(x.text, {first}))"
     own = f"translate(l.text, {quoted(MARK + END)}, '')"
@@ -105,16 +115,16 @@ def scan(sources: DataFrame, listed: list[Rule], checks: Column | None = None, b
     each = texts.select("file", "language", "text", "rest", F.posexplode(items).alias("at", "item"))
     hit = each.select("file", "language", "text", "rest", "at", "item.*").join(known, "hit", "inner" if checks is None else "left")
 
-    return findings_of(hit, others, begins)
+    return findings_of(hit, others, begins, patterns=[r.java for r in listed])
 
 
-def findings_of(hit: DataFrame, others: list[str], begins: bool = False, numbers: str = "") -> DataFrame:
+def findings_of(hit: DataFrame, others: list[str], begins: bool = False, numbers: str = "", patterns: Sequence[str] = ()) -> DataFrame:
     """FINDING and ``others`` (fields of ``rest``) from rows of a text and what fires in it: a rule's fields (hit is not null), or a check's finding ``c``.
 
-    numbers: a column of line numbers, as for ``matches_sql``.
+    numbers: a column of line numbers, and patterns: those of all rules, as for ``matches_sql``.
     """
     kept = [c for c in RULE_COLUMNS if c != "pattern"]
-    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql(begins=begins, numbers=numbers)})")).alias("m"))
+    each = hit.select("file", "language", "rest", "at", "c", *kept, F.explode_outer(F.expr(f"IF(hit IS NULL, NULL, {matches_sql(begins=begins, numbers=numbers, patterns=patterns)})")).alias("m"))
     each = each.where(F.col("hit").isNull() | F.col("m").isNotNull())
     ids = metadata(rule_id=F.col("rule_id"), cis=F.col("cis"))
     each = each.withColumns({"line": F.col("m.line"), "match": F.col("m.match"), "metadata": F.when(F.col("scanner").isin(*KINDS), ids)})

@@ -1,5 +1,7 @@
 """What must not grow with the tables: the length of a task, the passes over the findings, what Python is given."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -89,3 +91,30 @@ def test_rule_of_a_report_is_that_of_its_first_finding(spark):
     assert [(r.name, r.properties.precision) for r in got.collect()] == [("Eval: y", "high")]
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert next(i for i, x in enumerate(plan) if "regexp_replace" in x) < max(i for i, x in enumerate(plan) if "Aggregate" in x)
+
+
+def shown(frame):
+    """Its optimized plan, in full."""
+    frame.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        frame.sparkSession.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_listed_patterns_are_compiled_once_a_task(spark):
+    found, _, _ = counted(spark)
+    assert shown(found).count(kernel.MARK + "$0") >= len(matched("injection", "xss", "crypto"))  # each a literal; as a column there is one
+
+
+def test_sarif_tells_the_id_of_a_finding_once(spark):
+    found, _, _ = counted(spark)
+    assert shown(report.sarif_by_file(found)).count("[^a-z0-9") == 2  # an id has two branches
+
+
+def test_sarif_of_missing_values_is_json(spark):
+    found, _, _ = counted(spark)
+    rows = found.where("rule_id = 'XSS-13'").limit(1).selectExpr("* EXCEPT (file, fix, line, type, cwe_id, match)", "CAST(NULL AS string) AS file", "CAST(NULL AS string) AS fix", "CAST(NULL AS int) AS line", "'a \"b\": c' AS type", "CAST(NULL AS string) AS cwe_id", "'' AS match")
+    (got,) = report.sarif_by_file(rows).collect()
+    run = json.loads(got.report)["runs"][0]
+    assert got.file == "unknown" and [r["name"] for r in run["tool"]["driver"]["rules"]] == ['a "b": c'] and "fixes" not in run["results"][0] and run["results"][0]["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "unknown"}}
