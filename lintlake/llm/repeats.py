@@ -30,12 +30,12 @@ from .common import table, text_bytes
 from .suffix import shared_windows
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a chunk, whatever the size of the table; and of strings that are expanded together.
-CHUNK, TOGETHER = 4 << 20, 1 << 19
+#: Bytes of text in a chunk and for a bucket, whatever the size of the table; and of strings that are expanded together.
+CHUNK, BUCKET, TOGETHER = 8 << 20, 16 << 20, 1 << 18
 SPAN = LENGTH - GRAM + 1
 WIDEST = LENGTH + SPAN - 1
-#: Occurrences beyond which a hash is split into its windows.
-HOT = 2000
+#: Occurrences beyond which a hash is split into its windows: some thirty times the strings, so only where a hash would be a tenth of a bucket.
+HOT = 20_000
 #: Of the strings on their way to buckets: a cell's strings have no order that the shuffle's own compression could use.
 CODEC = "zstd"
 U = np.uint64
@@ -46,20 +46,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+#: A number for each byte, so that hashes of substrings are sums of products.
+LETTERS = _mix(_mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)))
+
+
 def window_minima(data: np.ndarray) -> np.ndarray:
     """The smallest hash of a GRAM-byte substring of each LENGTH-byte window."""
-    h = data.astype(U) + U(1)
-    size = 1
-    while size * 2 <= GRAM:
-        h = _mix(h[:-size] * U(0x9E3779B97F4A7C15) + h[size:])
-        size *= 2
-    if size < GRAM:
-        h = _mix(h[: size - GRAM] * U(0x9E3779B97F4A7C15) + h[GRAM - size :])
+    h, size, by = LETTERS[data], 1, 0x9E3779B97F4A7C15
+    while size < GRAM:
+        ahead = min(size, GRAM - size)
+        longer = h[:-ahead] * U(by)
+        longer += h[ahead:]
+        h, size, by = longer, size + ahead, by * by % (1 << 64)
+    h ^= h >> U(32)
+    h *= U(0xD6E8FEB86659FD93)
+    h ^= h >> U(29)
     size = 1
-    while size * 2 <= SPAN:
-        h = np.minimum(h[:-size], h[size:])
-        size *= 2
-    return np.minimum(h[: size - SPAN], h[SPAN - size :]) if size < SPAN else h
+    while size < SPAN:
+        ahead = min(size, SPAN - size)
+        h, size = np.minimum(h[:-ahead], h[ahead:]), size + ahead
+    return h
 
 
 class Segments:
@@ -83,7 +89,7 @@ class Segments:
                 valid = np.zeros(len(a) + 1, np.int8)
                 np.add.at(valid, first[count > 0], 1)
                 np.add.at(valid, (first + count)[count > 0], -1)
-                valid = np.cumsum(valid[:-1]) > 0
+                valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
                 new = np.ones(len(a), bool)
                 new[1:] = (a[1:] != a[:-1]) | ~valid[:-1]
                 new[first[count > 0]] = True
@@ -115,9 +121,14 @@ class Segments:
 
     def chosen(self, keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         """Occurrences of the given hashes (sorted): start, windows, document, hash, hot.  Those of hot hashes are single windows."""
-        at = np.searchsorted(keys, self.key).clip(max=max(len(keys) - 1, 0))
-        is_in = (keys[at] == self.key) if len(keys) else np.zeros(len(self.key), bool)
-        start, windows, doc, key, burning = self.start[is_in], self.windows[is_in], self.doc[is_in], self.key[is_in], hot[at[is_in]] if len(keys) else np.zeros(0, bool)
+        low = U((1 << 20) - 1)
+        near = np.zeros(1 << 20, bool)
+        near[keys & low] = True
+        some = np.flatnonzero(near[self.key & low])
+        at = np.searchsorted(keys, self.key[some]).clip(max=max(len(keys) - 1, 0))
+        is_in = keys[at] == self.key[some]
+        some, burning = some[is_in], hot[at[is_in]]
+        start, windows, doc, key = self.start[some], self.windows[some], self.doc[some], self.key[some]
         each = np.where(burning, windows, 1)
         part = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
         return np.repeat(start, each) + part, np.where(np.repeat(burning, each), 1, np.repeat(windows, each)), np.repeat(doc, each), np.repeat(key, each), np.repeat(burning, each)
@@ -126,14 +137,18 @@ class Segments:
 def string_hash(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """64 bits of each string of at most 80 bytes."""
     out = np.empty(len(start), U)
-    column = np.arange(80)
-    for lo in range(0, len(start), 4096):
-        s, n = start[lo : lo + 4096, None], length[lo : lo + 4096, None]
-        grid = np.where(column < n, data[np.minimum(s + column, len(data) - 1)], 0).astype(np.uint8).view(U)
-        h = n[:, 0].astype(U)
+    words = np.frombuffer(data.tobytes() + bytes(96 - len(data) % 8), U)
+    tail = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+    for lo in range(0, len(start), 1 << 14):
+        s, n = start[lo : lo + (1 << 14)], length[lo : lo + (1 << 14)]
+        at, shift = s >> 3, ((s & 7) << 3).astype(U)
+        h, word = n.astype(U), words[at]
         for i in range(10):
-            h = _mix(h * U(0x9E3779B97F4A7C15) + grid[:, i])
-        out[lo : lo + 4096] = h
+            following = words[at + (i + 1)]
+            here = word >> shift | following << (U(64) - shift)  # a shift by 64 leaves nothing
+            h = _mix(h * U(0x9E3779B97F4A7C15) + (here & tail[np.clip(n - 8 * i, 0, 8)]))
+            word = following
+        out[lo : lo + (1 << 14)] = h
     return out
 
 
@@ -252,9 +267,12 @@ def _answer_strings(rows: pa.Table) -> pa.Table:
         string = some[string]
         begin = np.flatnonzero(np.diff(same, prepend=same[:1] - 1))
         known[string, offset] = np.repeat(np.minimum.reduceat(least[string], begin), np.diff(np.append(begin, len(same))))
-    goes = (known[of] < first[:, None]) & (np.arange(SPAN) < n[:, None])
-    told = goes.any(axis=1) | several
-    bits = np.packbits(np.pad(goes, ((0, 0), (0, 32 - SPAN))), axis=1)
+    bits = np.empty((len(n), 4), np.uint8)
+    for lo in range(0, len(n), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        goes = (known[of[part]] < first[part, None]) & (np.arange(SPAN) < n[part, None])
+        bits[part] = np.packbits(goes, axis=1)
+    told = bits.any(axis=1) | several
     out, at = [], 0
     for chunk, size in zip(rows["chunk"].to_pylist(), sizes, strict=True):
         mine = np.flatnonzero(told[at : at + size]) + at
@@ -267,7 +285,7 @@ def _answer_strings(rows: pa.Table) -> pa.Table:
 
 def covered(segments: Segments, answers: pa.Table) -> np.ndarray:
     """Whether each byte of the chunk goes."""
-    flag = np.zeros(len(segments.data) + LENGTH, np.int32)
+    flag = np.zeros(len(segments.data) + LENGTH, np.int8)
     if answers.num_rows:
         keys, hot = _received(answers)
         keys, index = np.unique(keys, return_index=True)
@@ -282,15 +300,27 @@ def covered(segments: Segments, answers: pa.Table) -> np.ndarray:
         each = (goes[s.of] | later[:, None]) & (np.arange(SPAN) < s.windows[:, None])
         row, offset = np.nonzero(each)
         flag[s.start[row] + offset + LENGTH] = 1
-    upto = np.cumsum(flag)
+    upto = np.cumsum(flag, dtype=np.int32)
     return upto[LENGTH:] - upto[: len(segments.data)] > 0
 
 
 def _digests(docs: pa.Table, answers: pa.Table) -> pa.Table:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    out = [(doc, len(keep), int((~keep).sum()), int((np.diff(~keep, prepend=False) & ~keep).sum()), hashlib.sha256(data[keep].tobytes()).hexdigest()) for doc, data, keep in _kept(docs, answers)]
-    return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+    if not docs.num_rows:
+        return pa.Table.from_arrays([pa.array([], kind) for kind in kinds], names)
+    segments = _texts(docs)
+    begin, end = segments.begin, segments.begin + segments.size
+    gone = covered(segments, answers)
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    inner = begin[(segments.size > 0) & (begin > 0)]
+    opens[inner] = gone[inner]
+    upto, spans = (np.append(0, np.cumsum(x)) for x in (gone, opens))
+    left = memoryview(segments.data[~gone])
+    digests = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip((begin - upto[begin]).tolist(), (end - upto[end]).tolist(), strict=True)]
+    values = (docs["doc_id"].to_pylist(), segments.size, upto[end] - upto[begin], spans[end] - spans[begin], digests)
+    return pa.Table.from_arrays([pa.array(v, kind) for v, kind in zip(values, kinds, strict=True)], names)
 
 
 def _kept(docs: pa.Table, answers: pa.Table):
@@ -305,11 +335,11 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents dealt to chunks, and the buckets' answers by chunk."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(text_bytes())).first()[0] or 0
-    chunks = max(total // CHUNK + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks, buckets = (max(total // most + 1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) for most in (CHUNK, BUCKET))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
-    hashes = dealt.groupBy("chunk").applyInArrow(_send_hashes(chunks), "bucket int, chunk long, hashes binary, counts binary")
+    hashes = dealt.groupBy("chunk").applyInArrow(_send_hashes(buckets), "bucket int, chunk long, hashes binary, counts binary")
     answers = hashes.groupBy("bucket").applyInArrow(_answer_hashes, "chunk long, hashes binary, hot binary")
-    strings = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_strings(chunks), "bucket int, chunk long, hashes binary, meta binary, firsts binary, data binary")
+    strings = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_strings(buckets), "bucket int, chunk long, hashes binary, meta binary, firsts binary, data binary")
     return dealt, strings.groupBy("bucket").applyInArrow(_answer_strings, "chunk long, hashes binary, hot binary, strings binary, bits binary")
 
 

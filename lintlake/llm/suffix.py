@@ -1,7 +1,7 @@
 """Common prefixes of suffixes from a Burrows-Wheeler transform, up to a bound.
 
-The transform is of a collection of short strings, each with an end mark of its own (marks compare by
-string number).  From the interval of the empty string, whole levels of intervals are extended
+The transform is of a collection of short strings, each with an end mark of its own.  From the
+intervals of all strings as long as the sort's first names, whole levels of intervals are extended
 backward at once: all suffixes that start with w, preceded by the character c, make up the
 interval of cw.  An interval of level l whose right neighbour has no value yet proves that the
 neighbour shares l - 1 characters with it.  So common prefixes come out in increasing order, and
@@ -12,70 +12,83 @@ from __future__ import annotations
 
 import numpy as np
 
+U = np.uint64
 
-def suffix_order(text: np.ndarray, string: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in the order of their suffixes, place of each position).
 
-    text: characters + 1, and 0 for end marks; left: characters up to the string's end mark.
-    Prefix doubling on what is still tied; suffixes that are equal up to their end marks keep the
-    order of their strings.
+def first_names(text: np.ndarray, left: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """The first ``depth`` characters of each suffix as a number, with zeros beyond the end mark."""
+    name, have, part, size = np.zeros(len(text), U), 0, text.astype(U), 1
+    while True:  # runs of 1, 2, 4 ... characters, put together to depth
+        if depth & size:
+            name[: max(len(text) - have, 0)] |= part[have:] << U(bits * (depth - have - size))
+            have += size
+        if 2 * size > depth:
+            break
+        longer = part << U(bits * size)
+        longer[: max(len(text) - size, 0)] |= part[size:]
+        part, size = longer, 2 * size
+    inside = np.array([((1 << bits * k) - 1) << bits * (depth - k) for k in range(depth + 1)], U)
+    return name & inside[np.minimum(left, depth)]
+
+
+def suffix_order(text: np.ndarray, left: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(positions in the order of their suffixes' first ``least`` characters, place of each position, whether a place begins a first name, the length of first names).
+
+    text: ranks of the characters from 1, and 0 for end marks; left: characters up to the string's end mark.
+    First names are as long as 64 bits hold, half of ``least`` at most; what is still tied is named by two or three names at a time.
     """
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    for i in range(7):
-        ahead = np.zeros(n, np.uint64)
-        ahead[: max(n - i, 0)] = text[i:]
-        key = key << np.uint64(9) | np.where(left >= i, ahead, 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    bits = max(int(text.max(initial=0)).bit_length(), 1)
+    depth = level = min(64 // bits, max(least // 2, 1))
+    name = first_names(text, left, bits, depth)
+    order = np.argsort(name)
+    name = name[order]
     new = np.ones(n, bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    new[1:] = name[1:] != name[:-1]
+    first = new.copy()
     place = np.empty(n, np.int64)
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    place[order] = group
-    depth = 7
-    while True:
+    place[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    reach = 3 if n < 1 << 21 else 2  # names that fit 64 bits together
+    while depth < least:
         tied = ~new
         tied[:-1] |= ~new[1:]
         slots = np.flatnonzero(tied)
-        active = order[slots]
-        over = left[active] < depth  # compared to their end marks: tied for good
-        if over.all():
+        slots = slots[left[order[slots]] >= depth]  # the others are compared to their end marks: tied for good
+        if not len(slots):
             break
-        second = np.where(over, 0, place[np.minimum(active + depth, n - 1)] + 1)
-        pair = place[active] * (n + 1) + second
-        by = np.argsort(pair, kind="stable")
-        active, pair = active[by], pair[by]
+        active = order[slots]
+        name = place[active]
+        if 2 * depth >= least:  # the second name ends where the bound is
+            name, depth = name * n + place[active + (least - depth)], least
+        else:
+            rest = left[active]
+            for k in range(1, reach):
+                name = name * n + np.where(rest >= k * depth, place[np.minimum(active + k * depth, n - 1)], 0)
+            depth *= reach
+        by = np.argsort(name)
+        active, name = active[by], name[by]
         order[slots] = active
-        first = np.ones(len(pair), bool)
-        first[1:] = pair[1:] != pair[:-1]
-        new[slots] = first
-        place[active] = np.maximum.accumulate(np.where(first, slots, 0))
-        depth *= 2
-    place[order] = np.arange(n)  # ties are in the order of positions already, the sorts being stable
-    return order, place
+        begins = np.ones(len(name), bool)
+        begins[1:] = name[1:] != name[:-1]
+        new[slots] = begins
+        place[active] = np.maximum.accumulate(np.where(begins, slots, 0))
+    place[order] = np.arange(n)
+    return order, place, first, level
 
 
-def bounded_prefixes(order: np.ndarray, place: np.ndarray, text: np.ndarray, strings: int, least: int) -> np.ndarray:
-    """Whether each suffix shares at least ``least`` characters with the one before it in the order."""
+def bounded_prefixes(order: np.ndarray, place: np.ndarray, text: np.ndarray, left: np.ndarray, first: np.ndarray, level: int, least: int) -> np.ndarray:
+    """Whether each suffix shares at least ``least`` characters with the one before it in the order; first, level: as suffix_order() gives them."""
     n = len(order)
-    known = np.zeros(n + 1, bool)
-    known[: strings + 1] = True  # the end marks come first and share nothing
-    known[n] = True
-    before = np.maximum(order - 1, 0)
-    bwt = np.where(order > 0, text[before], 0)
-    step = place[before]  # where the suffix that is longer by one character stands
-    owner = np.full(n, -1, np.int64)
-    lo, hi = np.array([0]), np.array([n])
-    marks = True
-    for _ in range(least):
-        if not len(lo):
-            break
-        width = hi - lo
-        which = np.repeat(np.arange(len(lo)), width)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(width) - width - lo, width)
-        live = bwt[at] > 0
-        to, which = step[at[live]], which[live]
+    length, begins = left[order], text[order]
+    alone = length < level  # with its end mark each is an interval of its own
+    known = np.append(first | alone, True)  # end marks share nothing
+    owner = np.full(n, -1, np.int32)
+    at = np.flatnonzero(length >= level - 1)
+    which = np.maximum.accumulate(np.where(first | alone, np.arange(n, dtype=np.int32), 0))[at]
+    for _ in range(least - level):
+        before = order[at] - 1  # the last character of all is an end mark
+        live = text[before] > 0
+        to, which = place[before[live]], which[live]  # where the suffix that is longer by one character stands
         if len(to) * 8 > n:
             owner[to] = which
             to = np.flatnonzero(owner >= 0)
@@ -85,35 +98,35 @@ def bounded_prefixes(order: np.ndarray, place: np.ndarray, text: np.ndarray, str
             by = np.argsort(to)
             to, which = to[by], which[by]
         if not len(to):
-            lo = hi = np.zeros(0, np.int64)
-        else:
-            char = text[order[to]]
-            new = np.ones(len(to), bool)
-            new[1:] = (to[1:] != to[:-1] + 1) | (which[1:] != which[:-1]) | (char[1:] != char[:-1])
-            begin = np.flatnonzero(new)
-            lo, hi = to[begin], to[np.append(begin[1:], len(to)) - 1] + 1
-            fresh = ~known[hi]
-            known[hi[fresh]] = True
-            lo, hi = lo[fresh], hi[fresh]
-        if marks:  # besides the characters, each end mark is an interval of level 1
-            lo, hi = np.concatenate([np.arange(strings), lo]), np.concatenate([np.arange(1, strings + 1), hi])
-            marks = False
+            break
+        char = begins[to]
+        new = np.ones(len(to), bool)
+        new[1:] = (to[1:] != to[:-1] + 1) | (which[1:] != which[:-1]) | (char[1:] != char[:-1])
+        begin = np.flatnonzero(new)
+        lo, hi = to[begin], to[np.append(begin[1:], len(to)) - 1] + 1
+        fresh = ~known[hi]
+        known[hi[fresh]] = True
+        lo, width = lo[fresh], (hi - lo)[fresh]
+        which = np.repeat(np.arange(len(lo), dtype=np.int32), width)
+        at = np.arange(len(which)) + np.repeat(lo - np.cumsum(width) + width, width)
     return ~known[:n]
 
 
 def shared_windows(data: np.ndarray, start: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of ``least`` bytes of the strings: (string, offset, group); equal windows have equal groups."""
-    m, size = len(start), length + 1
+    size = length + 1
     base = np.cumsum(size) - size
-    string = np.repeat(np.arange(m), size)
-    offset = np.arange(int(size.sum())) - base[string]
-    left = length[string] - offset
-    text = np.zeros(len(string), np.int16)
+    place = np.arange(int(size.sum()))
+    left = (np.repeat(base + length, size) - place).astype(np.int32)
     inside = left > 0
-    text[inside] = data[(start[string] + offset)[inside]].astype(np.int16) + 1
-    order, place = suffix_order(text, string, left)
-    same = bounded_prefixes(order, place, text, m, least)
+    found = data[(place + np.repeat(start - base, size))[inside]]
+    rank = np.cumsum(np.bincount(found, minlength=256) > 0)
+    text = np.zeros(len(left), np.min_scalar_type(rank[-1]))
+    text[inside] = rank.astype(text.dtype)[found]
+    order, place, first, level = suffix_order(text, left, least)
+    same = bounded_prefixes(order, place, text, left, first, level, least)
     group = np.cumsum(~same)
     keep = left[order] >= least
     at = order[keep]
-    return string[at], offset[at], group[keep]
+    string = np.repeat(np.arange(len(start)), size)[at]
+    return string, at - base[string], group[keep]

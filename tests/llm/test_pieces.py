@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lintlake.llm import boosting, chat, jpeg, lines, media, mixing, packing, rules, shingles, suffix, toxicity
+from lintlake.llm import boosting, chat, jpeg, lines, media, mixing, packing, repeats, rules, shingles, suffix, toxicity
 from lintlake.llm.common import best_cut
 
 from .cases import LONG, texts, words
@@ -307,6 +308,20 @@ def test_shared_windows(strings, least):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_strings_in_proportion():
+    """A passage that ten times the documents hold costs no more strings for each of them."""
+    rng = np.random.default_rng(3)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage = text(200)
+
+    def strings_a_document(n):
+        rows = pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": [text(60) + passage + text(60) for _ in range(n)], "chunk": pa.array([0] * n, pa.int64())})
+        sent = repeats._send_strings(4)(rows, repeats._answer_hashes(repeats._send_hashes(1)(rows)))
+        return sum(map(len, sent["meta"].to_pylist())) / n
+
+    assert strings_a_document(4000) < 1.2 * strings_a_document(400)
+
+
 def plain_logit(net, words):
     """The network word by word and window by window, with loops over numbers."""
     p, h = net.p, toxicity.HIDDEN
