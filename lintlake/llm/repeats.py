@@ -38,6 +38,8 @@ WIDEST = LENGTH + SPAN - 1
 HOT = 20_000
 #: Of the strings on their way to buckets: a cell's strings have no order that the shuffle's own compression could use.
 CODEC = "zstd"
+#: Bytes whose hashes stay in a core's cache together.
+STEP = 1 << 15
 U = np.uint64
 
 
@@ -79,34 +81,34 @@ class Segments:
         known = np.array([i is not None for i in ids], bool)
         start, windows, doc, key = [], [], [], []
         at = 0
-        while at < len(texts):  # a few hundred KB at a time stay in the cache
-            stop = max(int(np.searchsorted(self.begin, self.begin[at] + (1 << 17))), at + 1)
+        while at < len(texts):
+            stop = max(int(np.searchsorted(self.begin, self.begin[at] + (1 << 18))), at + 1)
             lo, hi = int(self.begin[at]), int(self.begin[stop - 1] + self.size[stop - 1])
             if hi - lo >= LENGTH:
-                a = window_minima(self.data[lo:hi])
+                a = np.concatenate([window_minima(self.data[x : min(x + STEP + LENGTH - 1, hi)]) for x in range(lo, hi - LENGTH + 1, STEP)])
                 count = np.maximum(self.size[at:stop] - LENGTH + 1, 0) * known[at:stop]
-                first = self.begin[at:stop] - lo
-                valid = np.zeros(len(a) + 1, np.int8)
-                np.add.at(valid, first[count > 0], 1)
-                np.add.at(valid, (first + count)[count > 0], -1)
-                valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | ~valid[:-1]
-                new[first[count > 0]] = True
-                edges = np.flatnonzero(new | ~valid)
-                n = np.diff(np.append(edges, len(a)))
-                edges, n = edges[valid[edges]], n[valid[edges]]
-                pieces = -(-n // SPAN)
-                part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                edges, n = np.repeat(edges, pieces) + part * SPAN, np.minimum(np.repeat(n, pieces) - part * SPAN, SPAN)
+                own = np.flatnonzero(count) + at
+                first = self.begin[own] - lo
+                last = first + count[own - at]
+                new = np.ones(len(a) + 1, bool)
+                np.not_equal(a[1:], a[:-1], out=new[1:-1])
+                new[first] = new[last] = True
+                edges = np.flatnonzero(new)
+                low = np.searchsorted(edges, first)
+                each = np.searchsorted(edges, last) - low
+                within = np.arange(int(each.sum())) + np.repeat(low - np.cumsum(each) + each, each)
+                edges, n, of = edges[within], np.diff(edges)[within], np.repeat(own, each)
+                if n.max(initial=0) > SPAN:
+                    pieces = -(-n // SPAN)
+                    part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    edges, n, of = np.repeat(edges, pieces) + part * SPAN, np.minimum(np.repeat(n, pieces) - part * SPAN, SPAN), np.repeat(of, pieces)
                 start.append(edges + lo)
                 windows.append(n)
                 key.append(a[edges])
-                doc.append(np.searchsorted(self.begin, edges + lo, side="right") - 1)
+                doc.append(of)
             at = stop
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.windows, self.doc, self.key = join(start, np.int64), join(windows, np.int64), join(doc, np.int64), join(key, U)
-        # An empty document may share its place with the next one; a segment belongs to the last that begins there.
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, sorted; of each the occurrences (up to 32767) times 2, plus 1 if several documents have it."""
@@ -152,13 +154,24 @@ def string_hash(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return out
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, a place of each, which of them each is)."""
+    order = np.argsort(hashes)
+    values = hashes[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    of = np.empty(len(values), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return values[new], order[new], of
+
+
 class Strings:
     """The distinct strings of a chunk's chosen occurrences, sorted by hash of the string, with their smallest document."""
 
     def __init__(self, segments: Segments, keys: np.ndarray, hot: np.ndarray):
         self.start, self.windows, self.doc, key, burning = segments.chosen(keys, hot)
         hashes = string_hash(segments.data, self.start, self.windows + LENGTH - 1)
-        self.hash, index, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.hash, index, self.of = _distinct(hashes)
         ids = segments.ids[self.doc]
         self.first = np.full(len(self.hash), np.iinfo(np.int64).max)
         np.minimum.at(self.first, self.of, ids)
@@ -251,7 +264,7 @@ def _answer_strings(rows: pa.Table) -> pa.Table:
     raw = np.add.reduceat(length, np.cumsum(sizes) - sizes).tolist()
     data = np.frombuffer(b"".join(pa.decompress(x, r, CODEC, asbytes=True) for x, r in zip(rows["data"].to_pylist(), raw, strict=True)), np.uint8)
     hashes = string_hash(data, start, length)
-    distinct, index, of = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct, index, of = _distinct(hashes)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, of, first)
     known = np.full((len(distinct), SPAN), np.iinfo(np.int64).max)
@@ -316,10 +329,12 @@ def _digests(docs: pa.Table, answers: pa.Table) -> pa.Table:
     opens[1:] &= ~gone[:-1]
     inner = begin[(segments.size > 0) & (begin > 0)]
     opens[inner] = gone[inner]
-    upto, spans = (np.append(0, np.cumsum(x)) for x in (gone, opens))
+    upto = np.zeros(len(gone) + 1, np.int32)
+    np.cumsum(gone, dtype=np.int32, out=upto[1:])
+    spans = np.diff(np.searchsorted(np.flatnonzero(opens), np.stack([begin, end])), axis=0)[0]
     left = memoryview(segments.data[~gone])
     digests = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip((begin - upto[begin]).tolist(), (end - upto[end]).tolist(), strict=True)]
-    values = (docs["doc_id"].to_pylist(), segments.size, upto[end] - upto[begin], spans[end] - spans[begin], digests)
+    values = (docs["doc_id"].to_pylist(), segments.size, upto[end] - upto[begin], spans, digests)
     return pa.Table.from_arrays([pa.array(v, kind) for v, kind in zip(values, kinds, strict=True)], names)
 
 
