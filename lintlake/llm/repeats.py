@@ -270,11 +270,12 @@ def _answer_strings(rows: pa.Table) -> pa.Table:
     known = np.full((len(distinct), SPAN), np.iinfo(np.int64).max)
     own = np.where(hot, hashes, key)[index]
     order = np.argsort(own, kind="stable")  # strings with windows in common have this in common
+    order = order[(~hot | several)[index[order]] | (np.bincount(of)[order] > 1)]  # a single window of one document has nothing to be compared with
     upto = np.cumsum(length[index[order]])
-    ends = np.flatnonzero(np.append(own[order][1:] != own[order][:-1], True)) + 1
+    ends = np.flatnonzero(np.append(own[order][1:] != own[order][:-1], True)[: len(order)]) + 1
     batch = (upto[ends - 1] - 1) // TOGETHER
-    stops = ends[np.flatnonzero(np.append(batch[1:] != batch[:-1], True))]
-    for lo, hi in zip(np.append(0, stops[:-1]), stops, strict=True):
+    stops = ends[np.flatnonzero(np.append(batch[1:] != batch[:-1], True)[: len(ends)])]
+    for lo, hi in zip(np.append(0, stops)[:-1], stops, strict=True):
         some = order[lo:hi]
         string, offset, same = shared_windows(data, start[index[some]], length[index[some]], LENGTH)
         string = some[string]

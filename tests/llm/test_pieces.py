@@ -322,6 +322,21 @@ def test_strings_in_proportion():
     assert strings_a_document(4000) < 1.2 * strings_a_document(400)
 
 
+def test_single_windows_are_not_expanded(monkeypatch):
+    """Of a hash that is cut into windows, those that one document alone has cost no expansion; the others' answers stay."""
+    rng = np.random.default_rng(5)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, expanded = text(80), []
+    monkeypatch.setattr(repeats, "HOT", 10)
+    monkeypatch.setattr(repeats, "shared_windows", lambda data, start, length, least: expanded.append(len(start)) or suffix.shared_windows(data, start, length, least))
+    apart = [text(60) + chr(0x80 + i) + passage + chr(0x80 + i * 64) + text(60) for i in range(25)]  # other bytes before and after the passage
+    rows = pa.table({"doc_id": pa.array(range(25), pa.int64()), "text": apart, "chunk": pa.array([0] * 25, pa.int64())})
+    strings = repeats._send_strings(997)(rows, repeats._answer_hashes(repeats._send_hashes(1)(rows)))
+    answers = pa.concat_tables(repeats._answer_strings(strings.slice(i, 1)) for i in range(strings.num_rows))
+    assert sum(expanded) == 31 < sum(map(len, strings["meta"].to_pylist()))
+    assert repeats._digests(rows, answers)["n_removed"].to_pylist() == [0] + [80] * 24
+
+
 def plain_logit(net, words):
     """The network word by word and window by window, with loops over numbers."""
     p, h = net.p, toxicity.HIDDEN
